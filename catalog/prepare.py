@@ -274,7 +274,7 @@ def coerce_median_int(spark, d):
 
 @query("impute_median_mode", f"""{NUMBERS}, f AS (SELECT quantile_cont(Age, 0.5) AS age, (SELECT Debt_Level FROM numbers WHERE Debt_Level IS NOT NULL
 GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1) AS debt FROM numbers)
-SELECT respondent_id, coalesce(Age, f.age) AS Age, coalesce(Debt_Level, f.debt) AS Debt_Level, Essential_Needs_Percentage FROM numbers, f""")
+SELECT respondent_id, coalesce(numbers.Age, f.age) AS Age, coalesce(Debt_Level, f.debt) AS Debt_Level, Essential_Needs_Percentage FROM numbers, f""")
 def impute_median_mode(spark, d):
     df = numeric_survey(spark, d).select(ROW_ID, "Age", "Debt_Level", "Essential_Needs_Percentage")
     return encode.impute(df, ["Age", "Debt_Level", "Missing_Column"])
@@ -335,7 +335,7 @@ def constraint_input(spark, d):
     return df.withColumns(credit).drop(*[f"Credit_Usage_{o}" for o in choice_options("Credit_Usage")])
 
 
-_CREDIT = ", ".join(f'"Credit_Usage_{o}" AS "Credit_{o}"' for o in choice_options("Credit_Usage"))
+_CREDIT = ", ".join(f's."Credit_Usage_{o}" AS "Credit_{o}"' for o in choice_options("Credit_Usage"))
 _FIXED = f"""{SMOOTHED}, c AS (SELECT s.* EXCLUDE (Product_Lifetime_Cars), {_CREDIT}, {smooth_lifetime_sql('survey.Product_Lifetime_Cars', False, 'survey.respondent_id').replace("':survey.Product_Lifetime_Cars'", "':Product_Lifetime_Cars'")} AS Product_Lifetime_Cars
 FROM smoothed s JOIN survey USING (respondent_id))"""
 

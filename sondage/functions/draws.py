@@ -11,12 +11,19 @@ import math
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from sondage.functions.literals import list_literal
+
 _MD5_SPAN = float(16**13)
 _HASH_SPAN = float(2**53)
 
 
-def u(row_id: Column, salt: str) -> Column:
-    """Uniform draw in [0, 1) from 52 bits of md5(id:salt)."""
+def u(row_id: Column | str, salt: str) -> Column:
+    """Uniform draw in [0, 1) from 52 bits of md5(id:salt); the id is a column or a column name."""
+    if isinstance(row_id, str):
+        mark = salt.replace("\\", "\\\\").replace("'", "\\'")
+        return F.expr(
+            f"cast(conv(substring(md5(concat(cast(`{row_id}` as string), ':{mark}')), 1, 13), 16, 10) as double) / {_MD5_SPAN!r}D"
+        )
     digest = F.md5(F.concat(row_id.cast("string"), F.lit(f":{salt}")))
     return F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") / F.lit(_MD5_SPAN)
 
@@ -37,7 +44,7 @@ def pick(values: list, draw: Column) -> Column:
     if len(values) == 1:
         return F.lit(values[0])
     at = F.floor(draw * F.lit(len(values))).cast("int") + F.lit(1)
-    return F.element_at(F.array(*[F.lit(v) for v in values]), at)
+    return F.element_at(list_literal(values), at)
 
 
 def normal_cdf(x: float) -> float:

@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from sondage import vocab
+from sondage.functions.literals import map_literal
 
 _NUMBER = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
 _INTEGER = r"^\s*[+-]?\d+\s*$"
@@ -25,8 +26,7 @@ def integer(col: Column) -> Column:
 
 def lookup(col: Column, mapping: dict, default: Column | None = None) -> Column:
     """Value of a literal map, or ``default`` (NULL if not given) where the key is missing."""
-    pairs = [F.lit(x) for item in mapping.items() for x in item]
-    found = F.element_at(F.create_map(*pairs), col)
+    found = F.element_at(map_literal(mapping), col)
     return found if default is None else F.coalesce(found, default)
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sondage import vocab
+from sondage.functions.literals import list_literal
 from sondage.functions.text import lookup
 from sondage.operators.order import quantiles
 from sondage.operators.schema import ref
@@ -159,11 +160,11 @@ def inverse_features(df: DataFrame, layout: FeatureLayout, name: str = "features
         at += 1
     for c, values in layout.ordinal.items():
         code = F.greatest(F.lit(0), F.least(F.lit(len(values) - 1), F.bround(F.get(name, at)).cast("int")))
-        out[c] = F.element_at(F.array(*[F.lit(v) for v in values]), code + F.lit(1))
+        out[c] = F.element_at(list_literal(values), code + F.lit(1))
         at += 1
     for c, values in layout.nominal.items():
         flags = F.slice(name, at + 1, len(values))
-        out[c] = F.element_at(F.array(*[F.lit(v) for v in values]), F.array_position(flags, F.array_max(flags)).cast("int"))
+        out[c] = F.element_at(list_literal(values), F.array_position(flags, F.array_max(flags)).cast("int"))
         at += len(values)
     for c in layout.passed:
         out[c] = F.get(name, at)

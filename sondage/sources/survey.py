@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from sondage import vocab
 from sondage.functions.draws import pick, u
+from sondage.functions.literals import list_literal
 from sondage.operators.encode import translate_survey
 
 ROW_ID = "respondent_id"
@@ -72,15 +73,15 @@ def survey_raw(spark: SparkSession, sf_dir: str, base: str = "customer") -> Data
     for column, labels in LABELS.items():
         if column == "Debt_Level":
             poor = F.lit(1.0) - F.least(F.greatest((F.col(wealth) - F.lit(low)) / F.lit(span), F.lit(0.0)), F.lit(0.999999))
-            at = F.least(F.floor(F.lit(2.0) * u(row_id, column) + F.lit(2.0) * poor), F.lit(3)).cast("int")
-            value = F.element_at(F.array(*[F.lit(v) for v in labels]), at + F.lit(1))
+            at = F.least(F.floor(F.lit(2.0) * u(key, column) + F.lit(2.0) * poor), F.lit(3)).cast("int")
+            value = F.element_at(list_literal(labels), at + F.lit(1))
         else:
-            value = pick(labels, u(row_id, column))
+            value = pick(labels, u(key, column))
         if column in NULLABLE:
-            value = F.when(u(row_id, f"{column}:null") >= NULL_SHARE, value)
+            value = F.when(u(key, f"{column}:null") >= NULL_SHARE, value)
         answers[column] = value
     for column in vocab.CHOICES:
-        marks = [F.when(u(row_id, f"{column}:{option}") < CHOICE_SHARE, F.lit(label)) for option, label in choice_labels(column).items()]
+        marks = [F.when(u(key, f"{column}:{option}") < CHOICE_SHARE, F.lit(label)) for option, label in choice_labels(column).items()]
         answers[column] = F.array_join(F.array(*marks), ", ")
     titles = [answers[name].alias(title) for title, name in vocab.QUESTIONS.items()]
     return table.select(F.lit("2024/05/01").alias("Marcaj de timp"), *titles, row_id.alias(ROW_ID))
