@@ -53,6 +53,17 @@ def encoded(spark: SparkSession, d: str, base: str = "customer") -> DataFrame:
     return postprocess(smoothed(spark, d, base))
 
 
+_TABLES: dict[tuple, DataFrame] = {}
+
+
+def encoded_table(spark: SparkSession, d: str, base: str = "customer") -> DataFrame:
+    """The encoded survey, kept for the session: queries that pass over it several times start here."""
+    key = (spark.sparkContext.applicationId, d, base)
+    if key not in _TABLES:
+        _TABLES[key] = encoded(spark, d, base).select(ROW_ID, *[ref(c) for c in encoded_columns()]).persist()
+    return _TABLES[key]
+
+
 def numeric_survey(spark: SparkSession, d: str, base: str = "customer") -> DataFrame:
     """The seven range columns as numbers with gaps, the ordinals, and the choice flags."""
     df = smoothed(spark, d, base)

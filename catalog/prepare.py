@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from catalog.base import (
-    ENCODED, NUMBERS, ROW_ID, SCORED, SMOOTHED, SURVEY, choice_options, encoded, encoded_columns, ident, list_sql, numeric_survey,
+    ENCODED, NUMBERS, ROW_ID, SCORED, SMOOTHED, SURVEY, choice_options, encoded, encoded_columns, encoded_table, ident, list_sql, numeric_survey,
     num_sql, ordinal_sql, q, query, read_table, rounded, smooth_lifetime_sql, smoothed, survey_raw, survey_translated, u_sql,
 )
 from sondage import vocab
@@ -400,7 +400,7 @@ _POINTS = """(CASE WHEN Income_Category >= 15000 THEN 2.0::DOUBLE ELSE 0 END) -
 
 @query("rule_vote", f"{ENCODED} SELECT respondent_id, {_POINTS} AS points, CASE WHEN {_POINTS} >= 2 THEN 0 WHEN {_POINTS} <= -2 THEN 1 ELSE -1 END AS Behavior_Risk_Level FROM encoded")
 def rule_vote(spark, d):
-    df = encoded(spark, d).withColumn(vocab.TARGET, F.lit(-1))
+    df = encoded_table(spark, d).withColumn(vocab.TARGET, F.lit(-1))
     return rules.apply_rules(df).select(ROW_ID, rules.rule_points(df).alias("points"), vocab.TARGET)
 
 
@@ -443,7 +443,7 @@ def min_max(spark, d):
 
 @query("risk_score", f"{SCORED} SELECT respondent_id, round(Risk_Score, 6) + 0.0 AS Risk_Score FROM scored")
 def risk_score(spark, d):
-    return rounded(scale.risk_score(encoded(spark, d)).select(ROW_ID, "Risk_Score"))
+    return rounded(scale.risk_score(encoded_table(spark, d)).select(ROW_ID, "Risk_Score"))
 
 
 @query("features_round_trip", f"""{ENCODED}, m AS (SELECT respondent_id, Age, Income_Category FROM encoded)
@@ -451,7 +451,7 @@ SELECT m.respondent_id, m.Age, m.Income_Category, CASE WHEN s.Impulse_Buying_Fre
 s.Budget_Planning, s."Savings_Goal_Vacation" FROM m JOIN survey s USING (respondent_id)""")
 def features_round_trip(spark, d):
     df = survey_translated(spark, d).select(ROW_ID, "Impulse_Buying_Frequency", "Budget_Planning", "Savings_Goal_Vacation")
-    df = df.join(encoded(spark, d).select(ROW_ID, "Age", "Income_Category"), ROW_ID)
+    df = df.join(encoded_table(spark, d).select(ROW_ID, "Age", "Income_Category"), ROW_ID)
     layout = scale.fit_layout(df, ["Age", "Income_Category"], {"Impulse_Buying_Frequency": list(vocab.ORDINALS["Impulse_Buying_Frequency"])}, ["Budget_Planning"], ["Savings_Goal_Vacation"])
     packed = scale.assemble(df, layout).select(ROW_ID, "features")
     back = scale.inverse_features(packed, layout)

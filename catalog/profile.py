@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from catalog.base import ENCODED, ROW_ID, SCORED, encoded, ident, list_sql, query, read_table, rounded, u_sql
+from catalog.base import ENCODED, ROW_ID, SCORED, encoded_columns, encoded_table, ident, query, read_table, rounded, u_sql
 from sondage import vocab
 from sondage.functions.draws import u
 from sondage.operators import profile, scale
@@ -83,8 +83,8 @@ def corr_matrix(spark, d):
     return rounded(profile.corr_matrix(read_table(spark, d, "lineitem"), LINE))
 
 
-_ENC_GROUPS = {g: [ident(c) for c in __import__("catalog.base", fromlist=["encoded_columns"]).encoded_columns()
-                   if c in names or (prefixes and c.startswith(tuple(prefixes)))] for g, (names, prefixes) in vocab.GROUPS.items()}
+_ENC_GROUPS = {g: [ident(c) for c in encoded_columns()
+                   if c in names or c.startswith(tuple(prefixes))] if prefixes else [ident(c) for c in names] for g, (names, prefixes) in vocab.GROUPS.items()}
 
 
 def top_pairs_sql() -> str:
@@ -100,7 +100,7 @@ def top_pairs_sql() -> str:
 
 @query("top_pairs", top_pairs_sql())
 def top_pairs(spark, d):
-    return rounded(profile.top_pairs(encoded(spark, d)))
+    return rounded(profile.top_pairs(encoded_table(spark, d)))
 
 
 @query("target_corr", " UNION ALL ".join(f"SELECT '{c}' AS \"column\", round(abs(corr({c}, l_extendedprice)), 6) AS abs_r FROM lineitem" for c in ["l_quantity", "l_discount", "l_tax"]))
@@ -113,7 +113,7 @@ def target_corr(spark, d):
 SELECT c AS "column", round(r, 6) AS abs_r FROM p ORDER BY r DESC, c LIMIT 5""")
 def survey_target_corr(spark, d):
     keep = [*vocab.SCALED, "Debt_Level", "Impulse_Buying_Frequency", "Bank_Account_Analysis_Frequency"]
-    df = scale.risk_score(encoded(spark, d)).select(*keep, "Risk_Score")
+    df = scale.risk_score(encoded_table(spark, d)).select(*keep, "Risk_Score")
     return rounded(profile.target_corr(df))
 
 
@@ -201,10 +201,10 @@ _HEAT = [("demographic", ["Age", "Gender", "Income_Category"])]
 
 
 @query("bivariate_heat", f"{ENCODED} " + " UNION ALL ".join(
-    f"SELECT 'demographic' AS \"group\", '{x}' AS x, '{y}' AS y, " + ("1.0::DOUBLE" if x == y else f"round(corr({x}, {y}), 6) + 0.0") + " AS r FROM encoded" + (" GROUP BY ALL" if x == y else "")
+    f"SELECT 'demographic' AS \"group\", '{x}' AS x, '{y}' AS y, " + ("1.0::DOUBLE" if x == y else f"round(corr({x}, {y}), 6) + 0.0") + " AS r FROM encoded" + ("" if x != y else " WHERE respondent_id = (SELECT min(respondent_id) FROM encoded)")
     for x in _HEAT[0][1] for y in _HEAT[0][1]))
 def bivariate_heat(spark, d):
-    return rounded(profile.bivariate(encoded(spark, d), dict(_HEAT))[0])
+    return rounded(profile.bivariate(encoded_table(spark, d), dict(_HEAT))[0])
 
 
 @query("bivariate_lines", """WITH p AS (SELECT 'line' AS g, 'l_quantity' AS x, 'l_extendedprice' AS y, regr_slope(l_extendedprice, l_quantity) AS s, regr_intercept(l_extendedprice, l_quantity) AS i, corr(l_quantity, l_extendedprice) AS r FROM lineitem
@@ -256,5 +256,5 @@ _FACTOR_LONG = " UNION ALL ".join(f"SELECT label, '{c.replace('_', ' ')}' AS Fac
 {box_sql('v', 'Factor, label', 'w')} SELECT w.Factor, w.label AS Behavior_Risk_Label, round(q1, 5) + 0.0 AS q1, round(median, 5) + 0.0 AS median, round(q3, 5) + 0.0 AS q3,
 round(min(v) FILTER (v BETWEEN lo AND hi), 5) + 0.0 AS whisker_low, round(max(v) FILTER (v BETWEEN lo AND hi), 5) + 0.0 AS whisker_high FROM w JOIN f ON w.Factor = f.Factor AND w.label = f.label GROUP BY ALL""")
 def factor_boxes(spark, d):
-    df = encoded(spark, d).withColumn(vocab.TARGET, (F.col("Debt_Level") >= 3).cast("int"))
+    df = encoded_table(spark, d).withColumn(vocab.TARGET, (F.col("Debt_Level") >= 3).cast("int"))
     return rounded(profile.factor_boxes(df, _FACTORS), 5)

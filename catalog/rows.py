@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from catalog.base import ENCODED, ROW_ID, SCORED, SURVEY, encoded, query, read_table, rounded, survey_translated, u_sql
+from catalog.base import ENCODED, ROW_ID, SCORED, SURVEY, encoded_table, query, read_table, rounded, survey_translated, u_sql
 from sondage import vocab
 from sondage.functions.draws import u
 from sondage.operators import metrics, order, relate, scale
@@ -209,4 +209,4 @@ s AS (SELECT a.id, a.l AS own, b.l AS other, sum(abs(a.x - b.x)) AS s FROM v a,
 t AS (SELECT id, any_value(n.n) FILTER (own = other) AS size, max(s / greatest(n.n - 1, 1)) FILTER (own = other) AS a, min(s / n.n) FILTER (own <> other) AS b FROM s JOIN n ON n.l = s.other GROUP BY id)
 SELECT round(avg(CASE WHEN size = 1 THEN 0 ELSE (b - a) / greatest(a, b) END), 5) AS silhouette FROM t""")
 def silhouette_1d(spark, d):
-    return rounded(metrics.silhouette_1d_table(scale.risk_score(encoded(spark, d)), "Risk_Score", "Debt_Level"), 5)
+    return rounded(metrics.silhouette_1d_table(scale.risk_score(encoded_table(spark, d)), "Risk_Score", "Debt_Level"), 5)

@@ -258,83 +258,88 @@ def silhouette_1d_table(df: DataFrame, column: str, label: str, buckets: int | N
         right = (F.col(f"s{i}_total") - F.col(f"s{i}_before") - F.col(f"s{i}")) - x * (F.col(f"n{i}_total") - F.col(f"n{i}_before") - F.col(f"n{i}"))
         return F.greatest(left + right, F.lit(0.0))
 
-    total = F.lit(0.0)
-    for i in range(len(labels)):
-        own = away(i) / F.greatest(F.col(f"n{i}_total") - F.lit(1), F.lit(1))
-        others = [away(j) / F.col(f"n{j}_total") for j in range(len(labels)) if j != i]
-        if not others:
-            continue
-        near = F.least(*others) if len(others) > 1 else others[0]
-        top = F.greatest(own, near)
-        score = F.when((F.col(f"n{i}_total") <= 1) | (top == 0), F.lit(0.0)).otherwise((near - own) / top)
-        total = total + F.col(f"n{i}") * score
-    rows = F.sum(sum((F.col(f"n{i}") for i in range(len(labels))), F.lit(0)))
-    return ranked.agg((F.sum(total) / rows).alias("silhouette"))
+    k = range(len(labels))
+    # one projection per step keeps the expressions flat
+    ranked = ranked.select(*[f"n{i}" for i in k], *[f"n{i}_total" for i in k], *[away(i).alias(f"d{i}") for i in k])
+    own = [(F.col(f"d{i}") / F.greatest(F.col(f"n{i}_total") - F.lit(1), F.lit(1))).alias(f"a{i}") for i in k]
+    means = [(F.col(f"d{i}") / F.col(f"n{i}_total")).alias(f"m{i}") for i in k]
+    ranked = ranked.select(*[f"n{i}" for i in k], *[f"n{i}_total" for i in k], *own, *means)
+
+    def nearest(i: int) -> Column:
+        others = [F.col(f"m{j}") for j in k if j != i]
+        return F.least(*others) if len(others) > 1 else others[0] if others else F.lit(0.0)
+
+    ranked = ranked.select("*", *[nearest(i).alias(f"b{i}") for i in k])
+    total, rows = F.lit(0.0), F.lit(0)
+    for i in k:
+        top = F.greatest(F.col(f"a{i}"), F.col(f"b{i}"))
+        score = F.when((F.col(f"n{i}_total") <= 1) | (top == 0), F.lit(0.0)).otherwise((F.col(f"b{i}") - F.col(f"a{i}")) / top)
+        total, rows = total + F.col(f"n{i}") * score, rows + F.col(f"n{i}")
+    return ranked.agg((F.sum(total) / F.sum(rows)).alias("silhouette"))
 
 
 def silhouette_1d(df: DataFrame, column: str, label: str) -> float | None:
     return silhouette_1d_table(df, column, label).first()[0]
 
 
-def _block_sums(columns: int, sizes: list[int]):
-    """Distance sums of each left row to the labels of each right row of a block pair."""
-
-    def run(batches):
-        for batch in batches:
-            for left, right in zip(batch["left"], batch["right"]):
-                a = np.array([r["x"] for r in left], dtype=float)
-                b = np.array([r["x"] for r in right], dtype=float)
-                far = np.zeros((len(a), len(b)))
-                for k in range(columns):
-                    far += (a[:, k, None] - b[None, :, k]) ** 2
-                far = np.sqrt(far)
-                codes = np.array([r["l"] for r in right])
-                parts = []
-                for j, size in enumerate(sizes):
-                    mark = (codes[:, j, None] == np.arange(size)[None, :]).astype(float)
-                    parts.append(far @ mark)
-                yield pd.DataFrame({"id": [r["id"] for r in left], "sums": list(np.concatenate(parts, axis=1))})
+def _block_sums(sizes: list[int]):
+    """Distance sums of each left row to the labels of the right rows of a block pair."""
+
+    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        if not len(left) or not len(right):
+            return pd.DataFrame({"id": [], "sums": []})
+        a, b = np.array(left["x"].tolist(), dtype=float), np.array(right["x"].tolist(), dtype=float)
+        far = np.zeros((len(a), len(b)))
+        for k in range(a.shape[1]):
+            far += (a[:, k, None] - b[None, :, k]) ** 2
+        far = np.sqrt(far)
+        codes = np.array(right["l"].tolist())
+        parts = [far @ (codes[:, j, None] == np.arange(size)[None, :]).astype(float) for j, size in enumerate(sizes)]
+        return pd.DataFrame({"id": left["id"], "sums": list(np.concatenate(parts, axis=1))})
 
     return run
 
 
+def _mean_of_others(size: Column, mine: Column):
+    return lambda total, i: F.when(i != mine, total / F.get(size, i))
+
+
 def silhouettes_exact(df: DataFrame, columns: list[str], labels: list[str], row_id: str) -> dict[str, float | None]:
     """Exact Euclidean silhouette of several labelings, distances computed once.
 
-    Rows are packed into blocks; each pair of blocks is one unit of work. The
-    metric needs every distance, so the work grows with the square of the rows;
-    ``silhouette`` picks it only for small tables.
+    The metric needs the distance between any two rows, so its work grows with
+    the square of the table; each unit of work is one pair of bounded blocks.
+    ``silhouette`` chooses it only for tables of a checked, small height.
     """
     values = {c: label_values(df, c) for c in labels}
     n = df.count()
     blocks = max(1, -(-n // BLOCK_ROWS))
     code = F.array(*[F.array_position(F.array(*[F.lit(v) for v in values[c]]), ref(c)).cast("int") - F.lit(1) for c in labels])
     rows = df.select(
-        F.pmod(F.xxhash64(ref(row_id)), F.lit(blocks)).alias("block"),
-        F.struct(ref(row_id).cast("long").alias("id"), code.alias("l"), feature_array(columns).alias("x")).alias("r"),
-    )
-    packs = rows.groupBy("block").agg(F.collect_list("r").alias("pack"))
-    left = packs.select(F.col("pack").alias("left"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("other"))
-    right = packs.select(F.col("block").alias("other"), F.col("pack").alias("right"))
+        ref(row_id).cast("long").alias("id"), code.alias("l"), feature_array(columns).alias("x"),
+        F.pmod(F.xxhash64(ref(row_id)), F.lit(blocks)).cast("int").alias("block"),
+    ).persist()
+    every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    left = rows.select("id", "x", F.col("block").alias("i"), every.alias("j")).groupBy("i", "j")
+    right = rows.select("x", "l", F.col("block").alias("j"), every.alias("i")).groupBy("i", "j")
     sizes = [len(values[c]) for c in labels]
-    pairs = left.join(right, "other").select("left", "right")
-    parts = pairs.mapInPandas(_block_sums(len(columns), sizes), "id long, sums array<double>")
-    width = sum(sizes)
-    sums = parts.groupBy("id").agg(F.array(*[F.sum(F.get("sums", i)) for i in range(width)]).alias("sums"))
+    parts = left.cogroup(right).applyInPandas(_block_sums(sizes), "id long, sums array<double>")
+    sums = parts.groupBy("id").agg(F.array(*[F.sum(F.get("sums", i)) for i in range(sum(sizes))]).alias("sums"))
     counted = df.agg(*[F.count_if(ref(c) == F.lit(v)) for c in labels for v in values[c]]).first()
-    joined = rows.select(F.col("r.id").alias("id"), F.col("r.l").alias("l")).join(sums, "id")
+    joined = rows.select("id", "l").join(sums, "id")
     scores, at = [], 0
     for j, c in enumerate(labels):
         size = F.array(*[F.lit(int(v)) for v in counted[at:at + sizes[j]]])
         mine = F.get("l", j)
         away = F.slice("sums", at + 1, sizes[j])
         own = F.get(away, mine) / F.greatest(F.get(size, mine) - F.lit(1), F.lit(1))
-        means = F.transform(away, lambda s, i, size=size, mine=mine: F.when(i == mine, F.lit(None)).otherwise(s / F.get(size, i)))
-        near = F.array_min(means)
-        top = F.greatest(own, near)
-        scores.append(F.avg(F.when((F.get(size, mine) <= 1) | (top == 0), F.lit(0.0)).otherwise((near - own) / top)).alias(f"s{j}"))
+        means = F.transform(away, _mean_of_others(size, mine))
+        joined = joined.withColumns({f"own{j}": own, f"near{j}": F.array_min(means), f"size{j}": F.get(size, mine)})
+        top = F.greatest(f"own{j}", f"near{j}")
+        scores.append(F.avg(F.when((F.col(f"size{j}") <= 1) | (top == 0), F.lit(0.0)).otherwise((F.col(f"near{j}") - F.col(f"own{j}")) / top)))
         at += sizes[j]
     row = joined.agg(*scores).first()
+    rows.unpersist()
     return {c: row[j] for j, c in enumerate(labels)}
 
 
