@@ -98,7 +98,7 @@ def label_risk(spark, d):
     return profile.class_counts(label.label_risk(df, ROW_ID, max_iter=20))
 
 
-@query("label_quality", f"""{SCORED}, v AS (SELECT (Risk_Score > 0.1)::INT AS y, CASE WHEN Debt_Level = 0 THEN -1 WHEN Debt_Level >= 3 THEN 1 ELSE 0 END AS p FROM scored), k AS (SELECT * FROM (VALUES (0), (1)) t(label)),
+@query("label_quality", f"""{SCORED}, v AS (SELECT (round(Risk_Score, 9) > 0.1)::INT AS y, CASE WHEN Debt_Level = 0 THEN -1 WHEN Debt_Level >= 3 THEN 1 ELSE 0 END AS p FROM scored), k AS (SELECT * FROM (VALUES (0), (1)) t(label)),
 c AS (SELECT label, count(*) FILTER (y = label AND p = label)::DOUBLE AS tp, count(*) FILTER (y = label)::DOUBLE AS s, count(*) FILTER (p = label)::DOUBLE AS q FROM v, k WHERE p <> -1 GROUP BY 1)
 SELECT label::VARCHAR AS label, round(tp / q, 6) AS precision, round(tp / s, 6) AS recall, s::BIGINT AS support, (SELECT count(*) FROM v WHERE p = -1)::DOUBLE AS unlabelled FROM c""")
 def label_quality(spark, d):

@@ -144,7 +144,7 @@ def best_k(table: DataFrame, method: str = "silhouette") -> int:
     if method == "silhouette":
         return table.agg(F.max_by("k", F.struct(F.col("silhouette"), -F.col("k")))).first()[0]
     # one row per k
-    falls = table.withColumn("fall", F.col("inertia") - F.lag("inertia").over(Window.orderBy("k")))
+    falls = table.withColumn("fall", F.col("inertia") - F.lag("inertia").over(Window.orderBy("k"))).filter("fall IS NOT NULL")
     return falls.agg(F.min_by("k", F.struct("fall", "k"))).first()[0]
 
 
@@ -200,12 +200,23 @@ class Mixture1D:
     variance: list[float]
     rounds: int
 
-    def log_densities(self, x: Column) -> list[Column]:
-        return [F.lit(c) - (x - F.lit(m)) * (x - F.lit(m)) / F.lit(2.0 * v) for c, m, v in zip(self.constant, self.mean, self.variance)]
+    def log_densities(self, x: Column) -> Column:
+        """Array of the component densities.
+
+        The parameters sit in array literals, so the generated code is the
+        same in every round and compiles once.
+        """
+        mean, double_variance = list_literal(self.mean), list_literal([2.0 * v for v in self.variance])
+
+        def density(constant: Column, i: Column) -> Column:
+            gap = x - F.get(mean, i)
+            return constant - gap * gap / F.get(double_variance, i)
+
+        return F.transform(list_literal(self.constant), density)
 
     def cluster(self, x: Column) -> Column:
         """Index of the most likely component."""
-        parts = F.array(*self.log_densities(x))
+        parts = self.log_densities(x)
         return (F.array_position(parts, F.array_max(parts)) - F.lit(1)).cast("int")
 
     @property
@@ -213,6 +224,14 @@ class Mixture1D:
         return int(np.argmin(self.mean))
 
 
+def _gap(centre: Column) -> Column:
+    return F.abs(F.col("x") - centre)
+
+
+def _is(index: Column):
+    return lambda i: (index == i).cast("double")
+
+
 def bayes_gmm_1d(df: DataFrame, column: str, k: int = 3, prior: float | None = None, max_iter: int = 500, tol: float = 1e-6) -> Mixture1D:
     """Variational mixture of k normals over one column, with stick-breaking weights.
 
@@ -234,20 +253,21 @@ def bayes_gmm_1d(df: DataFrame, column: str, k: int = 3, prior: float | None = N
         distinct = distinct.coalesce(1)
     cut = quantiles(distinct.withColumn("w", F.col("n").cast("long")), ["x"], [(i + 0.5) / k for i in range(k)], weight="w")["x"]
     means = [float(v) for v in cut]
-    value, weight = F.col("x"), F.col("n")
 
-    def sums(shares: list[Column], extra: Column):
+    def sums(shares: DataFrame):
         parts = []
-        for r in shares:
-            parts += [F.sum(weight * r), F.sum(weight * r * value), F.sum(weight * r * value * value)]
-        row = distinct.agg(*parts, F.sum(weight * extra)).first()
+        for i in range(k):
+            r = F.col("n") * F.get("shares", i)
+            parts += [F.sum(r), F.sum(r * F.col("x")), F.sum(r * F.col("x") * F.col("x"))]
+        row = shares.agg(*parts, F.sum(F.col("n") * F.col("norm"))).first()
         return [row[3 * i:3 * i + 3] for i in range(k)], row[3 * k]
 
     state = None
     for _ in range(20):  # nearest-centre rounds give the starting shares
-        gaps = F.array(*[F.abs(value - F.lit(m)) for m in means])
-        nearest = F.array_position(gaps, F.array_min(gaps)) - F.lit(1)
-        state, _ = sums([(nearest == i).cast("double") for i in range(k)], F.lit(0.0))
+        gaps = distinct.select("x", "n", F.transform(list_literal(means), _gap).alias("gaps"))
+        nearest = F.array_position("gaps", F.array_min("gaps")) - F.lit(1)
+        mine = F.transform(F.sequence(F.lit(0), F.lit(k - 1)), _is(nearest))
+        state, _ = sums(gaps.select("x", "n", mine.alias("shares"), F.lit(0.0).alias("norm")))
         moved = [s[1] / s[0] if s[0] else m for s, m in zip(state, means)]
         if max(abs(a - b) for a, b in zip(moved, means)) < 1e-9:
             break
@@ -271,10 +291,11 @@ def bayes_gmm_1d(df: DataFrame, column: str, k: int = 3, prior: float | None = N
             log_scale = math.log(2.0) + digamma(freedom[i] / 2.0) - math.log(freedom[i])
             constant.append(log_weight - 0.5 * (math.log(2 * math.pi) + math.log(var[i])) + 0.5 * (log_scale - 1.0 / precision[i]))
         mixture = Mixture1D(column, constant, mean, var, step + 1)
-        parts = mixture.log_densities(value)
-        top = F.greatest(*parts) if k > 1 else parts[0]
-        norm = top + F.log(sum((F.exp(p - top) for p in parts), F.lit(0.0)))
-        state, level = sums([F.exp(p - norm) for p in parts], norm)
+        dense = distinct.select("x", "n", mixture.log_densities(F.col("x")).alias("parts"))
+        top = F.array_max("parts")
+        spreads = F.aggregate("parts", F.lit(0.0), lambda acc, p: acc + F.exp(p - F.array_max("parts")))
+        normed = dense.select("x", "n", "parts", (top + F.log(spreads)).alias("norm"))
+        state, level = sums(normed.select("x", "n", F.transform("parts", lambda p: F.exp(p - F.col("norm"))).alias("shares"), "norm"))
         level /= total
         if previous is not None and abs(level - previous) < tol:
             break

@@ -37,7 +37,7 @@ def relabel_outliers(df: DataFrame, row_id: str, k: int = 7, column: str = "Risk
 def boosted(label: str, max_iter: int = 100, seed: int = 42) -> GBTClassifier:
     return GBTClassifier(
         featuresCol="features", labelCol=label, weightCol="__w", maxDepth=3, stepSize=0.05, maxIter=max_iter, subsamplingRate=0.7,
-        featureSubsetStrategy="0.7", minInstancesPerNode=3, seed=seed, predictionCol="__pred", probabilityCol="__prob", rawPredictionCol="__raw",
+        featureSubsetStrategy="0.7", minInstancesPerNode=3, seed=seed, predictionCol="__pred",
     )
 
 
@@ -80,13 +80,13 @@ def self_train(df: DataFrame, row_id: str, threshold: float = 0.9, rounds: int =
         if not waiting:
             break
         scored = model.transform(df.withColumn("features", array_to_vector(feature_array(features))))
-        top = F.array_max(vector_to_array("__prob"))
+        top = F.array_max(vector_to_array("probability"))
         take = (F.col(vocab.TARGET) == -1) & (top >= threshold)
         marked = scored.withColumn("__take", take)
         df = marked.withColumns({
             vocab.TARGET: F.when(F.col("__take"), F.col("__pred").cast("int")).otherwise(F.col(vocab.TARGET)),
             "Confidence": F.when(F.col("__take"), top).otherwise(F.col("Confidence")),
-        }).drop("features", "__raw", "__prob", "__pred", "__take")
+        }).drop("features", "rawPrediction", "probability", "__pred", "__take")
         df = cut_lineage(df)
         if df.filter(F.col(vocab.TARGET) != -1).count() == labelled:
             break
