@@ -13,6 +13,7 @@ from sondage.functions.smooth import smooth_lifetime
 from sondage.functions.text import number
 from sondage.operators.encode import postprocess, range_smoothing
 from sondage.operators.schema import ref
+from sondage.session import cut_lineage
 from sondage.sources.survey import CHOICE_SHARE, LABELS, NULL_SHARE, NULLABLE, ROW_ID, read_table, survey_raw, survey_translated
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -57,10 +58,10 @@ _TABLES: dict[tuple, DataFrame] = {}
 
 
 def encoded_table(spark: SparkSession, d: str, base: str = "customer") -> DataFrame:
-    """The encoded survey, kept for the session: queries that pass over it several times start here."""
+    """The encoded survey, written once per session: queries that pass over it several times start here."""
     key = (spark.sparkContext.applicationId, d, base)
     if key not in _TABLES:
-        _TABLES[key] = encoded(spark, d, base).select(ROW_ID, *[ref(c) for c in encoded_columns()]).persist()
+        _TABLES[key] = cut_lineage(encoded(spark, d, base).select(ROW_ID, *[ref(c) for c in encoded_columns()]))
     return _TABLES[key]
 
 

@@ -24,6 +24,7 @@ from sondage.operators.order import quantiles
 from sondage.operators.profile import argmin_group
 from sondage.operators.scale import ScalerParams, apply_scaler, feature_array, fit_standard, risk_score
 from sondage.operators.schema import drop_null_rows, numeric_columns, ref
+from sondage.session import cut_lineage
 
 # ------------------------------------------------------------------------ PCA
 
@@ -200,36 +201,27 @@ class Mixture1D:
     variance: list[float]
     rounds: int
 
-    def log_densities(self, x: Column) -> Column:
-        """Array of the component densities.
+    def log_densities(self, x: str) -> str:
+        """SQL of the array of component densities at column ``x``.
 
         The parameters sit in array literals, so the generated code is the
         same in every round and compiles once.
         """
-        mean, double_variance = list_literal(self.mean), list_literal([2.0 * v for v in self.variance])
+        constant, mean, spread = _doubles(self.constant), _doubles(self.mean), _doubles([2.0 * v for v in self.variance])
+        return f"transform({constant}, (c, i) -> c - ({x} - {mean}[i]) * ({x} - {mean}[i]) / {spread}[i])"
 
-        def density(constant: Column, i: Column) -> Column:
-            gap = x - F.get(mean, i)
-            return constant - gap * gap / F.get(double_variance, i)
-
-        return F.transform(list_literal(self.constant), density)
-
-    def cluster(self, x: Column) -> Column:
+    def cluster(self, column: str) -> Column:
         """Index of the most likely component."""
-        parts = self.log_densities(x)
-        return (F.array_position(parts, F.array_max(parts)) - F.lit(1)).cast("int")
+        parts = self.log_densities(f"cast(`{column}` as double)")
+        return F.expr(f"cast(array_position({parts}, array_max({parts})) - 1 as int)")
 
     @property
     def safest(self) -> int:
         return int(np.argmin(self.mean))
 
 
-def _gap(centre: Column) -> Column:
-    return F.abs(F.col("x") - centre)
-
-
-def _is(index: Column):
-    return lambda i: (index == i).cast("double")
+def _doubles(values: list[float]) -> str:
+    return "array(" + ", ".join(f"{float(v)!r}D" for v in values) + ")"
 
 
 def bayes_gmm_1d(df: DataFrame, column: str, k: int = 3, prior: float | None = None, max_iter: int = 500, tol: float = 1e-6) -> Mixture1D:
@@ -241,7 +233,8 @@ def bayes_gmm_1d(df: DataFrame, column: str, k: int = 3, prior: float | None = N
     prior = 1.0 / k if prior is None else prior
     x = ref(column).cast("double")
     counts = df.filter(x.isNotNull()).groupBy(x.alias("x")).agg(F.count(F.lit(1)).cast("double").alias("n"))
-    distinct = counts.persist()
+    # a checkpoint leaves a leaf plan, so the rounds below plan fast and survive lost executors
+    distinct = cut_lineage(counts)
     total, centre, spread, values = distinct.agg(
         F.sum("n"), F.sum(F.col("n") * F.col("x")) / F.sum("n"),
         F.sum(F.col("n") * F.col("x") * F.col("x")), F.count("x"),
@@ -254,20 +247,17 @@ def bayes_gmm_1d(df: DataFrame, column: str, k: int = 3, prior: float | None = N
     cut = quantiles(distinct.withColumn("w", F.col("n").cast("long")), ["x"], [(i + 0.5) / k for i in range(k)], weight="w")["x"]
     means = [float(v) for v in cut]
 
+    picks = [f"sum(n * shares[{i}]{x})" for i in range(k) for x in ("", " * x", " * x * x")] + ["sum(n * norm)"]
+
     def sums(shares: DataFrame):
-        parts = []
-        for i in range(k):
-            r = F.col("n") * F.get("shares", i)
-            parts += [F.sum(r), F.sum(r * F.col("x")), F.sum(r * F.col("x") * F.col("x"))]
-        row = shares.agg(*parts, F.sum(F.col("n") * F.col("norm"))).first()
+        row = shares.selectExpr(*picks).first()
         return [row[3 * i:3 * i + 3] for i in range(k)], row[3 * k]
 
     state = None
     for _ in range(20):  # nearest-centre rounds give the starting shares
-        gaps = distinct.select("x", "n", F.transform(list_literal(means), _gap).alias("gaps"))
-        nearest = F.array_position("gaps", F.array_min("gaps")) - F.lit(1)
-        mine = F.transform(F.sequence(F.lit(0), F.lit(k - 1)), _is(nearest))
-        state, _ = sums(gaps.select("x", "n", mine.alias("shares"), F.lit(0.0).alias("norm")))
+        gaps = distinct.selectExpr("x", "n", f"transform({_doubles(means)}, m -> abs(x - m)) AS gaps")
+        nearest = f"transform(sequence(1, {k}), i -> cast(array_position(gaps, array_min(gaps)) = i as double)) AS shares"
+        state, _ = sums(gaps.selectExpr("x", "n", nearest, "0.0D AS norm"))
         moved = [s[1] / s[0] if s[0] else m for s, m in zip(state, means)]
         if max(abs(a - b) for a, b in zip(moved, means)) < 1e-9:
             break
@@ -291,32 +281,29 @@ def bayes_gmm_1d(df: DataFrame, column: str, k: int = 3, prior: float | None = N
             log_scale = math.log(2.0) + digamma(freedom[i] / 2.0) - math.log(freedom[i])
             constant.append(log_weight - 0.5 * (math.log(2 * math.pi) + math.log(var[i])) + 0.5 * (log_scale - 1.0 / precision[i]))
         mixture = Mixture1D(column, constant, mean, var, step + 1)
-        dense = distinct.select("x", "n", mixture.log_densities(F.col("x")).alias("parts"))
-        top = F.array_max("parts")
-        spreads = F.aggregate("parts", F.lit(0.0), lambda acc, p: acc + F.exp(p - F.array_max("parts")))
-        normed = dense.select("x", "n", "parts", (top + F.log(spreads)).alias("norm"))
-        state, level = sums(normed.select("x", "n", F.transform("parts", lambda p: F.exp(p - F.col("norm"))).alias("shares"), "norm"))
+        dense = distinct.selectExpr("x", "n", f"{mixture.log_densities('x')} AS parts")
+        normed = dense.selectExpr("x", "n", "parts", "array_max(parts) + ln(aggregate(parts, 0.0D, (a, p) -> a + exp(p - array_max(parts)))) AS norm")
+        state, level = sums(normed.selectExpr("x", "n", "transform(parts, p -> exp(p - norm)) AS shares", "norm"))
         level /= total
         if previous is not None and abs(level - previous) < tol:
             break
         previous = level
-    counts.unpersist()
     return mixture
 
 
 def risk_clusters(df: DataFrame, ks=range(2, 9), weights: dict[str, float] | None = None) -> tuple[DataFrame, DataFrame]:
     """(scored rows with Cluster and level, silhouette per component count)."""
-    scored = risk_score(df, weights).persist()
+    scored = cut_lineage(risk_score(df, weights))
     found = []
     for k in ks:
         mixture = bayes_gmm_1d(scored, "Risk_Score", k)
-        labelled = scored.withColumn("Cluster", mixture.cluster(F.col("Risk_Score")))
+        labelled = scored.withColumn("Cluster", mixture.cluster("Risk_Score"))
         found.append((k, silhouette_1d(labelled.select("Risk_Score", "Cluster"), "Risk_Score", "Cluster"), mixture))
     usable = [f for f in found if f[1] is not None and f[1] == f[1]]
     if not usable:
         raise ValueError("no valid clustering found")
     best = max(usable, key=lambda f: f[1])[2]
-    labelled = scored.withColumn("Cluster", best.cluster(F.col("Risk_Score")))
+    labelled = scored.withColumn("Cluster", best.cluster("Risk_Score"))
     safe = argmin_group(labelled, "Cluster", "Risk_Score")
     out = labelled.withColumn(vocab.TARGET, F.when(F.col("Cluster") == safe, F.lit(0)).otherwise(F.lit(1)))
     table = df.sparkSession.createDataFrame([(k, s, k == len(best.mean)) for k, s, _ in found], "components int, silhouette double, best boolean")

@@ -23,7 +23,7 @@ MIN_TRAIN = 10
 def auto_label(df: DataFrame, k: int = 3, prior: float = 0.1, column: str = "Risk_Score") -> DataFrame:
     """Adds Cluster and Auto_Label: 0 in the component with the smallest mean, else 1."""
     mixture = bayes_gmm_1d(df, column, k, prior)
-    df = df.withColumn("Cluster", mixture.cluster(ref(column)))
+    df = df.withColumn("Cluster", mixture.cluster(column))
     return df.withColumn("Auto_Label", F.when(F.col("Cluster") == mixture.safest, F.lit(0)).otherwise(F.lit(1)))
 
 
