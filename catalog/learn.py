@@ -70,7 +70,7 @@ def fit_svm(spark, d):
 @query("train_suite")
 def train_suite(spark, d):
     train, test = halves(spark, d)
-    fitted, table = models.train_suite(train, test, FEATURES, names=["LogisticRegression", "SVM"])
+    fitted, table = models.train_suite(train, test, FEATURES, names=["LogisticRegression", "RandomForest"])
     full = models.metrics_table(table, models.overfit_report(fitted, train, test), fitted)
     return full.select("model", "roc_auc", "f1_score", "cv_f1_mean", "cv_f1_std", "train_accuracy", "test_accuracy", "overfit_ratio")
 
