@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from sondage.llm import decontaminate, langid, mixing, quality, simhash
+from sondage.llm import decontaminate, htmltext, langid, licenses, lmscore, lzprint, mixing, quality, simhash, urltree
 from sondage.llm.common import crc_mod, table
 from sondage.llm.registry import ORACLE, QUERIES, query
 from sondage.llm.sql import MIXING_SQL
@@ -29,6 +29,17 @@ def op2_mixing(spark: SparkSession, d: str) -> DataFrame:
     return mixing.mix(table(spark, d, "documents"), weights).select("doc_id", "size", "source_size", F.round("target", 6).alias("target"), "taken")
 
 
+@query("op3_licenses")
+def op3_licenses(spark: SparkSession, d: str) -> DataFrame:
+    return licenses.scan_licenses(table(spark, d, "documents").select("doc_id", "text")).select("row.doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
+
+
+@query("op4_lm_scoring")
+def op4_lm_scoring(spark: SparkSession, d: str) -> DataFrame:
+    found = lmscore.score(table(spark, d, "documents"), table(spark, d, "labels"))
+    return found.select("row.doc_id", "n_tokens", "target_loss", "background_loss", "score")
+
+
 @query("op5_simhash")
 def op5_simhash(spark: SparkSession, d: str) -> DataFrame:
     found = simhash.groups(table(spark, d, "documents"))
@@ -43,6 +54,26 @@ def op6_langid(spark: SparkSession, d: str) -> DataFrame:
     return langid.identify(docs.select("doc_id", "text"), profiles).select("row.doc_id", "lang_pred", "score").select("doc_id", held, "lang_pred", "score")
 
 
+@query("op7_lz_fingerprint")
+def op7_lz_fingerprint(spark: SparkSession, d: str) -> DataFrame:
+    return lzprint.fingerprint_pairs(table(spark, d, "documents"))
+
+
+# the rules of the query: verdict, host, path
+URL_RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/")]
+
+
+@query("op8_url_filter")
+def op8_url_filter(spark: SparkSession, d: str) -> DataFrame:
+    return urltree.judge(table(spark, d, "pages"), URL_RULES).select("page_id", "host", "path", "rule", "verdict", "template")
+
+
+@query("op10_html_extraction")
+def op10_html_extraction(spark: SparkSession, d: str) -> DataFrame:
+    pages = table(spark, d, "pages").select("page_id", "url", "html")
+    return htmltext.extract(pages, htmltext.fit_labeller(pages)).select("row.page_id", "row.url", "text", "n_chars")
+
+
 @query("op9_decontamination")
 def op9_decontamination(spark: SparkSession, d: str) -> DataFrame:
     return decontaminate.contaminated(table(spark, d, "documents"), table(spark, d, "benchmark"))
