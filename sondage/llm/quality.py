@@ -140,7 +140,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, where: Column | None = None,
     """A model of label 1 from the labelled documents (that fit ``where``, a condition on the id column).
 
     At most ``sample`` labels are used, those with the smallest hash of their id. Labels other than 0 and 1, and null
-    ids, are passed over; a repeated label counts once; with no label, or one kind only, the model is the smoothed
+    ids, are passed over; a repeated label or document counts once; with no label, or one kind only, the model is the smoothed
     share. The sample is sorted before fitting, so the same rows give the same model.
     """
     marks = labels.select(col(doc_id).alias("doc_id"), col(label).cast("int").alias("y"))
@@ -156,7 +156,9 @@ def fit_quality(docs: DataFrame, labels: DataFrame, where: Column | None = None,
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *[pa.array(x[:, i]) for i in range(x.shape[1])]], names=["doc_id", "y", *FEATURES])
 
     kind = rows.schema["doc_id"].dataType.simpleString()
-    got = arrow_rows(rows, run, f"doc_id {kind}, y int, " + ", ".join(f"{f} double" for f in FEATURES)).toPandas()
+    found = arrow_rows(rows, run, f"doc_id {kind}, y int, " + ", ".join(f"{f} double" for f in FEATURES))
+    # a row per label, however often its document is repeated, so the sample's bound holds
+    got = found.groupBy("doc_id", "y").agg(F.min(F.struct(*FEATURES)).alias("x")).select("doc_id", "y", "x.*").toPandas()
     got = got.sort_values(["doc_id", "y", *FEATURES], kind="stable")
     return Model(got[FEATURES].to_numpy(float), got["y"].to_numpy(float))
 
