@@ -112,7 +112,8 @@ def score(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     good = labels.where((col(label) == value) & col(doc_id).isNotNull()).select(col(doc_id).alias("doc_id")).distinct().withColumn("target", F.lit(True))
     vocab = vocabulary(picked)
     counts = np.zeros((2, TRIGRAMS), dtype=np.int64)
-    got = count_trigrams(picked.join(good, "doc_id", "left"), "target", vocab).toPandas()  # a row per trigram of the vocabulary at most
+    # one plan for all sizes: texts are dealt by id once, to meet labels of which no bound is known
+    got = count_trigrams(picked.join(good.hint("merge"), "doc_id", "left"), "target", vocab).toPandas()  # a row per trigram of the vocabulary at most
     counts[0, got["gram"]], counts[1, got["gram"]] = got["background"], got["target"]
     tables = docs.sparkSession.sparkContext.broadcast(np.stack([loss_table(counts[1]), loss_table(counts[0])]).astype(np.float32))
 
