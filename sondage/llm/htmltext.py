@@ -307,10 +307,12 @@ def varied(found: list[Block], rng: np.random.Generator) -> list[Block]:
 def fit_labeller(pages: DataFrame, page_id: str = "page_id", text: str = "html", sample: int = SAMPLE_PAGES) -> Labeller:
     """A labeller fitted on at most ``sample`` pages of bounded length, each as it is and in one varied copy.
 
-    Labels come from the marks of the pages themselves (``teach``). Without any page the weights stay as drawn.
+    Labels come from the marks of the pages themselves (``teach``). Ids are drawn first, so tasks send no texts that are
+    not used; a repeated id counts once, null ids not at all. Without any page the weights stay as drawn.
     """
     rows = pages.select(col(page_id).alias("page_id"), col(text).alias("html")).where(F.col("html").isNotNull() & (F.length("html") <= SAMPLE_CHARS))
-    got = rows.orderBy(F.xxhash64("page_id"), "page_id", "html").limit(sample).collect()
+    ids = rows.select("page_id").where("page_id IS NOT NULL").distinct().orderBy(F.xxhash64("page_id"), "page_id").limit(sample)
+    got = rows.join(F.broadcast(ids), "page_id").groupBy("page_id").agg(F.min("html").alias("html")).orderBy("page_id").collect()
     rng, vectors, made = np.random.default_rng(3), Vectors(), []
     for r in got:
         found = blocks(r["html"])
