@@ -5,13 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from catalog.base import ROW_ID, SCORED, encoded_table, query, read_table, rounded
-from catalog.neighbours import vectors
+from catalog.neighbours import VALUES, vectors
 from sondage import vocab
 from sondage.operators import cluster, label, metrics, profile, scale
 
-EIGHT = [f"e{i}" for i in range(8)]
-LINE = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
-
 
 @query("pca_scree", """WITH s AS (SELECT corr(l_quantity, l_extendedprice) AS r FROM lineitem)
 SELECT 1 AS component, round((1 + abs(r)) / 2, 6) AS ratio FROM s UNION ALL SELECT 2, round((1 - abs(r)) / 2, 6) FROM s""")
@@ -39,12 +36,12 @@ def pca_project(spark, d):
 
 @query("kmeans_range")
 def kmeans_range(spark, d):
-    return rounded(cluster.kmeans_range(vectors(spark, d), EIGHT, "vec_id", range(2, 6), 3).table)
+    return rounded(cluster.kmeans_range(vectors(spark, d), VALUES, "vec_id").table)
 
 
 @query("silhouette_by_k")
 def silhouette_by_k(spark, d):
-    found = cluster.kmeans_range(vectors(spark, d), EIGHT, "vec_id", range(2, 4), 2)
+    found = cluster.kmeans_range(vectors(spark, d), VALUES, "vec_id", n_init=1)
     return rounded(cluster.silhouette_rows(found.table))
 
 
@@ -57,15 +54,15 @@ def best_k_elbow(spark, d):
 
 @query("gmm_clusters")
 def gmm_clusters(spark, d):
-    fit = cluster.gmm(vectors(spark, d), EIGHT, 3, "vec_id")
+    fit = cluster.gmm(vectors(spark, d), VALUES, 3, "vec_id")
     return fit.labelled.groupBy("cluster_gmm").agg(F.count(F.lit(1)).alias("n"), F.min("cluster_confidence").alias("low"), F.lit(fit.bic).alias("bic"), F.lit(fit.aic).alias("aic"))
 
 
 @query("clustering_summary")
 def clustering_summary(spark, d):
     df = vectors(spark, d)
-    found = cluster.kmeans_range(df, EIGHT, "vec_id", range(2, 4), 2)
-    fit = cluster.gmm(df, EIGHT, found.best, "vec_id")
+    found = cluster.kmeans_range(df, VALUES, "vec_id", n_init=1)
+    fit = cluster.gmm(df, VALUES, found.best, "vec_id")
     both = found.labelled.select("vec_id", F.col(f"k{found.best}").alias("cluster_kmeans")).join(fit.labelled.select("vec_id", "cluster_gmm"), "vec_id").persist()
     best = found.table.filter(F.col("k") == found.best).first()["silhouette"]
     ari = metrics.adjusted_rand(both, "cluster_kmeans", "cluster_gmm").first()[0]
@@ -83,7 +80,7 @@ def bayes_gmm(spark, d):
 
 @query("risk_clusters")
 def risk_clusters(spark, d):
-    return cluster.risk_clusters(encoded_table(spark, d), range(2, 5))[1]
+    return cluster.risk_clusters(encoded_table(spark, d))[1]
 
 
 @query("isolation_outliers")
@@ -95,7 +92,7 @@ def isolation(spark, d):
 @query("label_risk")
 def label_risk(spark, d):
     df = scale.standardise(encoded_table(spark, d), vocab.SCALED)[0]
-    return profile.class_counts(label.label_risk(df, ROW_ID, max_iter=20))
+    return profile.class_counts(label.label_risk(df, ROW_ID))
 
 
 @query("label_quality", f"""{SCORED}, v AS (SELECT (round(Risk_Score, 9) > 0.1)::INT AS y, CASE WHEN Debt_Level = 0 THEN -1 WHEN Debt_Level >= 3 THEN 1 ELSE 0 END AS p FROM scored), k AS (SELECT * FROM (VALUES (0), (1)) t(label)),

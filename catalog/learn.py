@@ -5,15 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from catalog.base import ENCODED, ROW_ID, encoded_table, query, read_table, rounded, u_sql
-from catalog.neighbours import VECTORS, vectors
+from catalog.neighbours import VALUES, VECTORS, vectors
 from catalog.prepare import constraint_input
 from sondage import vocab
 from sondage.functions.draws import u
 from sondage.operators import augment, metrics, models, relate, scale
 from sondage.operators.schema import features_of, ref
 
-EIGHT = [f"e{i}" for i in range(8)]
-
 
 def labelled(spark, d):
     """Encoded survey with a level that follows debt, saving and a draw."""
@@ -58,7 +56,7 @@ def fit_forest(spark, d):
 @query("fit_boosted")
 def fit_boosted(spark, d):
     train, test = halves(spark, d)
-    return judge(spark, models.fit_boosted(train, FEATURES, rounds=20), test)
+    return judge(spark, models.fit_boosted(train, FEATURES), test)
 
 
 @query("fit_svm")
@@ -70,14 +68,14 @@ def fit_svm(spark, d):
 @query("train_suite")
 def train_suite(spark, d):
     train, test = halves(spark, d)
-    fitted, table = models.train_suite(train, test, FEATURES, names=["LogisticRegression", "RandomForest"])
+    fitted, table = models.train_suite(train, test, FEATURES)
     full = models.metrics_table(table, models.overfit_report(fitted, train, test), fitted)
     return full.select("model", "roc_auc", "f1_score", "cv_f1_mean", "cv_f1_std", "train_accuracy", "test_accuracy", "overfit_ratio")
 
 
 @query("learning_curve")
 def learning_curve(spark, d):
-    return models.learning_curve(labelled(spark, d), FEATURES, folds=3)
+    return models.learning_curve(labelled(spark, d), FEATURES)
 
 
 @query("coefficient_table")
@@ -87,17 +85,17 @@ def coefficient_table(spark, d):
 
 
 def grown_by_smote(spark, d):
-    df = vectors(spark, d).select("vec_id", *EIGHT, "label")
+    df = vectors(spark, d).select("vec_id", *VALUES, "label")
     sizes = {r[0]: r[1] for r in df.groupBy("label").count().collect()}
-    return augment.smote(df, EIGHT, "label", {0: sizes[0] + 40, 1: sizes[1] + 25}, 5, "vec_id")
+    return augment.smote(df, VALUES, "label", {0: sizes[0] + 40, 1: sizes[1] + 25}, 5, "vec_id")
 
 
 @query("smote", f"""{VECTORS}, p AS (SELECT a.vec_id, a.label, a.e AS x, b.e AS y, row_number() OVER (PARTITION BY a.vec_id ORDER BY list_distance(a.e, b.e), b.vec_id) AS rank FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id),
 o AS (SELECT vec_id, label, row_number() OVER (PARTITION BY label ORDER BY {u_sql('vec_id', 'base:42')}, vec_id) AS base, count(*) OVER (PARTITION BY label) AS have FROM v WHERE label < 2),
 g AS (SELECT 0 AS label, range AS n, 0 AS skip FROM range(40) UNION ALL SELECT 1, range, 40 FROM range(25)),
 s AS (SELECT g.*, o.vec_id, floor({u_sql('n', 'neighbour:42')} * 5)::INT + 1 AS rank, {u_sql('n', 'share:42')} AS share FROM g JOIN o ON o.label = g.label AND o.base = g.n % o.have + 1)
-SELECT -(1099511627776 + skip) - n AS vec_id, s.label, {', '.join(f'round(x[{i + 1}] + share * (y[{i + 1}] - x[{i + 1}]), 5) + 0.0 AS e{i}' for i in range(8))} FROM s JOIN p ON p.vec_id = s.vec_id AND p.rank = s.rank
-UNION ALL SELECT vec_id, label, {', '.join(f'round(e[{i + 1}], 5) + 0.0' for i in range(8))} FROM v""")
+SELECT -(1099511627776 + skip) - n AS vec_id, s.label, {', '.join(f'round(x[{i + 1}] + share * (y[{i + 1}] - x[{i + 1}]), 5) + 0.0 AS e{i}' for i in range(64))} FROM s JOIN p ON p.vec_id = s.vec_id AND p.rank = s.rank
+UNION ALL SELECT vec_id, label, {', '.join(f'round(e[{i + 1}], 5) + 0.0' for i in range(64))} FROM v""")
 def smote(spark, d):
     return rounded(grown_by_smote(spark, d), 5)
 
@@ -105,34 +103,34 @@ def smote(spark, d):
 @query("drop_tomek", f"""{VECTORS}, p AS (SELECT a.vec_id, b.vec_id AS nbr, a.y AS ya, b.y AS yb, row_number() OVER (PARTITION BY a.vec_id ORDER BY list_distance(a.e, b.e), b.vec_id) AS r FROM v a, v b WHERE a.vec_id <> b.vec_id),
 o AS (SELECT * FROM p WHERE r = 1) SELECT vec_id FROM v WHERE vec_id NOT IN (SELECT a.vec_id FROM o a JOIN o b ON a.nbr = b.vec_id AND b.nbr = a.vec_id WHERE a.ya <> b.ya)""")
 def drop_tomek(spark, d):
-    return augment.drop_tomek(vectors(spark, d).select("vec_id", *EIGHT, "y"), EIGHT, "y", "vec_id").select("vec_id")
+    return augment.drop_tomek(vectors(spark, d).select("vec_id", *VALUES, "y"), VALUES, "y", "vec_id").select("vec_id")
 
 
 @query("smote_tomek")
 def smote_tomek(spark, d):
-    df = vectors(spark, d).select("vec_id", *EIGHT, "y")
+    df = vectors(spark, d).select("vec_id", *VALUES, "y")
     sizes = {r[0]: r[1] for r in df.groupBy("y").count().collect()}
-    out = augment.smote_tomek(df, EIGHT, "y", {c: max(sizes.values()) + 20 for c in sizes}, 5, "vec_id")
+    out = augment.smote_tomek(df, VALUES, "y", {c: max(sizes.values()) + 20 for c in sizes}, 5, "vec_id")
     return out.groupBy("y").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("vec_id") < 0).alias("made"))
 
 
 @query("adasyn")
 def adasyn(spark, d):
-    df = vectors(spark, d).withColumn("rare", (F.col("label") < 3).cast("int")).select("vec_id", *EIGHT, "rare")
-    return augment.adasyn(df, EIGHT, "rare", 5, "vec_id").groupBy("rare").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("vec_id") < 0).alias("made"))
+    df = vectors(spark, d).withColumn("rare", (F.col("label") < 3).cast("int")).select("vec_id", *VALUES, "rare")
+    return augment.adasyn(df, VALUES, "rare", 5, "vec_id").groupBy("rare").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("vec_id") < 0).alias("made"))
 
 
 @query("augmentation_metrics")
 def augmentation_metrics(spark, d):
-    df = vectors(spark, d).select("vec_id", *EIGHT, "y")
-    figures = augment.augmentation_metrics(df, df.filter("vec_id % 5 <> 0"), EIGHT, "y", "vec_id")
+    df = vectors(spark, d).select("vec_id", *VALUES, "y")
+    figures = augment.augmentation_metrics(df, df.filter("vec_id % 5 <> 0"), VALUES, "y", "vec_id")
     return rounded(spark.createDataFrame([(k, float(v), augment.accept(figures, figures)) for k, v in figures.items()], "metric string, value double, status string"))
 
 
 @query("augment_smote")
 def augment_smote(spark, d):
-    """Two phases with one round each, on the embeddings' first eight values."""
-    df = vectors(spark, d).withColumn(vocab.TARGET, (F.col("label") < 4).cast("int")).select(F.col("vec_id").alias(ROW_ID), *EIGHT, vocab.TARGET)
+    """Two phases with one round each, on the embeddings."""
+    df = vectors(spark, d).withColumn(vocab.TARGET, (F.col("label") < 4).cast("int")).select(F.col("vec_id").alias(ROW_ID), *VALUES, vocab.TARGET)
     out, history = augment.augment_smote(df, df.count() + 200, state=augment.GrowState(step_fraction=0.5, max_rounds=1))
     return out.groupBy(vocab.TARGET).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col(ROW_ID) < 0).alias("made"), F.lit(len(history)).alias("rounds"))
 
@@ -172,7 +170,7 @@ def augment_filtered(spark, d):
 def top_up(spark, d):
     df = labelled(spark, d).select(ROW_ID, *FEATURES, vocab.TARGET)
     sizes = models.class_sizes(df)
-    out = augment.top_up(df, 2 * (min(sizes.values()) + 30), max_rounds=3)
+    out = augment.top_up(df, 2 * (min(sizes.values()) + 30))
     return out.groupBy(vocab.TARGET).agg(F.count(F.lit(1)).alias("n"))
 
 

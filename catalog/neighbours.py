@@ -9,14 +9,17 @@ from sondage.functions.draws import u
 from sondage.operators import metrics, neighbours, scale
 
 
+VALUES = [f"e{i}" for i in range(64)]
+
+
 def vectors(spark, d):
     """Embeddings with their label as two risk classes."""
     df = read_table(spark, d, "embeddings")
     return df.select("vec_id", F.col("embedding").cast("array<double>").alias("x"), (F.col("label") % 2).alias("y"), "label",
-                     *[F.get("embedding", i).cast("double").alias(f"e{i}") for i in range(8)])
+                     *[F.get("embedding", i).cast("double").alias(c) for i, c in enumerate(VALUES)])
 
 
-VECTORS = """WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS x, (label % 2)::INT AS y, label, [embedding[1], embedding[2], embedding[3], embedding[4], embedding[5], embedding[6], embedding[7], embedding[8]]::DOUBLE[] AS e FROM embeddings)"""
+VECTORS = """WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS x, (label % 2)::INT AS y, label, embedding::DOUBLE[] AS e FROM embeddings)"""
 
 
 def pairs_sql(extra: str = "", field: str = "x") -> str:
@@ -35,7 +38,7 @@ def knn_same_class(spark, d):
 
 @query("avg_knn_distance", f"{pairs_sql()} SELECT round(sum(dist) / (5.0 * (SELECT count(*) FROM v)), 5) AS distance FROM n WHERE rank <= 4".replace("list_distance(a.x, b.x)", "list_distance(a.e, b.e)"))
 def avg_knn_distance(spark, d):
-    value = neighbours.avg_knn_distance(vectors(spark, d), [f"e{i}" for i in range(8)], "vec_id")
+    value = neighbours.avg_knn_distance(vectors(spark, d), VALUES, "vec_id")
     return rounded(spark.createDataFrame([(value,)], "distance double"), 5)
 
 
@@ -47,8 +50,7 @@ def tomek_links(spark, d):
 @query("knn_predict", f"{pairs_sql('AND a.vec_id % 4 = 0 AND b.vec_id % 4 <> 0', 'e')} SELECT vec_id, (avg(yb) > 0.5)::INT AS predicted FROM n WHERE rank <= 5 GROUP BY 1")
 def knn_predict(spark, d):
     df = vectors(spark, d)
-    columns = [f"e{i}" for i in range(8)]
-    return neighbours.knn_predict(df.filter("vec_id % 4 = 0"), df.filter("vec_id % 4 <> 0"), columns, "y", 5, "vec_id")
+    return neighbours.knn_predict(df.filter("vec_id % 4 = 0"), df.filter("vec_id % 4 <> 0"), VALUES, "y", 5, "vec_id")
 
 
 @query("knn_vote_1d", f"""{SCORED}, v AS (SELECT respondent_id AS id, round(Risk_Score, 6) AS x, (Risk_Score > 0.1)::INT AS l, ({u_sql('respondent_id', 'outlier')} < 0.05) AS o FROM scored),
@@ -64,14 +66,14 @@ def knn_vote_1d(spark, d):
 t AS (SELECT vec_id, max(s / greatest(n - 1, 1)) FILTER (own = other) AS a, min(s / n) FILTER (own <> other) AS b, max(n) FILTER (own = other) AS size FROM s JOIN n ON n.label = s.other GROUP BY 1)
 SELECT round(avg(CASE WHEN size = 1 THEN 0 ELSE (b - a) / greatest(a, b) END), 5) AS silhouette, 'euclidean' AS metric FROM t""")
 def silhouette_exact(spark, d):
-    value, metric = metrics.silhouette(vectors(spark, d), [f"e{i}" for i in range(8)], "label", "vec_id", "exact")
+    value, metric = metrics.silhouette(vectors(spark, d), VALUES, "label", "vec_id", "exact")
     return rounded(spark.createDataFrame([(value, metric)], "silhouette double, metric string"), 5)
 
 
-@query("silhouette_fast", f"""{VECTORS}, k AS (SELECT label, count(*) AS n, [avg(e[1]), avg(e[2]), avg(e[3]), avg(e[4]), avg(e[5]), avg(e[6]), avg(e[7]), avg(e[8])] AS c, avg(list_inner_product(e, e)) AS q FROM v GROUP BY 1),
+@query("silhouette_fast", f"""{VECTORS}, k AS (SELECT label, count(*) AS n, [{", ".join(f"avg(e[{i}])" for i in range(1, 65))}] AS c, avg(list_inner_product(e, e)) AS q FROM v GROUP BY 1),
 s AS (SELECT vec_id, v.label AS own, k.label AS other, n, list_inner_product(e, e) - 2 * list_inner_product(e, c) + q AS m FROM v, k),
 t AS (SELECT vec_id, max(m * n / greatest(n - 1, 1)) FILTER (own = other) AS a, min(m) FILTER (own <> other) AS b, max(n) FILTER (own = other) AS size FROM s GROUP BY 1)
 SELECT round(avg(CASE WHEN size = 1 THEN 0 ELSE (b - a) / greatest(a, b) END), 5) AS silhouette, 'squared_euclidean' AS metric FROM t""")
 def silhouette_fast(spark, d):
-    value, metric = metrics.silhouette(vectors(spark, d), [f"e{i}" for i in range(8)], "label", "vec_id", "fast")
+    value, metric = metrics.silhouette(vectors(spark, d), VALUES, "label", "vec_id", "fast")
     return rounded(spark.createDataFrame([(value, metric)], "silhouette double, metric string"), 5)

@@ -125,7 +125,7 @@ def histogram(spark, d):
 
 
 @query("kde", """WITH r AS (SELECT count(*) AS n, min(l_quantity) AS lo, max(l_quantity) AS hi, stddev_samp(l_quantity) AS sd FROM lineitem),
-c AS (SELECT l_quantity AS v, count(*) AS m FROM lineitem GROUP BY 1), g AS (SELECT range AS k FROM range(200))
+c AS (SELECT lo + (least(floor((l_quantity - lo) / ((hi - lo) / 2048)), 2047) + 0.5::DOUBLE) * ((hi - lo) / 2048) AS v, count(*) AS m FROM lineitem, r GROUP BY 1), g AS (SELECT range AS k FROM range(200))
 SELECT round(lo + k * (hi - lo) / 199, 5) AS x, round(sum(m * exp(-0.5 * pow((lo + k * (hi - lo) / 199 - v) / (sd * pow(n, -0.2)), 2))) / (any_value(n) * any_value(sd) * pow(any_value(n), -0.2) * sqrt(2 * pi())), 6) AS density
 FROM g, c, r GROUP BY lo, hi, k""")
 def kde(spark, d):

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import warnings
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -106,12 +107,15 @@ def adasyn(df: DataFrame, columns: list[str], label: str, k: int = 5, row_id: st
         quota = ratio.withColumn("q", F.bround(F.col("r") / F.lit(whole) * F.lit(gap)).cast("int")).filter("q > 0")
         near = neighbours.knn(members, columns, min(k, have - 1), row_id)
         placed = _ordered(members.select(ref(row_id).alias("a")), "a", seed, "base", "__t").drop("__t")
+        # the jobs are numbered one after another, so a round stays inside its span of ids
         jobs = quota.join(placed, "a").select("base", F.explode(F.sequence(F.lit(1), "q")).alias("i"))
-        plan = jobs.select((F.col("base") * F.lit(1 << 20) + F.col("i")).alias("n"), "base")
+        jobs = cut_lineage(jobs.withColumns({"__all": F.lit(0), "__job": F.concat_ws("-", "base", "i")}))
+        numbered = class_ranks(jobs, ["__all"], u(F.col("__job"), f"job:{seed}"), "__job", "__rank", "__t")
+        plan = cut_lineage(numbered.select((F.col("__rank") - F.lit(1)).alias("n"), "base"))
         start = -(round_no * ROUND_SPAN + offset)
         made = _interpolate(members, near, columns, gap, min(k, have - 1), have, row_id, seed, start, plan)
         out = append(out, made.withColumn(label, F.lit(value).cast(dict(df.dtypes)[label])))
-        offset += (have + 1) << 20
+        offset += plan.count()
     return out
 
 
@@ -124,10 +128,15 @@ def knn_cv_f1(df: DataFrame, columns: list[str], label: str, row_id: str = "resp
     split = cut_lineage(stratified_folds(df.select(ref(row_id), *[ref(c) for c in columns], ref(label)), label, min(folds, n), row_id))
     near = neighbours.knn(split, columns, max(1, min(5, n // 2)), row_id, group="fold", relation="other")
     votes = neighbours.vote(near, split, row_id, label)
-    judged = split.select(ref(row_id), ref(label), "fold").join(votes, row_id)
-    table = judged.groupBy("fold").agg(F.count(F.lit(1))).count()
-    scores = [metrics.f1(judged.filter(F.col("fold") == i), label, "predicted", "weighted") for i in range(table)]
-    return float(np.mean(scores)) if scores else 0.0
+    judged = split.select(ref(row_id), ref(label).alias("y"), "fold").join(votes, row_id)
+    # one row per fold, class and prediction
+    cells = judged.groupBy("fold", "y", F.col("predicted").alias("p")).agg(F.count(F.lit(1)).alias("n"))
+    hit = F.sum(F.when(F.col("y") == F.col("p"), F.col("n")).otherwise(F.lit(0)))
+    real = cells.groupBy("fold", F.col("y").alias("c")).agg(F.sum("n").alias("real"), hit.alias("tp"))
+    told = cells.groupBy("fold", F.col("p").alias("c")).agg(F.sum("n").alias("told"))
+    both = real.join(told, ["fold", "c"], "left").withColumn("f1", F.lit(2.0) * F.col("tp") / (F.col("real") + F.coalesce("told", F.lit(0))))
+    weighted = both.groupBy("fold").agg((F.sum(F.col("f1") * F.col("real")) / F.sum("real")).alias("f1"))
+    return float(weighted.agg(F.avg("f1")).first()[0] or 0.0)
 
 
 def augmentation_metrics(current: DataFrame, previous: DataFrame | None, columns: list[str], label: str, row_id: str = "respondent_id") -> dict[str, float]:
@@ -172,6 +181,12 @@ def _sizes(df: DataFrame, label: str) -> list[int]:
     return [found.get(i, 0) for i in range(max(2, max(found, default=0) + 1))]
 
 
+def _told_if_short(step: str, size: int, goal: int) -> None:
+    """A growth that ends before its goal says so."""
+    if size < goal:
+        warnings.warn(f"{step} stopped at {size} of {goal} rows: its rounds are used up", RuntimeWarning, stacklevel=3)
+
+
 @dataclass
 class GrowState:
     """Step size and history shared by both phases."""
@@ -211,6 +226,7 @@ def balance_phase(df: DataFrame, columns: list[str], label: str, row_id: str, st
         grown = smote_tomek(current, columns, label, {minority: sizes[minority] + add}, row_id=row_id, seed=state.seed, round_no=state.rounds)
         current, before = _grow_round(current, grown, before, 1, number, columns, label, row_id, state)
         sizes = _sizes(current, label)
+    _told_if_short("balance_phase", sizes[minority], goal)
     return current
 
 
@@ -225,6 +241,7 @@ def expand_phase(df: DataFrame, columns: list[str], label: str, total: int, row_
         grown = smote(current, columns, label, {0: sizes[0] + each, 1: sizes[1] + each}, row_id=row_id, seed=state.seed, round_no=state.rounds)
         current, before = _grow_round(current, grown, before, 2, number, columns, label, row_id, state)
         sizes = _sizes(current, label)
+    _told_if_short("expand_phase", sum(sizes), total)
     return current
 
 
@@ -428,7 +445,7 @@ def balance_batch(generator: TabularGenerator, spark, n: int, label: str = vocab
     if min(sizes.get(0, 0), sizes.get(1, 0)) >= 0.3 * n:
         return batch
     more = generator.sample(spark, 3 * n, seed, row_id, start)
-    return trim_balanced(more, label, n // 2, row_id, seed)
+    return trim_balanced(more, label, max(1, n // 2), row_id, seed)
 
 
 def validate_batch(current: DataFrame, new: DataFrame, label: str = vocab.TARGET, row_id: str = "respondent_id", ks: bool = True) -> dict:
@@ -470,6 +487,7 @@ def augment_incremental(df: DataFrame, max_size: int = 2000, step_fraction: floa
         history.append({"round": number, "generated": add, "new_total": size + add, "metrics": figures})
         current = cut_lineage(append(current, batch))
         size = current.count()
+    _told_if_short("augment_incremental", size, max_size)
     return current, history
 
 
@@ -483,9 +501,11 @@ class Funnel:
     consistent: int = 0
 
 
-def _filtered_batch(source: DataFrame, current: DataFrame, n: int, label: str, row_id: str, seed: int, start: int, confidence: float, funnel: Funnel) -> DataFrame:
-    generator = TabularGenerator.fit(source, row_id=row_id)
-    batch = cut_lineage(balance_batch(generator, current.sparkSession, n, label, row_id, seed, start))
+def _filtered_batch(source: DataFrame, current: DataFrame, n: int, label: str, row_id: str, seed: int, start: int, confidence: float, funnel: Funnel,
+                    one_class: bool = False) -> DataFrame:
+    """``one_class``: the source holds one class only, which no batch can balance."""
+    generator, spark = TabularGenerator.fit(source, row_id=row_id), current.sparkSession
+    batch = cut_lineage(generator.sample(spark, n, seed, row_id, start) if one_class else balance_batch(generator, spark, n, label, row_id, seed, start))
     funnel.generated += n
     batch = cut_lineage(relabel_confident(current, batch, label, row_id, confidence, drop=True))
     funnel.confident += batch.count()
@@ -511,12 +531,16 @@ def augment_filtered(df: DataFrame, max_size: int = 2000, step_fraction: float =
         history.append({"round": funnel.rounds, "generated": added, "new_total": size + added, "metrics": figures})
         current = cut_lineage(append(current, batch))
         size += added
+    _told_if_short("augment_filtered", size, max_size)
     return current, history, funnel
 
 
 def top_up(df: DataFrame, max_size: int, label: str = vocab.TARGET, row_id: str = "respondent_id", seed: int = 42, confidence: float = 0.8, buffer: float = 1.5,
            max_rounds: int = 20, funnel: Funnel | None = None) -> DataFrame:
-    """Fill each class to half of ``max_size`` from a generator of that class, then trim to it."""
+    """Fill each class to half of ``max_size`` from a generator of that class, then trim to it.
+
+    Warns where ``max_rounds`` end before a class is full.
+    """
     funnel, half, current, number = funnel or Funnel(), max_size // 2, cut_lineage(df), 0
     for value in (0, 1):
         for _ in range(max_rounds):
@@ -525,9 +549,10 @@ def top_up(df: DataFrame, max_size: int, label: str = vocab.TARGET, row_id: str
                 break
             number += 1
             n = max(1, int(lacking * buffer))
-            batch = _filtered_batch(class_subset(current, value, label), current, n, label, row_id, seed + 1000 + number, -(1000 + number) * ROUND_SPAN, confidence, funnel)
+            batch = _filtered_batch(class_subset(current, value, label), current, n, label, row_id, seed + 1000 + number, -(1000 + number) * ROUND_SPAN, confidence, funnel, one_class=True)
             batch = sample_upto(class_subset(batch, value, label), lacking, row_id, seed)
             current = cut_lineage(append(current, batch))
+        _told_if_short("top_up", class_subset(current, value, label).count(), half)
     return trim_balanced(current, label, half, row_id, seed)
 
 
@@ -549,8 +574,9 @@ def fill_to(df: DataFrame, total: int = 1000, row_id: str = "respondent_id", see
         made = clean_generated(apply_constraints(drop_null_rows(made, columns), row_id))
         kinds = dict(out.dtypes)
         out = append(out, made.select(ref(row_id), *[ref(c).cast(kinds[c]).alias(c) for c in columns]))
-    # originals first, then generated rows in their running order
-    return out.orderBy((ref(row_id) < 0).cast("int"), F.abs(ref(row_id))).limit(total)
+        return out
+    # only originals, more of them than asked for
+    return out.orderBy(F.abs(ref(row_id))).limit(total) if have > total else out
 
 
 def expand_decoded(df: DataFrame, layout: FeatureLayout, label: str = vocab.TARGET, ratio: float = 5.5, row_id: str = "respondent_id", seed: int = 42) -> DataFrame:

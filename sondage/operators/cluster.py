@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from sondage import vocab
 from sondage.functions.draws import u, u_hash
 from sondage.functions.literals import list_literal
-from sondage.operators.metrics import EXACT_SILHOUETTE_ROWS, silhouette, silhouette_1d, silhouettes_exact
+from sondage.operators.metrics import silhouette, silhouette_1d, silhouettes_exact
 from sondage.operators.order import quantiles
 from sondage.operators.profile import argmin_group
 from sondage.operators.scale import ScalerParams, apply_scaler, feature_array, fit_standard, risk_score
@@ -104,15 +104,15 @@ def _with_features(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.withColumn("features", array_to_vector(feature_array(columns)))
 
 
-def kmeans_range(df: DataFrame, columns: list[str], row_id: str, ks=range(2, 11), n_init: int = 10, seed: int = 42, parallel: int = 4) -> KMeansRange:
+def kmeans_range(df: DataFrame, columns: list[str], row_id: str, ks=range(2, 11), n_init: int = 10, seed: int = 42, parallel: int = 4, mode: str = "fast") -> KMeansRange:
     """k-means per k, the best of ``n_init`` starts; labels k2, k3, ... side by side.
 
-    The starts are independent Spark jobs and run side by side. Silhouettes of
-    all k share one pass over the distances where the table is small enough.
+    The starts are independent Spark jobs and run side by side. ``mode`` names
+    the silhouette as in ``metrics.silhouette``; the exact ones of all k share one
+    pass over the distances.
     """
     known = drop_null_rows(df, columns)
     data = _with_features(known.select(ref(row_id), *[ref(c) for c in columns]), columns).persist()
-    rows = data.count()
 
     def fit(task):
         k, start = task
@@ -127,7 +127,7 @@ def kmeans_range(df: DataFrame, columns: list[str], row_id: str, ks=range(2, 11)
     for k in ks:
         labelled = best[k][3].transform(labelled)
     labelled = labelled.persist()
-    if rows <= EXACT_SILHOUETTE_ROWS:
+    if mode == "exact":
         scores, metric = silhouettes_exact(labelled, columns, [f"k{k}" for k in ks], row_id), "euclidean"
         scores = {k: scores[f"k{k}"] for k in ks}
     else:
@@ -394,10 +394,10 @@ def isolation_outliers(df: DataFrame, column: str, row_id: str, contamination: f
 
 
 def clustering_summary(df: DataFrame, k: int, kmeans_silhouette: float, fit: GmmFit, ari: float, agreed: float) -> DataFrame:
-    """(metric, value): the eight figures of a clustering run."""
+    """(metric, value): the eight figures of a clustering run; a labeling with one cluster has no silhouette."""
     rows = [
         ("Optimal K", float(k)), ("K-Means Silhouette", kmeans_silhouette), ("GMM Silhouette", fit.silhouette),
-        ("Silhouette Difference", abs(kmeans_silhouette - fit.silhouette)), ("Adjusted Rand Index", ari),
+        ("Silhouette Difference", None if None in (kmeans_silhouette, fit.silhouette) else abs(kmeans_silhouette - fit.silhouette)), ("Adjusted Rand Index", ari),
         ("Agreement Rate (%)", agreed * 100.0), ("GMM BIC", fit.bic), ("GMM AIC", fit.aic),
     ]
     return df.sparkSession.createDataFrame(rows, "metric string, value double")

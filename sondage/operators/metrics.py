@@ -18,8 +18,6 @@ from sondage.operators.scale import feature_array
 from sondage.operators.schema import ref
 from sondage.session import BLOCK_ROWS
 
-# Rows up to which the exact Euclidean silhouette is chosen; its work is quadratic.
-EXACT_SILHOUETTE_ROWS = 20_000
 MAX_LABELS = 256
 
 
@@ -309,7 +307,7 @@ def silhouettes_exact(df: DataFrame, columns: list[str], labels: list[str], row_
 
     The metric needs the distance between any two rows, so its work grows with
     the square of the table; each unit of work is one pair of bounded blocks.
-    ``silhouette`` chooses it only for tables of a checked, small height.
+    ``silhouette`` uses it only when asked for the exact form.
     """
     values = {c: label_values(df, c) for c in labels}
     n = df.count()
@@ -343,15 +341,17 @@ def silhouettes_exact(df: DataFrame, columns: list[str], labels: list[str], row_
     return {c: row[j] for j, c in enumerate(labels)}
 
 
-def silhouette(df: DataFrame, columns: list[str], label: str, row_id: str, mode: str = "auto") -> tuple[float | None, str]:
-    """(silhouette, metric): exact Euclidean for small tables, squared Euclidean in linear time beyond.
+def silhouette(df: DataFrame, columns: list[str], label: str, row_id: str, mode: str = "fast") -> tuple[float | None, str]:
+    """(silhouette, metric): squared Euclidean in linear time (``fast``), or Euclidean from all distances (``exact``).
 
-    ``mode`` is ``exact``, ``fast`` or ``auto``. The metric is part of the
-    result, since the two are not comparable.
+    The metric follows from ``mode`` alone, never from the size of the table,
+    and is part of the result, since the two are not comparable.
     """
+    if mode not in ("fast", "exact"):
+        raise ValueError(f"mode is fast or exact, not {mode}")
     if len(label_values(df, label)) < 2:
         return None, "none"
-    if mode == "exact" or (mode == "auto" and df.count() <= EXACT_SILHOUETTE_ROWS):
+    if mode == "exact":
         return silhouettes_exact(df, columns, [label], row_id)[label], "euclidean"
     vectors = df.select(array_to_vector(feature_array(columns)).alias("features"), ref(label).cast("double").alias("prediction"))
     return ClusteringEvaluator(metricName="silhouette", distanceMeasure="squaredEuclidean").evaluate(vectors), "squared_euclidean"

@@ -17,8 +17,6 @@ from sondage.operators.relate import balanced_sample, sample_upto
 from sondage.operators.scale import min_max, standardise
 from sondage.operators.schema import group_map, melt_factors, non_constant, numeric_columns, ref
 
-# Columns up to which all pair correlations fit one aggregation.
-NARROW = 24
 # Distinct values up to which a density uses them as they are; finer tables use this many bins.
 DENSITY_BINS = 2048
 
@@ -77,10 +75,6 @@ def crosstab(df: DataFrame, a: str, b: str, values: list | None = None) -> DataF
     return (grouped.pivot(b, values) if values else grouped.pivot(b)).count().na.fill(0)
 
 
-def _pair_row(df: DataFrame, pairs: list[tuple[str, str]]):
-    return df.agg(*[F.corr(ref(x).cast("double"), ref(y).cast("double")) for x, y in pairs]).first()
-
-
 def _moments(columns: list[str], centre: list[float]):
     """Per-batch sums over rows where both columns of a pair have values."""
     middle = np.array(centre)
@@ -104,9 +98,6 @@ def corr_pairs(df: DataFrame, columns: list[str]) -> list[tuple[str, str, float
     pairs = [(x, y) for i, x in enumerate(columns) for y in columns[i + 1:]]
     if not pairs:
         return []
-    if len(columns) <= NARROW:
-        row = _pair_row(df, pairs)
-        return [(x, y, None if r is None or r != r else float(r)) for (x, y), r in zip(pairs, row)]
     narrow = df.select(*[ref(c).cast("double").alias(f"c{i}") for i, c in enumerate(columns)])
     centre = [v or 0.0 for v in narrow.agg(*[F.avg(c) for c in narrow.columns]).first()]
     parts = narrow.mapInPandas(_moments(columns, centre), "i int, j int, " + ", ".join(f"s{k} double" for k in range(6)))
@@ -117,7 +108,8 @@ def corr_pairs(df: DataFrame, columns: list[str]) -> list[tuple[str, str, float
         value = None
         if n > 1:
             vx, vy = sxx - sx * sx / n, syy - sy * sy / n
-            if vx > 1e-12 and vy > 1e-12:
+            # a column whose spread is lost in the rounding of its centre is constant
+            if vx > n * (1e-12 * centre[r["i"]]) ** 2 and vy > n * (1e-12 * centre[r["j"]]) ** 2:
                 value = (sxy - sx * sy / n) / (vx * vy) ** 0.5
         out.append((r["i"], r["j"], value))
     return [(columns[i], columns[j], v) for i, j, v in sorted(out, key=lambda t: t[:2])]
@@ -171,23 +163,20 @@ def histogram(df: DataFrame, column: str, bins: int = 30) -> DataFrame:
     )
 
 
-def kde(df: DataFrame, column: str, grid: int = 200) -> DataFrame:
+def kde(df: DataFrame, column: str, grid: int = 200, bins: int = DENSITY_BINS) -> DataFrame:
     """(x, density) of a Gaussian density on a grid over the range of the data.
 
-    Rows are first counted per value, or per fine bin where there are many
-    values, so the work after one scan is grid x bins.
+    Rows are first counted per fine bin and stand at its middle, for any number
+    of values, so the work after one scan is grid x bins.
     """
     value = ref(column).cast("double")
     known = df.filter(value.isNotNull()).select(value.alias("v"))
-    n, low, high, sd, distinct = known.agg(
-        F.count("v"), F.min("v"), F.max("v"), F.stddev_samp("v"), F.approx_count_distinct("v")
-    ).first()
+    n, low, high, sd = known.agg(F.count("v"), F.min("v"), F.max("v"), F.stddev_samp("v")).first()
     if n < 2 or not sd:
         return df.sparkSession.createDataFrame([], "x double, density double")
-    if distinct > DENSITY_BINS // 2:
-        width = (high - low) / DENSITY_BINS
-        at = F.least(F.floor((F.col("v") - F.lit(low)) / F.lit(width)), F.lit(DENSITY_BINS - 1))
-        known = known.select((F.lit(low) + (at + F.lit(0.5)) * F.lit(width)).alias("v"))
+    width = (high - low) / bins
+    at = F.least(F.floor((F.col("v") - F.lit(low)) / F.lit(width)), F.lit(bins - 1))
+    known = known.select((F.lit(low) + (at + F.lit(0.5)) * F.lit(width)).alias("v"))
     counts = known.groupBy("v").agg(F.count(F.lit(1)).alias("n"))
     band = sd * n ** -0.2
     step = (high - low) / (grid - 1)

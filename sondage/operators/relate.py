@@ -49,12 +49,20 @@ def lookup_join(rows: DataFrame, table: DataFrame, key: str, minimum: int = 10_0
     return busy.join(F.broadcast(few), key).unionByName(rest.join(table, key))
 
 
-def remove_exact_duplicates(train: DataFrame, test: DataFrame) -> DataFrame:
-    """Train rows whose exact content occurs once in train and test together."""
-    columns = train.columns
-    both = train.withColumn("__train", F.lit(1)).unionByName(test.select(*[ref(c) for c in columns]).withColumn("__train", F.lit(0)))
-    counts = both.groupBy(*[ref(c) for c in columns]).agg(F.count(F.lit(1)).alias("__n"), F.sum("__train").alias("__t"))
-    return counts.filter((F.col("__n") == 1) & (F.col("__t") == 1)).select(*[ref(c) for c in columns])
+def remove_exact_duplicates(train: DataFrame, test: DataFrame, row_id: str | None = None) -> DataFrame:
+    """Train rows whose exact content occurs once in train and test together; gaps are content too.
+
+    ``row_id`` is no content: the rows that stay keep theirs.
+    """
+    columns = [c for c in train.columns if c != row_id]
+    if row_id is not None:
+        train, test = train.withColumn("__id", ref(row_id)), test.withColumn("__id", ref(row_id))
+    kept = [ref(c) for c in columns] + ([F.col("__id")] if row_id is not None else [])
+    both = train.select(*kept, F.lit(1).alias("__train")).unionByName(test.select(*kept, F.lit(0).alias("__train")))
+    first = [F.min("__id").alias("__id")] if row_id is not None else []
+    counts = both.groupBy(*[ref(c) for c in columns]).agg(F.count(F.lit(1)).alias("__n"), F.sum("__train").alias("__t"), *first)
+    found = counts.filter((F.col("__n") == 1) & (F.col("__t") == 1))
+    return found.select(*[F.col("__id").alias(c) if c == row_id else ref(c) for c in train.columns if c != "__id"])
 
 
 def synthetic_only(augmented: DataFrame, original: DataFrame, ignore: list[str] | None = None) -> DataFrame:

@@ -35,10 +35,7 @@ def evaluate(test: DataFrame, train: DataFrame | None = None, row_id: str = "res
         train, test = split.filter("is_test = 0").drop("is_test"), split.filter("is_test = 1").drop("is_test")
     else:
         train = drop_if_present(impute(train), vocab.EXCLUDED)
-        plain = [c for c in train.columns if c != row_id]
-        unique = remove_exact_duplicates(train.select(*[f"`{c}`" for c in plain]), test.select(*[f"`{c}`" for c in plain]))
-        # a row that is unique in content finds its own id again
-        train = cut_lineage(train.join(unique, plain, "left_semi"))
+        train = cut_lineage(remove_exact_duplicates(train, test, row_id))
     features = features_of(train, target, row_id)
     fitted, table = models.train_suite(train, test, features, target, row_id, names)
     report = models.overfit_report(fitted, train, test, target)
