@@ -210,3 +210,14 @@ t AS (SELECT id, any_value(n.n) FILTER (own = other) AS size, max(s / greatest(n
 SELECT round(avg(CASE WHEN size = 1 THEN 0 ELSE (b - a) / greatest(a, b) END), 5) AS silhouette FROM t""")
 def silhouette_1d(spark, d):
     return rounded(metrics.silhouette_1d_table(scale.risk_score(encoded_table(spark, d)), "Risk_Score", "Debt_Level"), 5)
+
+
+@query("evaluate_unique_train", """WITH c AS (SELECT c_custkey AS id, c_nationkey AS nation, c_mktsegment AS segment, CASE WHEN floor(c_acctbal / 500)::BIGINT % 3 <> 0 THEN floor(c_acctbal / 500)::BIGINT END AS step FROM customer),
+g AS (SELECT min(id) AS id, count(*) AS n FROM c GROUP BY nation, segment, step)
+SELECT c.id, nation, segment, step FROM c JOIN g ON g.id = c.id WHERE n = 1 AND c.id % 4 <> 0""")
+def evaluate_unique_train(spark, d):
+    """Train rows that occur once in train and test, gaps counted as content, with their ids."""
+    step = F.floor(F.col("c_acctbal") / 500)
+    df = read_table(spark, d, "customer").select(
+        F.col("c_custkey").alias("id"), F.col("c_nationkey").alias("nation"), F.col("c_mktsegment").alias("segment"), F.when(F.expr("floor(c_acctbal / 500) % 3 <> 0"), step).alias("step"))
+    return relate.remove_exact_duplicates(df.filter("id % 4 <> 0"), df.filter("id % 4 = 0"), "id")
