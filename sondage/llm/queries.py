@@ -9,7 +9,7 @@ import corpus_pipeline
 from sondage.llm import decontaminate, htmltext, langid, licenses, lmscore, lzprint, mixing, quality, simhash, urltree
 from sondage.llm.common import crc_mod, table
 from sondage.llm.registry import ORACLE, QUERIES, query
-from sondage.llm.sql import MIXING_SQL
+from sondage.llm.sql import LICENSES_SQL, MIXING_SQL
 
 __all__ = ["ORACLE", "QUERIES"]
 
@@ -29,7 +29,7 @@ def op2_mixing(spark: SparkSession, d: str) -> DataFrame:
     return mixing.mix(table(spark, d, "documents"), weights).select("doc_id", "size", "source_size", F.round("target", 6).alias("target"), "taken")
 
 
-@query("op3_licenses")
+@query("op3_licenses", LICENSES_SQL)
 def op3_licenses(spark: SparkSession, d: str) -> DataFrame:
     return licenses.scan_licenses(table(spark, d, "documents").select("doc_id", "text")).select("row.doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
 
