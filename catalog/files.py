@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from catalog.base import ENCODED, NUMBERS, ROW_ID, SURVEY, encoded_table, ident, numeric_survey, query, read_table, rounded, survey_raw
+from catalog.base import ENCODED, LABELS, NUMBERS, ROW_ID, SURVEY, encoded_columns, encoded_table, ident, numeric_survey, query, read_table, rounded, survey_raw
 from sondage import vocab
 from sondage.operators import encode, scale
 from sondage.operators.schema import ref
@@ -20,20 +20,20 @@ def folder(spark) -> str:
     return f"{spark.sparkContext.getCheckpointDir()}/{uuid.uuid4().hex}"
 
 
-@query("csv_survey_round_trip", f"{SURVEY} SELECT respondent_id, Age, Savings_Goal, \"Product_Lifetime_Cars\" FROM survey")
+@query("csv_survey_round_trip", f"{SURVEY} SELECT respondent_id, {', '.join(LABELS)} FROM survey")
 def csv_survey_round_trip(spark, d):
     """Titles with line breaks and commas survive a CSV file."""
     path = folder(spark)
     tables.write_table(survey_raw(spark, d), path, "csv")
     df = encode.translate_survey(tables.read_survey(spark, path))
-    return df.select(F.col(ROW_ID).cast("long").alias(ROW_ID), "Age", "Savings_Goal", "Product_Lifetime_Cars")
+    return df.select(F.col(ROW_ID).cast("long").alias(ROW_ID), *LABELS)
 
 
-@query("csv_encoded_round_trip", f"{ENCODED} SELECT respondent_id, Age, Income_Category, {ident('Financial_Investments_Yes, regularly')} FROM encoded")
+@query("csv_encoded_round_trip", f"{ENCODED} SELECT respondent_id, {', '.join(ident(c) for c in encoded_columns())} FROM encoded")
 def csv_encoded_round_trip(spark, d):
     path = folder(spark)
     tables.write_table(encoded_table(spark, d), path, "csv")
-    return tables.read_encoded(spark, path).select(F.col(ROW_ID).cast("long").alias(ROW_ID), "Age", "Income_Category", ref("Financial_Investments_Yes, regularly"))
+    return tables.read_encoded(spark, path).select(F.col(ROW_ID).cast("long").alias(ROW_ID), *[ref(c) for c in encoded_columns()])
 
 
 @query("parquet_round_trip", "SELECT o_orderkey, o_totalprice, o_orderpriority FROM orders")

@@ -75,7 +75,7 @@ def train_suite(spark, d):
 
 @query("learning_curve")
 def learning_curve(spark, d):
-    return models.learning_curve(labelled(spark, d), FEATURES, folds=3)
+    return models.learning_curve(labelled(spark, d), FEATURES)
 
 
 @query("coefficient_table")
@@ -106,18 +106,31 @@ def drop_tomek(spark, d):
     return augment.drop_tomek(vectors(spark, d).select("vec_id", *VALUES, "y"), VALUES, "y", "vec_id").select("vec_id")
 
 
-@query("smote_tomek")
+# the rows that lie between a base and a neighbour, from a plan g of (c, n, base, skip)
+_BETWEEN = f"""p AS (SELECT a.vec_id, a.e AS x, b.e AS y, row_number() OVER (PARTITION BY a.vec_id ORDER BY list_distance(a.e, b.e), b.vec_id) AS rank FROM c a JOIN c b ON a.c = b.c AND a.vec_id <> b.vec_id),
+s AS (SELECT g.*, o.vec_id, floor({u_sql('n', 'neighbour:42')} * 5)::INT + 1 AS rank, {u_sql('n', 'share:42')} AS share FROM g JOIN o USING (c, base)),
+grown AS (SELECT -(1099511627776 + skip) - n AS vec_id, s.c, [x[i] + share * (y[i] - x[i]) FOR i IN range(1, 65)] AS e FROM s JOIN p ON p.vec_id = s.vec_id AND p.rank = s.rank UNION ALL SELECT vec_id, c, e FROM c)"""
+_BASES = f"o AS (SELECT vec_id, c, row_number() OVER (PARTITION BY c ORDER BY {u_sql('vec_id', 'base:42')}, vec_id) AS base FROM c)"
+
+
+@query("smote_tomek", f"""{VECTORS}, c AS (SELECT vec_id, y AS c, e FROM v), {_BASES}, z AS (SELECT c, count(*) AS have FROM c GROUP BY 1), m AS (SELECT c, have, (SELECT max(have) FROM z) + 20 - have AS extra FROM z),
+k AS (SELECT *, coalesce(sum(extra) OVER (ORDER BY c ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS skip FROM m), j AS (SELECT *, unnest(range(extra)) AS n FROM k), g AS (SELECT c, n, n % have + 1 AS base, skip FROM j),
+{_BETWEEN}, q AS (SELECT a.vec_id, b.vec_id AS nbr, a.c AS ca, b.c AS cb, row_number() OVER (PARTITION BY a.vec_id ORDER BY list_distance(a.e, b.e), b.vec_id) AS r FROM grown a, grown b WHERE a.vec_id <> b.vec_id),
+f AS (SELECT * FROM q WHERE r = 1) SELECT vec_id, c AS y FROM grown WHERE vec_id NOT IN (SELECT a.vec_id FROM f a JOIN f b ON a.nbr = b.vec_id AND b.nbr = a.vec_id WHERE a.ca <> b.ca)""")
 def smote_tomek(spark, d):
     df = vectors(spark, d).select("vec_id", *VALUES, "y")
     sizes = {r[0]: r[1] for r in df.groupBy("y").count().collect()}
-    out = augment.smote_tomek(df, VALUES, "y", {c: max(sizes.values()) + 20 for c in sizes}, 5, "vec_id")
-    return out.groupBy("y").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("vec_id") < 0).alias("made"))
+    return augment.smote_tomek(df, VALUES, "y", {c: max(sizes.values()) + 20 for c in sorted(sizes)}, 5, "vec_id").select("vec_id", "y")
 
 
-@query("adasyn")
+@query("adasyn", f"""{VECTORS}, c AS (SELECT vec_id, (label < 3)::INT AS c, e FROM v), z AS (SELECT c, count(*) AS have FROM c GROUP BY 1), m AS (SELECT c, (SELECT max(have) FROM z) - have AS gap FROM z QUALIFY row_number() OVER (ORDER BY have, c) = 1), {_BASES},
+w AS (SELECT a.vec_id, a.c AS ca, b.c AS cb, row_number() OVER (PARTITION BY a.vec_id ORDER BY list_distance(a.e, b.e), b.vec_id) AS r FROM c a JOIN m ON m.c = a.c JOIN c b ON a.vec_id <> b.vec_id),
+r AS (SELECT vec_id, avg((ca <> cb)::INT) AS r FROM w WHERE r <= 5 GROUP BY 1), t AS (SELECT vec_id, round_even(r / sum(r) OVER () * gap, 0)::INT AS q FROM r, m),
+i AS (SELECT o.c, base, base || '-' || unnest(range(1, q + 1)) AS job FROM t JOIN o USING (vec_id)), g AS (SELECT c, base, row_number() OVER (ORDER BY {u_sql('job', 'job:42')}, job) - 1 AS n, 0 AS skip FROM i),
+{_BETWEEN} SELECT vec_id, c AS rare, {', '.join(f'round(e[{i + 1}], 5) + 0.0 AS e{i}' for i in range(64))} FROM grown""")
 def adasyn(spark, d):
     df = vectors(spark, d).withColumn("rare", (F.col("label") < 3).cast("int")).select("vec_id", *VALUES, "rare")
-    return augment.adasyn(df, VALUES, "rare", 5, "vec_id").groupBy("rare").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("vec_id") < 0).alias("made"))
+    return rounded(augment.adasyn(df, VALUES, "rare", 5, "vec_id"), 5)
 
 
 @query("augmentation_metrics")
@@ -166,7 +179,7 @@ def augment_filtered(spark, d):
     return augment.augmentation_summary(grown, funnel)
 
 
-@query("top_up")
+@query("top_up", f"{LEVEL}, z AS (SELECT y, count(*) AS n FROM lv GROUP BY 1) SELECT y AS {vocab.TARGET}, (SELECT min(n) + 30 FROM z) AS n FROM z")
 def top_up(spark, d):
     df = labelled(spark, d).select(ROW_ID, *FEATURES, vocab.TARGET)
     sizes = models.class_sizes(df)

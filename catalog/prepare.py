@@ -9,7 +9,7 @@ from catalog.base import (
     num_sql, ordinal_sql, q, query, read_table, rounded, smooth_lifetime_sql, smoothed, survey_raw, survey_translated, u_sql,
 )
 from sondage import vocab
-from sondage.functions import rules, text
+from sondage.functions import draws, rules, text
 from sondage.functions.draws import truncated_normal, u
 from sondage.operators import encode, profile, scale, schema
 from sondage.operators.schema import ref
@@ -224,11 +224,24 @@ def smooth_needs(spark, d):
     return smoothed(spark, d).select(ROW_ID, "Essential_Needs_Percentage")
 
 
-@query("truncated_normal")
+def horner(coefficients: list[float], x: str) -> str:
+    text = f"{coefficients[0]!r}::DOUBLE"
+    for value in coefficients[1:]:
+        text = f"({text} * {x} + {value!r}::DOUBLE)"
+    return text
+
+
+_FROM, _TO = draws.normal_cdf((18.0 - 40.0) / 12.0), draws.normal_cdf((70.0 - 40.0) / 12.0)
+
+
+@query("truncated_normal", f"""WITH s AS (SELECT c_custkey, {_FROM!r}::DOUBLE + {u_sql('c_custkey', 'truncnorm')} * {_TO - _FROM!r}::DOUBLE AS p FROM customer),
+w AS (SELECT *, p - 0.5::DOUBLE AS m, (p - 0.5::DOUBLE) * (p - 0.5::DOUBLE) AS r, sqrt(-2 * ln(least(p, 1 - p))) AS t FROM s),
+z AS (SELECT c_custkey, CASE WHEN least(p, 1 - p) >= {draws._TAIL}::DOUBLE THEN {horner(draws._A, 'r')} * m / ({horner(draws._B, 'r')} * r + 1)
+ELSE sign(0.5::DOUBLE - p) * {horner(draws._C, 't')} / ({horner(draws._D, 't')} * t + 1) END AS z FROM w)
+SELECT c_custkey, round(greatest(18, least(40 + 12 * z, 70)), 6) + 0.0 AS x FROM z""")
 def truncated(spark, d):
     draw = truncated_normal(40.0, 12.0, 18.0, 70.0, F.col("c_custkey"))
-    df = read_table(spark, d, "customer").select(draw.alias("x"))
-    return df.agg(F.min("x").alias("low"), F.avg("x").alias("mean"), F.max("x").alias("high"), F.count("x").alias("n"))
+    return rounded(read_table(spark, d, "customer").select("c_custkey", draw.alias("x")))
 
 
 # ------------------------------------------- durations, gaps and rounding

@@ -191,10 +191,18 @@ def agreement_query(spark, d):
 # ----------------------------------------------------------- figure tables
 
 
-@query("univariate_tables")
+@query("univariate_tables", f"""WITH t AS ({' UNION ALL '.join(f"SELECT '{c}' AS c, {c}::DOUBLE AS v FROM lineitem" for c in LINE)}),
+s AS (SELECT c, min(v) AS lo, max(v) - min(v) AS span, count(*) AS n, stddev_samp(v) * pow(count(*), -0.2) AS band, quantile_cont(v, 0.25) AS q1, quantile_cont(v, 0.5) AS median, quantile_cont(v, 0.75) AS q3 FROM t GROUP BY 1),
+h AS (SELECT c, least(floor((v - lo) / (span / 30)), 29)::INT AS bin, count(*) AS m FROM t JOIN s USING (c) GROUP BY ALL),
+f AS (SELECT c, lo + (least(floor((v - lo) / (span / {profile.DENSITY_BINS})), {profile.DENSITY_BINS - 1}) + 0.5) * (span / {profile.DENSITY_BINS}) AS x, count(*) AS m FROM t JOIN s USING (c) GROUP BY ALL),
+w AS (SELECT c, q1, median, q3, min(v) AS whisker_low, max(v) AS whisker_high FROM t JOIN s USING (c) WHERE v BETWEEN q1 - 1.5 * (q3 - q1) AND q3 + 1.5 * (q3 - q1) GROUP BY ALL),
+o AS (SELECT s.c, 'histogram' AS part, lo + b.k * (span / 30) AS position, coalesce(m, 0)::DOUBLE AS value FROM s CROSS JOIN range(30) b(k) LEFT JOIN h ON h.c = s.c AND h.bin = b.k
+UNION ALL SELECT s.c, 'density', lo + g.k * (span / 199), sum(m * exp(-0.5 * pow((lo + g.k * (span / 199) - x) / band, 2))) / (n * band * sqrt(2 * pi())) FROM s CROSS JOIN range(200) g(k) JOIN f ON f.c = s.c GROUP BY s.c, g.k, lo, span, n, band
+UNION ALL SELECT c, 'box_' || name, NULL, value FROM (UNPIVOT w ON q1, median, q3, whisker_low, whisker_high INTO NAME name VALUE value))
+SELECT 'line' AS "group", c AS "column", part, round(position, 6) + 0.0 AS position, round(value, 9) + 0.0 AS value FROM o""")
 def univariate(spark, d):
-    df = read_table(spark, d, "lineitem").select(*LINE)
-    return profile.univariate(df, {"line": ["l_quantity", "l_discount"]})
+    table = profile.univariate(read_table(spark, d, "lineitem").select(*LINE), {"line": LINE})
+    return rounded(rounded(table, 6, skip=("value",)), 9, skip=("position",))
 
 
 _HEAT = [("demographic", ["Age", "Gender", "Income_Category"])]
