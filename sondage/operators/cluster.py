@@ -291,14 +291,20 @@ def bayes_gmm_1d(df: DataFrame, column: str, k: int = 3, prior: float | None = N
     return mixture
 
 
-def risk_clusters(df: DataFrame, ks=range(2, 9), weights: dict[str, float] | None = None) -> tuple[DataFrame, DataFrame]:
-    """(scored rows with Cluster and level, silhouette per component count)."""
+def risk_clusters(df: DataFrame, ks=range(2, 9), weights: dict[str, float] | None = None, parallel: int = 4) -> tuple[DataFrame, DataFrame]:
+    """(scored rows with Cluster and level, silhouette per component count).
+
+    The component counts are independent and run side by side.
+    """
     scored = cut_lineage(risk_score(df, weights))
-    found = []
-    for k in ks:
+
+    def fit(k: int):
         mixture = bayes_gmm_1d(scored, "Risk_Score", k)
         labelled = scored.withColumn("Cluster", mixture.cluster("Risk_Score"))
-        found.append((k, silhouette_1d(labelled.select("Risk_Score", "Cluster"), "Risk_Score", "Cluster"), mixture))
+        return k, silhouette_1d(labelled.select("Risk_Score", "Cluster"), "Risk_Score", "Cluster"), mixture
+
+    with ThreadPoolExecutor(parallel) as pool:
+        found = list(pool.map(inheritable_thread_target(df.sparkSession)(fit), ks))
     usable = [f for f in found if f[1] is not None and f[1] == f[1]]
     if not usable:
         raise ValueError("no valid clustering found")
