@@ -4,135 +4,176 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import xxhash
+import zstandard
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, LongType, StructField
 
-from sondage.llm.common import arrow_pass, arrow_rows, col
+from sondage.llm.common import col, raw_text, small_batches
 
-# Tokens are characters. The shared vocabulary holds the most frequent ones of all documents and one class for the rest,
-# 64 in all, so that a trigram model is a table of fixed size, whatever the input.
-VOCABULARY = 63
-SYMBOLS = VOCABULARY + 1
-TRIGRAMS = SYMBOLS**3
-# Characters that a task holds while it counts.
-BLOCK_CHARS = 4_000_000
+# Bytes of text in a chunk of documents, on average; there are at least as many chunks as shuffle partitions.
+CHUNK_BYTES = 16 * 1024 * 1024
 # Weight of the shorter history, in units of counts.
-BACKOFF = 8.0
+BACKOFF = 4.0
+# What stands between two texts, as the word after the last and before the first; no word holds white space.
+MARK = b"\n"
 
+_ALL = np.uint64(xxhash.xxh64_intdigest(b"\n\n"))
+_MUL = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xBF58476D1CE4E5B9], dtype=np.uint64)
 
-def code_points(text: str) -> np.ndarray:
-    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
 
+class _Numbers(dict):
+    """Numbers words in the order in which they are met."""
 
-def vocabulary(docs: DataFrame, text: str = "text", size: int = VOCABULARY) -> list[int]:
-    """The most frequent code points of all texts, ties by code point."""
+    def __missing__(self, word: bytes) -> int:
+        n = self[word] = len(self)
+        return n
 
-    def run(batches):
-        total: dict[int, int] = {}
-        for b in batches:
-            text = "".join(t for t in b.column(0).to_pylist() if t)
-            if text:
-                for c, n in zip(*np.unique(code_points(text), return_counts=True)):
-                    total[int(c)] = total.get(int(c), 0) + int(n)
-        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int64()), pa.array(list(total.values()), pa.int64())], names=["c", "n"])
 
-    counts = arrow_rows(docs.select(col(text).alias("t")), run, "c long, n long").groupBy("c").agg(F.sum("n").alias("n"))
-    return [r["c"] for r in counts.orderBy(F.desc("n"), "c").limit(size).collect()]
+def pair_hash(first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    x = first * _MUL[0] + second * _MUL[1]
+    x = (x ^ (x >> np.uint64(31))) * _MUL[2]
+    return x ^ (x >> np.uint64(29))
 
 
-class Coder:
-    """Texts as symbols of the vocabulary; the class of all other characters is symbol 0 and also stands before a text."""
+class Chunk:
+    """The words and word pairs of some documents, each known by a 64-bit hash; ``grams`` has them once each, sorted.
 
-    def __init__(self, vocab: list[int]):
-        self.table = np.zeros(0x110000, dtype=np.uint32)
-        self.table[np.asarray(vocab, dtype=np.int64)] = np.arange(1, len(vocab) + 1)
-
-    def trigrams(self, text: str) -> np.ndarray:
-        """One number per character: its two forerunners and itself."""
-        s = np.concatenate((np.zeros(2, dtype=np.uint32), self.table[code_points(text)]))
-        return (s[:-2] * SYMBOLS + s[1:-1]) * SYMBOLS + s[2:]
-
-
-def count_trigrams(docs: DataFrame, target: str, vocab: list[int], text: str = "text") -> DataFrame:
-    """(gram, background, target): counts over all documents and over those where the column ``target`` is true.
-
-    A task sends a row per trigram that it met, at most 64^3, so what is gathered grows with the input's tasks.
+    Every text with words ends with a mark that is also what its first word follows, so each word is as often
+    a history as it occurs. The hash ``_ALL`` counts all words and marks.
     """
 
-    def run(batches):
-        coder = Coder(vocab)
-        sums = [np.zeros(TRIGRAMS, dtype=np.int64), np.zeros(TRIGRAMS, dtype=np.int64)]
-        held, n = [[], []], 0
-
-        def add():
-            for k in (0, 1):
-                if held[k]:
-                    sums[k] += np.bincount(np.concatenate(held[k]), minlength=TRIGRAMS)
-                    held[k].clear()
-
-        for b in batches:
-            for t, mark in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                if t:
-                    g = coder.trigrams(t)
-                    held[0].append(g)
-                    n += len(g)
-                    if mark:
-                        held[1].append(g)
-            if n > BLOCK_CHARS:
-                add()
-                n = 0
-        add()
-        at = np.flatnonzero(sums[0])
-        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(sums[0][at]), pa.array(sums[1][at])], names=["gram", "background", "target"])
-
-    part = arrow_rows(docs.select(col(text).alias("t"), F.coalesce(col(target), F.lit(False)).alias("m")), run, "gram int, background long, target long")
-    return part.groupBy("gram").agg(F.sum("background").alias("background"), F.sum("target").alias("target"))
-
-
-def loss_table(counts: np.ndarray) -> np.ndarray:
-    """-log p of each trigram: trigram counts smoothed by the bigram model, that by the single one, that by the uniform one."""
-    c3 = counts.reshape(SYMBOLS, SYMBOLS, SYMBOLS).astype(float)
-    c2, c1 = c3.sum(0), c3.sum((0, 1))
-    p1 = (c1 + BACKOFF / SYMBOLS) / (c1.sum() + BACKOFF)
-    p2 = (c2 + BACKOFF * p1) / (c2.sum(1, keepdims=True) + BACKOFF)
-    p3 = (c3 + BACKOFF * p2) / (c3.sum(2, keepdims=True) + BACKOFF)
-    return -np.log(p3).reshape(-1)
-
-
-def score(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "quality", value: int = 1) -> DataFrame:
-    """``row`` (doc_id alone) with n_tokens, target_loss, background_loss and score.
-
-    Target: the documents labelled ``value``; background: all documents. score is the target's loss per token less the
-    background's; lower is nearer to the target. Null and empty texts have no token and null losses and score. Without
-    any label the target model is the uniform one. A document with several labels is a target if one of them fits;
-    repeated rows count and are scored each; null ids are never targets; extra columns are ignored.
+    def __init__(self, raws: list[bytes]):
+        number = _Numbers({MARK: 0})
+        parts = []
+        self.words = np.zeros(len(raws), dtype=np.int64)
+        for k, raw in enumerate(raws):
+            words = raw.lower().split()
+            if words:
+                self.words[k] = len(words)
+                words.append(MARK)
+                parts.append(np.fromiter(map(number.__getitem__, words), dtype=np.int64, count=len(words)))
+        self.word = np.concatenate(parts) if parts else np.empty(0, dtype=np.int64)
+        self.before = np.concatenate((np.zeros(1, dtype=np.int64), self.word[:-1])) if parts else self.word
+        self.owner = np.repeat(np.arange(len(raws)), np.where(self.words > 0, self.words + 1, 0))
+        self.kinds = len(number)
+        hashes = np.array([xxhash.xxh64_intdigest(w) for w in number], dtype=np.uint64)
+        pairs, self.pair = np.unique(self.before * self.kinds + self.word, return_inverse=True)
+        self.pair_kinds = len(pairs)
+        every = np.concatenate(([_ALL], hashes, pair_hash(hashes[pairs // self.kinds], hashes[pairs % self.kinds])))
+        self.grams, self.at = np.unique(every, return_inverse=True)
+
+    def counts(self, chosen: np.ndarray) -> np.ndarray:
+        """How often each gram stands in the documents that ``chosen`` marks."""
+        take = chosen[self.owner]
+        n = [[take.sum()], np.bincount(self.word[take], minlength=self.kinds), np.bincount(self.pair[take], minlength=self.pair_kinds)]
+        return np.bincount(self.at, np.concatenate(n), len(self.grams)).astype(np.uint64)
+
+    def losses(self, background: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Loss per token (the mark counts as one) of each document by the target and the background model.
+
+        Pairs are smoothed by single words. Every word occurs in the background, so its single-word model needs no
+        smoothing; the target's is smoothed by the background's. Both are distributions over the same words.
+        """
+        b, t = background.astype(float)[self.at], target.astype(float)[self.at]
+        b1, t1, b2, t2 = b[1 : 1 + self.kinds], t[1 : 1 + self.kinds], b[1 + self.kinds :], t[1 + self.kinds :]
+        one_b = b1 / max(b[0], 1.0)
+        one_t = (t1 + BACKOFF * one_b) / (t[0] + BACKOFF)
+        per_doc = np.maximum(self.words + 1, 1)
+        out = []
+        for one, history, pair in ((one_t, t1, t2), (one_b, b1, b2)):
+            p = (pair[self.pair] + BACKOFF * one[self.word]) / (history[self.before] + BACKOFF)
+            out.append(np.bincount(self.owner, -np.log(p), len(self.words)) / per_doc)
+        return out[0], out[1]
+
+
+def edges(n: int) -> np.ndarray:
+    """The inner bounds of n equal ranges of 64-bit hashes."""
+    return np.array([(k << 64) // n for k in range(1, n)], dtype=np.uint64)
+
+
+def pack(*columns: np.ndarray) -> bytes:
+    """Columns of whole numbers as byte planes, compressed: sorted hashes less their forerunners have empty high planes."""
+    return zstandard.ZstdCompressor(level=1).compress(b"".join(np.ascontiguousarray(c.astype("<u8").view(np.uint8).reshape(-1, 8).T).tobytes() for c in columns))
+
+
+def unpack(blob: bytes, columns: int) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), dtype=np.uint8).reshape(columns, 8, -1)
+    return np.ascontiguousarray(planes.transpose(0, 2, 1)).view("<u8")[:, :, 0]
+
+
+def _rows(columns: list, schema: pa.Schema) -> pa.Table:
+    return pa.table([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
+
+
+_GRAMS = pa.schema([("range", pa.int32()), ("chunk", pa.int32()), ("blob", pa.binary())])
+_TOTALS = pa.schema([("chunk", pa.int32()), ("range", pa.int32()), ("blob", pa.binary())])
+
+
+def chunk_of(doc_id: Column, other: Column, n: int) -> Column:
+    """The chunk of an id; rows without one are dealt by another value."""
+    return F.pmod(F.xxhash64(F.coalesce(doc_id.cast("string"), other)), F.lit(n)).cast("int")
+
+
+def score(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "quality", value: int = 1, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
+    """(doc_id, n_tokens, target_loss, background_loss, score) per document.
+
+    Target: the documents labelled ``value``; background: all documents. Tokens are words, A-Z lower-cased, between
+    ASCII white space; both models are word-pair models over all words that occur, without any cut. score is the
+    target's loss per token less the background's; lower is nearer to the target. Null, empty and blank texts have no
+    token and null losses and score. Without any label the target model is the background's single-word model. A document with several
+    labels is a target if one of them fits; repeated rows count and are scored each; null ids are never targets; extra
+    columns are ignored; an empty table gives an empty result.
+
+    Documents are dealt once into chunks by id, where they meet their labels. A chunk sends each of its words and pairs
+    once, with its counts, to the range of hashes it is in; a range adds up and sends each chunk the totals of what it had
+    sent; the chunk scores its documents. So neither a frequent word nor a long text is more than a row per chunk, both
+    models stay spread over the cluster, and nothing passes through the driver but the size of the input.
     """
-    picked = docs.select(col(doc_id).alias("doc_id"), col(text).alias("text"))
-    good = labels.where((col(label) == value) & col(doc_id).isNotNull()).select(col(doc_id).alias("doc_id")).distinct().withColumn("target", F.lit(True))
-    vocab = vocabulary(picked)
-    counts = np.zeros((2, TRIGRAMS), dtype=np.int64)
-    # one plan for all sizes: texts are dealt by id once, to meet labels of which no bound is known
-    got = count_trigrams(picked.join(good.hint("merge"), "doc_id", "left"), "target", vocab).toPandas()  # a row per trigram of the vocabulary at most
-    counts[0, got["gram"]], counts[1, got["gram"]] = got["background"], got["target"]
-    tables = docs.sparkSession.sparkContext.broadcast(np.stack([loss_table(counts[1]), loss_table(counts[0])]).astype(np.float32))
-
-    def make():
-        coder, loss = Coder(vocab), tables.value
-
-        def fn(arrays):
-            out = []
-            for t in arrays[0].to_pylist():
-                if t:
-                    g = coder.trigrams(t)
-                    a, b = loss[:, g].mean(axis=1, dtype=np.float64).tolist()
-                    out.append((len(g), a, b, a - b))
-                else:
-                    out.append((0, None, None, None))
-            kinds = [pa.int64(), pa.float64(), pa.float64(), pa.float64()]
-            return [pa.array(c, k) for c, k in zip(zip(*out), kinds)] if out else [pa.array([], k) for k in kinds]
-
-        return fn
-
-    fields = [StructField("n_tokens", LongType()), StructField("target_loss", DoubleType()), StructField("background_loss", DoubleType()), StructField("score", DoubleType())]
-    return arrow_pass(picked.select("doc_id", "text"), make, {"text": col("text")}, fields)
+    spark = docs.sparkSession
+    small_batches(spark)
+    base = docs.select(col(doc_id).alias("doc_id"), raw_text(text).alias("raw"))
+    size = base.agg(F.sum(F.octet_length("raw"))).first()[0] or 0
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // chunk_bytes))
+    dealt = base.select(chunk_of(F.col("doc_id"), F.col("raw").cast("string"), n).alias("chunk"), "doc_id", "raw").repartition(n, "chunk")
+    good = labels.where((col(label) == value) & col(doc_id).isNotNull()).select(col(doc_id).alias("good"))
+    good = good.select(chunk_of(F.col("good"), F.lit(""), n).alias("chunk"), "good").repartition(n, "chunk")
+    bounds = edges(n)
+
+    def count(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows:
+            return _GRAMS.empty_table()
+        chunk = Chunk(left.column("raw").to_pylist())
+        marked = set(right.column("good").to_pylist())
+        background = chunk.counts(np.ones(left.num_rows, dtype=bool))
+        target = chunk.counts(np.array([i in marked for i in left.column("doc_id").to_pylist()], dtype=bool))
+        cut = np.concatenate(([0], np.searchsorted(chunk.grams, bounds), [len(chunk.grams)]))
+        rows = []
+        for k in np.flatnonzero(np.diff(cut)):
+            part = slice(cut[k], cut[k + 1])
+            rows.append((k, pack(np.diff(chunk.grams[part], prepend=np.uint64(0)), background[part], target[part])))
+        return _rows([[k for k, _ in rows], [left.column("chunk")[0].as_py()] * len(rows), [b for _, b in rows]], _GRAMS)
+
+    def add_up(sent: pa.Table) -> pa.Table:
+        found = [unpack(b, 3) for b in sent.column("blob").to_pylist()]
+        grams = np.concatenate([np.cumsum(f[0], dtype=np.uint64) for f in found])
+        kinds, at = np.unique(grams, return_inverse=True)
+        sums = [np.bincount(at, np.concatenate([f[k] for f in found]), len(kinds)).astype(np.uint64) for k in (1, 2)]
+        stops = np.cumsum([f.shape[1] for f in found])
+        blobs = [pack(sums[0][own], sums[1][own]) for own in np.split(at, stops[:-1])]
+        return _rows([sent.column("chunk").to_pylist(), sent.column("range").to_pylist(), blobs], _TOTALS)
+
+    def judge(left: pa.Table, right: pa.Table) -> pa.Table:
+        chunk = Chunk(left.column("raw").to_pylist())
+        order = np.argsort(right.column("range").to_numpy())
+        blobs = right.column("blob").to_pylist()
+        totals = np.concatenate([unpack(blobs[k], 2) for k in order], axis=1)
+        target, background = chunk.losses(totals[0], totals[1])
+        none = chunk.words == 0
+        columns = [pa.array(chunk.words), *(pa.array(x, mask=none) for x in (target, background, target - background))]
+        return pa.table([left.column("doc_id"), *columns], names=["doc_id", "n_tokens", "target_loss", "background_loss", "score"])
+
+    grams = dealt.groupBy("chunk").cogroup(good.groupBy("chunk")).applyInArrow(count, "range int, chunk int, blob binary")
+    totals = grams.repartition(n, "range").groupBy("range").applyInArrow(add_up, "chunk int, range int, blob binary").repartition(n, "chunk")
+    kind = dealt.schema["doc_id"].dataType.simpleString()
+    return dealt.groupBy("chunk").cogroup(totals.groupBy("chunk")).applyInArrow(judge, f"doc_id {kind}, n_tokens long, target_loss double, background_loss double, score double")

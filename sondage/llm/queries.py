@@ -36,8 +36,7 @@ def op3_licenses(spark: SparkSession, d: str) -> DataFrame:
 
 @query("op4_lm_scoring")
 def op4_lm_scoring(spark: SparkSession, d: str) -> DataFrame:
-    found = lmscore.score(table(spark, d, "documents"), table(spark, d, "labels"))
-    return found.select("row.doc_id", "n_tokens", "target_loss", "background_loss", "score")
+    return lmscore.score(table(spark, d, "documents"), table(spark, d, "labels"))
 
 
 @query("op5_simhash")
