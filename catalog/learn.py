@@ -155,6 +155,20 @@ def generator_sample(spark, d):
     return made.groupBy(vocab.TARGET).agg(F.count(F.lit(1)).alias("n"), F.avg("Debt_Level").alias("debt"), F.min("Age").alias("age_low"), F.max("Age").alias("age_high"))
 
 
+@query("generator_ranges", f"{LEVEL}, z AS (SELECT count(*) AS total FROM lv) SELECT y AS {vocab.TARGET}, CASE WHEN y = 0 THEN total // 2 ELSE total - total // 2 END AS n, CASE WHEN y = 0 THEN total // 2 ELSE total - total // 2 END AS inside, CASE WHEN y = 0 THEN total // 2 ELSE total - total // 2 END AS ids FROM (SELECT DISTINCT y FROM lv), z")
+def generator_ranges(spark, d):
+    """Rows made per class, how many of them lie within the range of every feature of their class, and how many ids they have."""
+    df = labelled(spark, d).select(ROW_ID, *FEATURES, vocab.TARGET)
+    limits = df.groupBy(vocab.TARGET).agg(*[f(ref(c)).alias(f"{n}_{c}") for c in FEATURES for f, n in ((F.min, "low"), (F.max, "high"))])
+    made = augment.sample_per_class(df, df.count()).join(F.broadcast(limits), vocab.TARGET)
+    # a value is drawn between two quantiles, so its last bits may leave the range
+    inside = [ref(c).between(F.col(f"low_{c}") - 1e-9, F.col(f"high_{c}") + 1e-9) for c in FEATURES]
+    every = inside[0]
+    for x in inside[1:]:
+        every = every & x
+    return made.groupBy(vocab.TARGET).agg(F.count(F.lit(1)).alias("n"), F.count_if(every).alias("inside"), F.count_distinct(ref(ROW_ID)).alias("ids"))
+
+
 @query("balance_batch")
 def balance_batch(spark, d):
     df = labelled(spark, d).select(ROW_ID, *FEATURES, vocab.TARGET)
@@ -187,7 +201,7 @@ def top_up(spark, d):
     return out.groupBy(vocab.TARGET).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("augment_incremental")
+@query("augment_incremental", "SELECT floor(count(*) * 1.2)::BIGINT AS n, (floor(count(*) * 1.2) - count(*))::BIGINT AS made, 1 AS rounds FROM customer")
 def augment_incremental(spark, d):
     df = labelled(spark, d).select(ROW_ID, *FEATURES, vocab.TARGET)
     out, history = augment.augment_incremental(df, int(df.count() * 1.2), max_rounds=1, score_batch=lambda b: b)
