@@ -183,7 +183,11 @@ def groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataF
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The documents without near copies: of each component the row with the smallest id stays (ids of null last, then
     by the hash of the text); of rows with the same id and text one stays. All columns are kept."""
-    found = groups(docs, doc_id, text)
+    return first_of_each(docs, groups(docs, doc_id, text), doc_id, text)
+
+
+def first_of_each(docs: DataFrame, found: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """Of the rows of ``docs`` one for each root of ``found`` (doc_id, text_hash, root)."""
     best = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("k"))
     best = best.select(F.col("k.doc_id").alias("id"), F.col("k.text_hash").alias("hash"))
     packed = docs.select(F.struct(*[col(c) for c in docs.columns]).alias("row"), col(doc_id).alias("id"), F.xxhash64(col(text)).alias("hash"))

@@ -9,7 +9,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from sondage.llm import components, decontaminate, htmltext, mixing, simhash, urltree
+from sondage.llm import components, decontaminate, htmltext, mixing, nearcopies, simhash, urltree
 from tools.check import TABLES, rows_of
 
 
@@ -324,3 +324,30 @@ def test_pipeline_odd_rows(spark, docs, sf):
     none = docs.where("1 = 0")
     for _, stage in cp.STAGES:
         assert stage(spark, none, sf).count() == 0
+
+
+def test_near_copies_against_brute_force(spark):
+    rng = random.Random(11)
+    vocab = [f"w{k}" for k in range(5000)]
+    texts = []
+    for _ in range(60):  # copies of one text with 1 to 8 of 200 words changed: five-word similarities around 0.8
+        base = rng.choices(vocab, k=200)
+        for n in (0, 1, 2, 4, 5, 8):
+            other = list(base)
+            for at in rng.sample(range(200), n):
+                other[at] = rng.choice(vocab)
+            texts.append(" ".join(other))
+    texts += ["one two three", "One  two\tthree", "one two four", None, "", " \n"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+
+    def plain(t):
+        w = (t or "").lower().split()
+        return frozenset(" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4)))
+
+    sets = [plain(t) for t in texts]
+    near = [(a, b) for a in range(len(sets)) for b in range(a) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    root = plain_components(list(range(len(texts))), near)
+    kept = {r["doc_id"] for r in nearcopies.keep_one(docs).collect()}
+    assert kept == {min(k for k in root if root[k] == c) for c in set(root.values())}
+    assert len({r["doc_id"] for r in simhash.keep_one(docs).collect()}) > len(kept)
+    assert nearcopies.keep_one(docs.where("1 = 0")).count() == 0
