@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StringType, StructField
+from pyspark.sql.types import BooleanType, DoubleType, StringType, StructField
 
 from sondage.llm.common import arrow_pass, arrow_rows, col
 
@@ -19,6 +19,11 @@ UNKNOWN = "und"
 # n-gram occurrences that a task sorts at a time while it counts.
 COUNT_BLOCK = 4_000_000
 
+# Share of the learning texts of a language and length that may score under its limit, and characters of the shortest beginning judged.
+LOWEST, SHORTEST = 0.001, 4
+# Steps of the score in which learning texts are counted, and lengths told apart: powers of two of n-gram occurrences.
+STEPS, LENGTHS = 1_000, 48
+
 BITS = np.uint64(21)
 BLANK = 1
 
@@ -113,7 +118,10 @@ class Judge:
             self.known.append((grams[order], order))
 
     def __call__(self, text: str | None) -> tuple[str, float]:
-        top = ranked(gram_keys(text), self.size) if text else np.empty(0, dtype=np.uint64)
+        return self.of_keys(gram_keys(text) if text else np.empty(0, dtype=np.uint64))
+
+    def of_keys(self, keys: np.ndarray) -> tuple[str, float]:
+        top = ranked(keys, self.size)
         if not len(top) or not self.names:
             return UNKNOWN, 0.0
         place = np.arange(len(top))
@@ -144,3 +152,63 @@ def identify(docs: DataFrame, profiles: dict[str, list[int]], text: str = "text"
         return fn
 
     return arrow_pass(docs, make, {"text": col(text)}, [StructField("lang_pred", StringType()), StructField("score", DoubleType())])
+
+
+def beginnings(text: str) -> list[str]:
+    """A text's beginnings of 4, 8, 16, ... characters, and the whole of it."""
+    out, n = [], SHORTEST
+    while n < len(text):
+        out.append(text[:n])
+        n *= 2
+    return [*out, text]
+
+
+def fit_limits(docs: DataFrame, profiles: dict[str, list[int]], text: str = "text", lang: str = "lang", lowest: float = LOWEST) -> dict[str, list[float]]:
+    """For each language and length the score that all but the share ``lowest`` of its learning texts reach.
+
+    All rows with a text and a language with a profile are judged by that profile, as a whole and by their beginnings,
+    so short lengths have as many scores as long ones; tasks send counts per step of the score. A length with
+    fewer than 1 / ``lowest`` scores takes those of the neighbouring lengths in, until it has enough or all.
+    """
+
+    def run(batches):
+        judges = {name: Judge({name: grams}) for name, grams in profiles.items()}
+        held: dict[tuple[str, int, int], int] = {}
+        for batch in batches:
+            for t, name in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                for part in beginnings(t) if name in judges else []:
+                    keys = gram_keys(part)
+                    if len(keys):
+                        k = (name, len(keys).bit_length(), int(judges[name].of_keys(keys)[1] * STEPS))
+                        held[k] = held.get(k, 0) + 1
+        cols = [*zip(*held)] or [[]] * 3
+        yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.int32()), pa.array(held.values(), pa.int64())], names=["lang", "length", "step", "n"])
+
+    rows = docs.where(col(text).isNotNull() & col(lang).isNotNull()).select(col(text).alias("text"), col(lang).cast("string").alias("lang"))
+    counts = {name: np.zeros((LENGTHS, STEPS + 1), dtype=np.int64) for name in profiles}
+    for r in arrow_rows(rows, run, "lang string, length int, step int, n long").groupBy("lang", "length", "step").agg(F.sum("n").alias("n")).collect():
+        counts[r["lang"]][r["length"], r["step"]] += r["n"]
+    out = {}
+    for name, c in counts.items():
+        out[name] = []
+        for k in range(LENGTHS):
+            around = next((x for w in range(LENGTHS) if (x := c[max(0, k - w) : k + w + 1].sum(axis=0)).sum() * lowest >= 1), c.sum(axis=0))
+            under = np.cumsum(around) > lowest * around.sum()
+            out[name].append(float(np.argmax(under)) / STEPS)
+    return out
+
+
+def known(docs: DataFrame, profiles: dict[str, list[int]], limits: dict[str, list[float]], text: str = "text") -> DataFrame:
+    """The rows whose text reaches the limit of its nearest language and its length; texts without a letter reach none."""
+
+    def make():
+        judge = Judge(profiles)
+
+        def stays(t):
+            keys = gram_keys(t) if t else np.empty(0, dtype=np.uint64)
+            name, score = judge.of_keys(keys)
+            return name != UNKNOWN and score >= limits[name][len(keys).bit_length()]
+
+        return lambda arrays: [[stays(t) for t in arrays[0].to_pylist()]]
+
+    return arrow_pass(docs, make, {"text": col(text)}, [StructField("known", BooleanType())]).where("known").select("row.*")

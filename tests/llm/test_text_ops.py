@@ -7,6 +7,7 @@ from collections import Counter
 
 import duckdb
 import numpy as np
+from pyspark.sql import functions as F
 
 from sondage.llm import langid, licenses, lmscore, lzprint, quality
 from sondage.llm.common import crc_mod
@@ -199,3 +200,23 @@ def test_edited_texts_and_neighbours(docs, empty):
     assert lzprint.fingerprint_pairs(empty).count() == 0
     one = lzprint.fingerprint_pairs(docs.where("doc_id = 7")).collect()
     assert len(one) == 1 and one[0]["near_next"] == 1.0
+
+
+def test_limits_reject_an_unlearned_language_and_letter_noise(spark):
+    import corpus_pipeline as cp
+
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("text IS NOT NULL AND lang IS NOT NULL").select("doc_id", "text", "lang")
+    rng = np.random.default_rng(7)
+    noise = [" ".join("".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), rng.integers(2, 10))) for _ in range(n)) for n in (50, 300) for _ in range(50)]
+    rows = [(-1 - k, t, None) for k, t in enumerate(noise)]
+    short = docs.where("length(text) > 200").select((F.col("doc_id") + 1_000_000).alias("doc_id"), F.substring("text", 1, 60).alias("text"), F.lit(None).cast("string").alias("lang"))
+    more = spark.createDataFrame(rows, "doc_id long, text string, lang string").unionByName(short).unionByName(docs)
+    held_out = more.withColumn("was", F.col("lang")).withColumn("lang", F.when(F.col("lang") != "fr", F.col("lang")))
+    stays = {r["doc_id"] for r in cp.language(spark, held_out, "").collect()}
+    assert not any(k < 0 for k in stays)
+    long_texts = [(r["doc_id"], r["was"]) for r in held_out.where("length(text) > 400 AND doc_id < 1000000 AND was IS NOT NULL").collect()]
+    assert np.mean([k in stays for k, w in long_texts if w == "fr"]) < 0.05
+    assert np.mean([k in stays for k, w in long_texts if w != "fr"]) > 0.99
+    stays = {r["doc_id"] for r in cp.language(spark, more, "").collect()}
+    wanted = {r["doc_id"] for r in short.collect()}
+    assert len(wanted & stays) > 0.99 * len(wanted)
