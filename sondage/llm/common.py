@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -9,6 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
+from sondage.session import ensure_checkpoint_dir
+
 # Rows and bytes of text that one Arrow batch hands to Python: texts can be long, so the default of 10,000 rows is too many.
 BATCH_ROWS = 512
 BATCH_BYTES = 8 * 1024 * 1024
@@ -74,3 +77,16 @@ def crc_mod(name: str, n: int) -> Column:
 def raw_text(name: str) -> Column:
     """The UTF-8 bytes of a text, null as empty."""
     return F.coalesce(col(name), F.lit("")).cast("binary")
+
+
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path below the shared checkpoint folder."""
+    ensure_checkpoint_dir(spark)
+    return f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/{name}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """The rows as a Parquet table in the shared folder, read again: cuts the lineage and keeps column pruning."""
+    path = shared_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)

@@ -6,10 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from sondage.llm import decontaminate, htmltext, langid, licenses, lmscore, lzprint, mixing, quality, simhash, urltree
+from sondage.llm import decontaminate, hilbert, htmltext, langid, licenses, lmscore, lzprint, merkle, mixing, quality, ranked, simhash, urltree
 from sondage.llm.common import crc_mod, table
 from sondage.llm.registry import ORACLE, QUERIES, query
 from sondage.llm.sql import LICENSES_SQL, MIXING_SQL
+from sondage.llm.sql_tables import HILBERT_SQL, MERKLE_SQL, RANKED_SQL
 
 __all__ = ["ORACLE", "QUERIES"]
 
@@ -78,6 +79,24 @@ def op9_decontamination(spark: SparkSession, d: str) -> DataFrame:
     return decontaminate.contaminated(table(spark, d, "documents"), table(spark, d, "benchmark"))
 
 
+@query("op11_ranked_search", RANKED_SQL)
+def op11_ranked_search(spark: SparkSession, d: str) -> DataFrame:
+    return ranked.search(table(spark, d, "documents"), table(spark, d, "benchmark"))
+
+
+@query("op12_merkle", MERKLE_SQL)
+def op12_merkle(spark: SparkSession, d: str) -> DataFrame:
+    found = merkle.manifest(table(spark, d, "documents"), now={"text": merkle.tampered()})
+    folded = found.select("doc_id", "leaf", "subroot", "root", merkle.proof_digest(F.col("proof")).alias("proof_sha256"), merkle.fold(F.col("present"), F.col("proof")).alias("folded_root"))
+    return folded.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+@query("op13_hilbert_shards", HILBERT_SQL)
+def op13_hilbert_shards(spark: SparkSession, d: str) -> DataFrame:
+    rows = hilbert.shard(table(spark, d, "documents"))
+    return rows.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 @query("pipeline")
 def pipeline(spark: SparkSession, d: str) -> DataFrame:
     return corpus_pipeline.run(spark, d)
