@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from bisect import bisect_right
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -49,11 +51,11 @@ def _named(df: DataFrame, name: str):
     return F.coalesce(F.concat(F.lit("="), col(name).cast("string")), F.lit(""))
 
 
-def name_cuts(docs: DataFrame, name: str, bits: int = BITS) -> list[bytes]:
-    """The smallest value of each cell but the first, when the distinct values in order are dealt evenly to 2**bits cells."""
+def name_cuts(docs: DataFrame, name: str, bits: int = BITS) -> list[tuple[bytes, int]]:
+    """The smallest value of each cell in use and the cell, when the distinct values in order are dealt evenly to 2**bits cells."""
     ranked = numbered(fixed(docs.select(_named(docs, name).alias("v")).distinct()), [], ["v", "tie"])
     cell = ranked.select("v", F.expr(f"pos * {1 << bits} DIV n").alias("cell"))
-    return sorted(r["v"].encode() for r in cell.groupBy("cell").agg(F.min("v").alias("v")).collect())[1:]
+    return sorted((r["v"].encode(), r["cell"]) for r in cell.groupBy("cell").agg(F.min("v").alias("v")).collect())
 
 
 def _stepped(values: np.ndarray) -> np.ndarray:
@@ -66,17 +68,17 @@ def _stepped(values: np.ndarray) -> np.ndarray:
 class Grid:
     """The cuts of all dimensions: bounded by the number of cells, whatever the table."""
 
-    def __init__(self, dims, cuts: dict[str, list[bytes]], ends: dict[str, tuple[int, int]], bits: int):
+    def __init__(self, dims, cuts: dict[str, list[tuple[bytes, int]]], ends: dict[str, tuple[int, int]], bits: int):
         self.dims, self.cuts, self.ends, self.bits = dims, cuts, ends, bits
 
     def cells(self, arrays: list[pa.Array]) -> list[np.ndarray]:
         out = []
         for (name, kind), a in zip(self.dims, arrays):
             if kind == "name":
-                cuts = self.cuts[name]
+                firsts, cell = [v for v, _ in self.cuts[name]], [c for _, c in self.cuts[name]]
                 # few different values a batch: the dictionary is searched, not every row
                 codes = a.dictionary_encode()
-                found = np.array([np.searchsorted(np.array(cuts, dtype=object), v.encode(), side="right") if cuts else 0 for v in codes.dictionary.to_pylist()], dtype=np.uint64)
+                found = np.array([cell[max(0, bisect_right(firsts, v.encode()) - 1)] for v in codes.dictionary.to_pylist()], dtype=np.uint64)
                 out.append(found[codes.indices.to_numpy()] if len(a) else np.zeros(0, dtype=np.uint64))
                 continue
             low, high = self.ends[name]

@@ -186,6 +186,9 @@ def test_cells_are_even_and_filters_skip_shards(spark, tmp_path):
     names = sorted({r[1] for r in rows})
     for r in got.collect():
         assert r["cells"][0] == names.index(r["source"]) * 256 // len(names)
+    few = d.where("source < 's0005'")
+    cuts = hilbert.name_cuts(few, "source")
+    assert [c for _, c in cuts] == [k * 256 // len(cuts) for k in range(len(cuts))] and len(cuts) == few.select("source").distinct().count()
     zone_map = hilbert.zones(got, ["source", "lang", "n_chars", "doc_id"]).cache()
     for ranges in ({"source": ("s0100", "s0150")}, {"n_chars": (20_000, None)}, {"doc_id": (100, 400)}):
         kept = {r["shard"] for r in hilbert.pruned(zone_map, ranges).collect()}
