@@ -81,6 +81,22 @@ def mix(docs: DataFrame, weight: DataFrame | None = None, doc_id: str = "doc_id"
     return rows.select("doc_id", "source", "size", "source_size", "target", (F.col("epochs") * F.col("size") + part).cast("long").alias("taken"))
 
 
+def with_mix(docs: DataFrame, weight: DataFrame | None = None, doc_id: str = "doc_id", text: str = "text", source: str = "source", salt: str = SALT) -> DataFrame:
+    """The rows of ``docs`` with all columns and size, source_size, target and taken of ``mix``; own columns of these names are replaced.
+
+    Rows meet their share by id, source and size; where several rows agree in all three, the longest shares go to the
+    texts of the smallest digests, so every row gets one share.
+    """
+    taken = mix(docs, weight, doc_id, text, source, salt)
+    keys = ["__id", "__source", "__size"]
+    shares = taken.select(F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.col("size").alias("__size"), "source_size", "target", "taken")
+    shares = shares.withColumn("__nth", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("taken"))))
+    rows = docs.select(F.struct(*[col(c) for c in docs.columns if c not in ("size", "source_size", "target", "taken")]).alias("row"), col(doc_id).alias("id"), col(source).cast("string").alias("s"), word_count(col(text)).alias("size"), F.md5(F.coalesce(col(text), F.lit("")).cast("binary")).alias("h"))
+    rows = rows.withColumn("nth", F.row_number().over(Window.partitionBy("id", "s", "size").orderBy("h")))
+    match = F.col("id").eqNullSafe(F.col("__id")) & F.col("s").eqNullSafe(F.col("__source")) & (F.col("size") == F.col("__size")) & (F.col("nth") == F.col("__nth"))
+    return rows.join(shares, match).select("row.*", "size", "source_size", "target", "taken")
+
+
 def label_weights(labels: DataFrame, doc_id: str = "doc_id", label: str = "quality", good: float = 1.0, bad: float = 0.25) -> DataFrame:
     """(doc_id, weight): documents labelled 1 weigh ``good``, those labelled 0 ``bad``; the better of several labels counts."""
     marks = labels.where(col(doc_id).isNotNull() & col(label).isNotNull())

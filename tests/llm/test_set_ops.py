@@ -291,6 +291,18 @@ def test_sql_of_the_queries(spark, sf):
         assert rows_of(df.columns, df.collect()) == rows_of([c[0] for c in cur.description], cur.fetchall()), name
 
 
+def plain_near(texts):
+    """The smallest id that each text reaches by five-word similarities of 0.8 or more."""
+
+    def plain(t):
+        w = (t or "").lower().split()
+        return frozenset(" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4)))
+
+    sets = {k: plain(t) for k, t in texts.items()}
+    ids = sorted(sets)
+    return plain_components(ids, [(a, b) for a in ids for b in ids if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])])
+
+
 def test_pipeline_stage_by_stage(spark, sf):
     import corpus_pipeline as cp
 
@@ -305,9 +317,16 @@ def test_pipeline_stage_by_stage(spark, sf):
         assert after.exceptAll(before).count() == 0
     sizes = [d.count() for d in held]
     assert cp.run(spark, sf).count() == sizes[-1]
-    # near copies: the smallest id of each component of the third stage's own input stays
-    found = simhash.groups(held[2]).collect()
-    assert {r["doc_id"] for r in held[3].select("doc_id").collect()} == {r["component_id"] for r in found}
+    # near copies: the smallest id of each component by five-word similarity stays
+    texts = {r["doc_id"]: r["text"] for r in held[2].select("doc_id", "text").collect()}
+    root = plain_near(texts)
+    assert {r["doc_id"] for r in held[3].select("doc_id").collect()} == set(root.values())
+    assert set(root.values()) < set(texts)
+    # the mix keeps texts and columns
+    assert held[5].columns == [*docs.columns, "size", "source_size", "target", "taken"]
+    assert held[5].select(docs.columns).exceptAll(held[4]).count() == 0
+    sums = mixing.mix(held[4], mixing.label_weights(spark.read.parquet(f"{sf}/labels.parquet")))
+    assert held[5].groupBy("source").agg(F.sum("taken").alias("w")).exceptAll(sums.groupBy("source").agg(F.sum("taken").alias("w"))).count() == 0
     # benchmark passages: nothing that is left covers an item
     assert decontaminate.contaminated(held[4], spark.read.parquet(f"{sf}/benchmark.parquet")).count() == 0
 
@@ -340,14 +359,34 @@ def test_near_copies_against_brute_force(spark):
     texts += ["one two three", "One  two\tthree", "one two four", None, "", " \n"]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
 
-    def plain(t):
-        w = (t or "").lower().split()
-        return frozenset(" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4)))
-
-    sets = [plain(t) for t in texts]
-    near = [(a, b) for a in range(len(sets)) for b in range(a) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
-    root = plain_components(list(range(len(texts))), near)
+    root = plain_near(dict(enumerate(texts)))
     kept = {r["doc_id"] for r in nearcopies.keep_one(docs).collect()}
-    assert kept == {min(k for k in root if root[k] == c) for c in set(root.values())}
+    assert kept == set(root.values())
     assert len({r["doc_id"] for r in simhash.keep_one(docs).collect()}) > len(kept)
     assert nearcopies.keep_one(docs.where("1 = 0")).count() == 0
+
+
+@pytest.mark.parametrize("block", [2048, 16])
+def test_long_lists_of_unlike_texts_are_compared_in_blocks(spark, monkeypatch, block):
+    monkeypatch.setattr(nearcopies, "BLOCK", block)
+    rng = random.Random(21)
+    vocab = [f"w{k}" for k in range(5000)]
+    frame = rng.choices(vocab, k=150)
+    texts = [" ".join(frame + rng.choices(vocab, k=50)) for _ in range(150)]  # one template: similar at 0.6
+    for k in range(0, 60, 3):  # near copies within the template's lists, not of the list's smallest member
+        w = texts[k].split()
+        w[170 + k % 7] = "changed"
+        texts.append(" ".join(w))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    kept = {r["doc_id"] for r in nearcopies.keep_one(docs).collect()}
+    root = plain_near(dict(enumerate(texts)))
+    assert kept == set(root.values()) and 150 <= len(kept) < len(texts)
+
+
+def test_every_row_gets_one_share(spark, docs, labels):
+    doubled = docs.unionByName(docs.where("doc_id < 5 or doc_id is null"))
+    got = mixing.with_mix(doubled, mixing.label_weights(labels))
+    assert got.columns == [*[c for c in docs.columns if c not in ("size", "target", "taken")], "size", "source_size", "target", "taken"]
+    plain = mixing.mix(doubled, mixing.label_weights(labels))
+    names = ["doc_id", "source", "size", "source_size", "target", "taken"]
+    assert sorted(map(str, got.select(names).collect())) == sorted(map(str, plain.select(names).collect()))
