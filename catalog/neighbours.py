@@ -31,6 +31,14 @@ def knn_exact(spark, d):
     return rounded(neighbours.knn(vectors(spark, d), F.col("x"), 5, "vec_id"), 5)
 
 
+@query("knn_lsh_recall", "SELECT count(*) AS rows, 5 * count(*) AS neighbours, true AS enough FROM embeddings")
+def knn_lsh_recall(spark, d):
+    """The approximate search over all rows held against the exact one: the part of the neighbours found has to reach 0.9."""
+    df = vectors(spark, d).select("vec_id", "x")
+    found = neighbours.recall(neighbours.knn(df, F.col("x"), 5, "vec_id", method="lsh"), neighbours.knn(df, F.col("x"), 5, "vec_id"), "vec_id")
+    return found.select("rows", "neighbours", (F.col("recall") >= 0.9).alias("enough"))
+
+
 @query("knn_same_class", f"{pairs_sql('AND a.y = b.y')} SELECT vec_id, nbr_id, round(dist, 5) AS dist, rank::INT AS rank FROM n WHERE rank <= 5")
 def knn_same_class(spark, d):
     return rounded(neighbours.knn(vectors(spark, d), F.col("x"), 5, "vec_id", group="y", relation="same"), 5)

@@ -1,10 +1,13 @@
-"""Exact nearest neighbours without comparing all pairs.
-
-Equal vectors are collapsed first, so copies cost one search. Candidates are
-cut into rings around a bounded set of pivots. The triangle inequality bounds
-how near a ring can be, so a search visits only the rings that can hold one of
-the k nearest. Rings are split into chunks, and the searches of a chunk into
-packs, so no task sees more than a fixed number of rows.
+"""Nearest neighbours without comparing all pairs: exact by rings, or approximate by hash tables.
+
+Equal vectors are collapsed first, so copies cost one search. For the exact
+answer candidates are cut into rings around a bounded set of pivots. The
+triangle inequality bounds how near a ring can be, so a search visits its rings
+in the order of these bounds, a few more in each round, and leaves once its k-th
+neighbour so far is nearer than any ring that is left. ``method="lsh"`` looks into
+the buckets of p-stable hash tables instead. Rings and buckets are split into
+chunks, and the searches of a chunk into packs, so no task sees more than a
+fixed number of rows.
 """
 
 from __future__ import annotations
@@ -17,16 +20,18 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sondage.operators.order import ranked_values
-from sondage.operators.relate import lookup_join
 from sondage.operators.scale import feature_array
 from sondage.operators.schema import ref
-from sondage.session import BLOCK_ROWS
+from sondage.session import BLOCK_ROWS, cut_lineage
 
 MAX_PIVOTS = 512
 MAX_RINGS = 64
-PACK_ROWS = 512
-# Rows up to which a plain join cannot have a hot key that matters.
-SMALL_ROWS = 100_000
+# Searches that meet a chunk at a time: a chunk's rows are sent once for each pack.
+PACK_ROWS = 2048
+# Rings that a search visits in its first round, and how many times as many it has visited after each further one.
+FIRST_RINGS, MORE_RINGS = 2, 4
+# Ring tables up to this many rows go to every task; larger ones are met by a shuffle.
+SMALL_TABLE = 100_000
 
 
 @dataclass
@@ -73,11 +78,11 @@ def _usable(rings: _Rings, g: np.ndarray, relation: str) -> np.ndarray:
     return np.ones((len(g), len(rings.group)), dtype=bool)
 
 
-def _visits(rings: _Rings, relation: str, need: int, first: bool):
-    """Chunks that each search has to visit.
+def _visits(rings: _Rings, relation: str, start: int, stop: int):
+    """The chunks that each search visits in one round: those of its rings from place ``start`` to ``stop``.
 
-    ``first``: one chunk of the rings that surely hold ``need`` rows, to get a
-    bound. Otherwise every chunk of every ring that is not out of reach.
+    A search's rings stand in the order of the least distance they allow, then of the pivot's distance, which does
+    not depend on what it has found, so the rounds divide them. Rings beyond the bound ``ub`` are left out.
     """
     step = max(1, int(4_000_000 // max(1, len(rings.group))))
 
@@ -86,24 +91,18 @@ def _visits(rings: _Rings, relation: str, need: int, first: bool):
             for at in range(0, len(whole), step):
                 batch = whole.iloc[at:at + step]
                 far = _distances(_matrix(batch["x"]), rings.pivots)[:, rings.cell]
-                usable = _usable(rings, batch["g"].to_numpy(), relation)
-                if first:
-                    order = np.argsort(np.where(usable, far + rings.high, np.inf), axis=1)
-                    held = np.where(np.take_along_axis(usable, order, 1), np.minimum(rings.rows, BLOCK_ROWS // 2)[order], 0)
-                    before = np.cumsum(held, axis=1) - held
-                    pick = (before < need) & (held > 0)
-                    who, place = np.nonzero(pick)
-                    ring, chunk = order[who, place], np.zeros(len(who), dtype=int)
-                else:
-                    near = np.maximum(np.maximum(far - rings.high, rings.low - far), 0.0)
-                    bound = batch["ub"].to_numpy(dtype=float)
-                    # a hair of slack keeps rounding from cutting off a tie
-                    reach = usable & (near <= bound[:, None] * (1 + 1e-9) + 1e-9)
-                    who, ring = np.nonzero(reach)
-                    times = rings.chunks[ring]
-                    who, ring = np.repeat(who, times), np.repeat(ring, times)
-                    ends = np.cumsum(times)
-                    chunk = np.arange(len(ring)) - np.repeat(ends - times, times)
+                near = np.maximum(np.maximum(far - rings.high, rings.low - far), 0.0)
+                near[~_usable(rings, batch["g"].to_numpy(), relation)] = np.inf
+                order = np.lexsort((far, near), axis=1)[:, start:stop]
+                # a hair of slack keeps rounding from cutting off a tie
+                bound = batch["ub"].to_numpy(dtype=float)[:, None] * (1 + 1e-9) + 1e-9
+                reach = np.take_along_axis(near, order, 1)
+                who, place = np.nonzero((reach <= bound) & (reach < np.inf))
+                ring = order[who, place]
+                times = rings.chunks[ring]
+                who, ring = np.repeat(who, times), np.repeat(ring, times)
+                ends = np.cumsum(times)
+                chunk = np.arange(len(ring)) - np.repeat(ends - times, times)
                 if len(who):
                     yield pd.DataFrame({
                         "key": batch["key"].to_numpy()[who], "x": batch["x"].to_numpy()[who],
@@ -152,6 +151,11 @@ def _keyed(df: DataFrame, columns: list[str] | Column, row_id: str, group: str |
     return kept.withColumn("key", F.md5(text))
 
 
+def _small(table: DataFrame) -> DataFrame:
+    """Marks a table for broadcast if it has few rows; many groups make it large, and then it is joined by its keys."""
+    return F.broadcast(table) if table.limit(SMALL_TABLE + 1).count() <= SMALL_TABLE else table
+
+
 def _build_rings(reps: DataFrame, n: int) -> tuple[_Rings, DataFrame]:
     pivots = reps.select("key", "x").distinct().orderBy(F.xxhash64("key"), "key").limit(min(MAX_PIVOTS, -(-n // BLOCK_ROWS))).collect()
     pivots = np.array([r["x"] for r in pivots], dtype=float)
@@ -159,8 +163,7 @@ def _build_rings(reps: DataFrame, n: int) -> tuple[_Rings, DataFrame]:
     cells = placed.groupBy("g", "cell").agg(F.count(F.lit(1)).alias("n"), F.max("pd").alias("far"))
     cells = cells.withColumn("rings", F.least(F.lit(MAX_RINGS), F.ceil(F.col("n") / F.lit(BLOCK_ROWS))).cast("int")).drop("n")
     ring = F.least(F.floor(F.col("pd") / F.greatest(F.col("far"), F.lit(1e-300)) * F.col("rings")), F.col("rings") - 1).cast("int")
-    # at most groups x pivots rows
-    ringed = placed.join(F.broadcast(cells), ["g", "cell"]).withColumn("ring", ring).drop("far", "rings")
+    ringed = placed.join(_small(cells), ["g", "cell"]).withColumn("ring", ring).drop("far", "rings")
     stats = ringed.groupBy("g", "cell", "ring").agg(F.count(F.lit(1)).alias("n"), F.min("pd").alias("lo"), F.max("pd").alias("hi"))
     table = stats.orderBy("g", "cell", "ring").toPandas()
     chunks = np.maximum(1, np.ceil(table["n"].to_numpy() / BLOCK_ROWS)).astype(int)
@@ -169,54 +172,198 @@ def _build_rings(reps: DataFrame, n: int) -> tuple[_Rings, DataFrame]:
         "g int, cell int, ring int, at long, chunks int",
     )
     block = F.col("at") * F.lit(1 << 24) + F.pmod(F.xxhash64("id"), F.col("chunks"))
-    rows = ringed.join(F.broadcast(index), ["g", "cell", "ring"]).select("id", "x", block.alias("block"))
+    rows = ringed.join(_small(index), ["g", "cell", "ring"]).select("id", "x", block.alias("block"))
     rings = _Rings(pivots, table["g"].to_numpy(), table["cell"].to_numpy(), table["lo"].to_numpy(), table["hi"].to_numpy(), table["n"].to_numpy(), chunks)
     return rings, rows
 
 
+def _ranked(found: DataFrame, need: int) -> DataFrame:
+    """(key, nbr, dist, r): the nearest ``need`` different rows of every search, ties by id."""
+    order = Window.partitionBy("key").orderBy("dist", "nbr")
+    return found.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= need)
+
+
+def _by_rings(searches: DataFrame, reps: DataFrame, n: int, need: int, relation: str) -> DataFrame:
+    """Exact (key, nbr, dist): rounds over the rings, nearest bounds first, each with the bounds that the last one left."""
+    rings, rows = _build_rings(reps, n)
+    rows = cut_lineage(rows)
+    visit = "key string, x array<double>, block long"
+    open_ = searches.withColumn("ub", F.lit(float("inf")))
+    found, start, stop = None, 0, FIRST_RINGS
+    while start < len(rings.group):
+        got = _search(open_.mapInPandas(_visits(rings, relation, start, stop), visit), rows, need)
+        best = _ranked(got if found is None else found.unionByName(got), need)
+        found = best.select("key", "nbr", "dist")
+        start, stop = stop, stop * MORE_RINGS
+        if start < len(rings.group):
+            found = cut_lineage(found)
+            bound = found.groupBy("key").agg(F.count(F.lit(1)).alias("held"), F.max("dist").alias("far")).filter(F.col("held") == need).select("key", F.col("far").alias("ub"))
+            open_ = searches.join(bound, "key", "left").withColumn("ub", F.coalesce("ub", F.lit(float("inf"))))
+    return found
+
+
 def knn_join(queries: DataFrame, base: DataFrame, columns: list[str] | Column, k: int, row_id: str = "respondent_id", group: str | None = None,
-             relation: str = "any", exclude_self: bool = False) -> DataFrame:
+             relation: str = "any", exclude_self: bool = False, method: str = "exact", lsh: Lsh | None = None) -> DataFrame:
     """(row id, nbr_id, dist, rank): the k nearest base rows of every query row, ties by id.
 
     ``relation`` with ``group`` restricts neighbours to the ``same`` or to
     ``other`` groups. A row with fewer candidates gets fewer neighbours.
+    ``method="lsh"`` finds most of them with bounded work, by the hash tables of
+    ``lsh``; what it finds has exact distances.
     """
     need = k + 1 if exclude_self else k
     group = None if relation == "any" else group
     asked, given = _keyed(queries, columns, row_id, group), _keyed(base, columns, row_id, group)
     # of equal vectors only the first ids can be neighbours; the limit applies before the shuffle
     copies = Window.partitionBy("key").orderBy("id")
-    reps = given.withColumn("copy", F.row_number().over(copies)).filter(F.col("copy") <= need).drop("copy").persist()
+    reps = cut_lineage(given.withColumn("copy", F.row_number().over(copies)).filter(F.col("copy") <= need).drop("copy"))
     n = reps.count()
     answer = f"{row_id} long, nbr_id long, dist double, rank int"
     if n == 0:
         return queries.sparkSession.createDataFrame([], answer)
-    rings, rows = _build_rings(reps, n)
-    rows = rows.persist()
     searches = asked.dropDuplicates(["key"]).select("key", "g", "x")
-    visit = "key string, x array<double>, block long"
-    if int(rings.chunks.sum()) > 1:
-        opening = _search(searches.mapInPandas(_visits(rings, relation, need, True), visit), rows, need)
-        order = Window.partitionBy("key").orderBy("dist")
-        bound = opening.withColumn("r", F.row_number().over(order)).filter(F.col("r") == need).select("key", F.col("dist").alias("ub"))
-        searches = searches.join(bound, "key", "left").withColumn("ub", F.coalesce("ub", F.lit(float("inf"))))
+    if method == "exact":
+        found = _by_rings(searches, reps, n, need, relation)
+    elif method == "lsh":
+        found = _by_tables(searches, reps, need, relation, lsh or Lsh())
     else:
-        searches = searches.withColumn("ub", F.lit(float("inf")))
-    found = _search(searches.mapInPandas(_visits(rings, relation, need, False), visit), rows, need)
-    order = Window.partitionBy("key").orderBy("dist", "nbr")
-    best = found.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= need)
-    lists = best.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("r", "nbr", "dist"))).alias("near"))
-    wanted = asked.select("id", "key")
-    joined = wanted.join(lists, "key") if n <= SMALL_ROWS else lookup_join(wanted, lists, "key")
+        raise ValueError(f"unknown method {method}")
+    lists = _ranked(found, need).groupBy("key").agg(F.sort_array(F.collect_list(F.struct("r", "nbr", "dist"))).alias("near"))
+    joined = asked.select("id", "key").join(lists, "key")
     near = F.filter("near", lambda v: v["nbr"] != F.col("id")) if exclude_self else F.col("near")
     flat = joined.select("id", F.posexplode(F.slice(near, 1, k)).alias("pos", "v"))
     return flat.select(F.col("id").alias(row_id), F.col("v.nbr").alias("nbr_id"), F.col("v.dist").alias("dist"), (F.col("pos") + F.lit(1)).alias("rank"))
 
 
+@dataclass
+class Lsh:
+    """Hash tables of the approximate search.
+
+    A hash is the cell of width ``width`` that a random projection falls in; a bucket is a run of ``hashes`` such cells. A
+    search looks into its own bucket of each of ``tables`` tables and into those of the ``probes`` - 1 neighbouring cells
+    that are nearest to it. Without a width it is ``scale`` times the median distance to the k-th neighbour within
+    ``sample`` rows, which are taken by their hashes: a bounded sample, all rows are indexed. A bucket of more than
+    ``crowd`` rows is divided once by as many further hashes; what is still larger is looked into chunk by chunk.
+    """
+
+    tables: int = 12
+    hashes: int = 4
+    probes: int = 16
+    width: float | None = None
+    scale: float = 1.0
+    sample: int = 2_000
+    crowd: int = 16_384
+    seed: int = 42
+
+
+class _Tables:
+    """The projections, drawn from the seed alone, so every task has the same."""
+
+    def __init__(self, lsh: Lsh, dims: int, width: float):
+        rng = np.random.default_rng(lsh.seed)
+        self.lsh, self.width = lsh, width
+        self.planes = rng.normal(size=(lsh.tables * 2 * lsh.hashes, dims))
+        self.shift = rng.uniform(size=lsh.tables * 2 * lsh.hashes)
+        self.odd = rng.integers(0, 2**62, size=2 * lsh.hashes + 1, dtype=np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
+        # steps to neighbouring cells: none, one hash by one, two hashes by one each
+        h, steps = lsh.hashes, [np.zeros(lsh.hashes, dtype=np.int64)]
+        for i in range(h):
+            for a in (-1, 1):
+                one = np.zeros(h, dtype=np.int64)
+                one[i] = a
+                steps.append(one)
+                for j in range(i):
+                    for c in (-1, 1):
+                        two = one.copy()
+                        two[j] = c
+                        steps.append(two)
+        self.steps = np.array(steps)
+
+    def places(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Cells per (row, table, hash) and how far into the cell, from 0 to 1."""
+        at = (x @ self.planes.T / self.width + self.shift).reshape(len(x), self.lsh.tables, -1)
+        cell = np.floor(at)
+        return cell.astype(np.int64), at - cell
+
+    def names(self, cells: np.ndarray, table: np.ndarray, first: int = 0) -> np.ndarray:
+        """One number for a run of cells of a table; two runs with one number only add candidates."""
+        out = (table.astype(np.uint64) + np.uint64(1)) * self.odd[-1]
+        for k in range(cells.shape[-1]):
+            out = (out ^ (out >> np.uint64(31)) ^ cells[..., k].astype(np.uint64)) * self.odd[first + k]
+        return (out ^ (out >> np.uint64(29))).view(np.int64)
+
+    def rows(self, batches):
+        """(id, g, coarse, fine) of every row and table."""
+        h, tables = self.lsh.hashes, np.arange(self.lsh.tables)
+        for b in batches:
+            if len(b):
+                cells, _ = self.places(_matrix(b["x"]))
+                coarse = self.names(cells[..., :h], tables[None, :] + 1000 * b["g"].to_numpy()[:, None])
+                fine = self.names(cells[..., h:], coarse, h)
+                yield pd.DataFrame({"id": np.repeat(b["id"].to_numpy(), len(tables)), "coarse": coarse.ravel(), "fine": fine.ravel()})
+
+    def searches(self, batches):
+        """(key, coarse, fine) of every search, table and probe."""
+        h, tables, probes = self.lsh.hashes, np.arange(self.lsh.tables), min(self.lsh.probes, len(self.steps))
+        for b in batches:
+            if len(b):
+                cells, part = self.places(_matrix(b["x"]))
+                # the squared way to the cells of each step, summed over its hashes
+                way = np.where(self.steps[None, None] < 0, part[:, :, None, :h], np.where(self.steps[None, None] > 0, 1 - part[:, :, None, :h], 0.0))
+                pick = np.argsort((way**2).sum(-1), axis=2, kind="stable")[..., :probes]
+                near = cells[:, :, None, :h] + self.steps[pick]
+                coarse = self.names(near, (tables[None, :] + 1000 * b["g"].to_numpy()[:, None])[..., None])
+                fine = self.names(cells[:, :, None, h:], coarse, h)
+                yield pd.DataFrame({"key": np.repeat(b["key"].to_numpy(), len(tables) * probes), "coarse": coarse.ravel(), "fine": fine.ravel()})
+
+
+def _width(reps: DataFrame, need: int, lsh: Lsh) -> float:
+    """``scale`` times the median distance to the last neighbour that is asked for, within the sample."""
+    some = np.array([r["x"] for r in reps.select("key", "x").orderBy(F.xxhash64("key"), "key").limit(lsh.sample).collect()], dtype=float)
+    last = []
+    for at in range(0, len(some), 256):
+        far = np.sort(_distances(some[at:at + 256], some), axis=1)
+        last.append(far[:, min(max(need - 1, 1), len(some) - 1)])
+    return lsh.scale * float(np.median(np.concatenate(last))) or 1.0
+
+
+def _by_tables(searches: DataFrame, reps: DataFrame, need: int, relation: str, lsh: Lsh) -> DataFrame:
+    """Approximate (key, nbr, dist): of the rows that share a bucket or a neighbouring one with a search, the nearest."""
+    if relation == "other":
+        raise ValueError("hash tables hold the rows of a group together: ask for any or for the same group")
+    tables = _Tables(lsh, len(reps.first()["x"]), lsh.width or _width(reps, need, lsh))
+    # only ids and bucket numbers are dealt into tables; vectors follow where a bucket is looked into
+    held = reps.select("id", "g", "x").mapInPandas(tables.rows, "id long, coarse long, fine long")
+    looks = searches.select("key", "g", "x").mapInPandas(tables.searches, "key string, coarse long, fine long")
+    held, looks = cut_lineage(held), cut_lineage(looks.distinct())
+    crowded = held.groupBy("coarse").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > lsh.crowd).select("coarse", F.lit(True).alias("full"))
+    bucket = F.when(F.col("full"), F.col("fine")).otherwise(F.col("coarse")).alias("bucket")
+    held, looks = (t.join(crowded, "coarse", "left").select(c, bucket) for t, c in ((held, "id"), (looks, "key")))
+    held = cut_lineage(held)
+    sizes = held.groupBy("bucket").agg(F.ceil(F.count(F.lit(1)) / F.lit(BLOCK_ROWS)).cast("int").alias("chunks"))
+    # a row of a bucket lies in one chunk, a search goes to all of them
+    chunk = F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int")
+    rows = held.join(sizes, "bucket").select("id", F.xxhash64("bucket", chunk).alias("block")).join(reps.select("id", "x"), "id")
+    visits = looks.distinct().join(sizes, "bucket").select("key", "bucket", F.explode(F.sequence(F.lit(0), F.col("chunks") - F.lit(1))).alias("chunk"))
+    visits = visits.select("key", F.xxhash64("bucket", "chunk").alias("block")).join(searches.select("key", "x"), "key")
+    return _search(visits, rows, need).distinct()
+
+
+def recall(found: DataFrame, exact: DataFrame, row_id: str = "respondent_id") -> DataFrame:
+    """(rows, neighbours, recall): the part of the exact neighbours, by distance, that another answer holds.
+
+    A neighbour counts when it is no farther than the exact one of the last rank, so ties are no misses.
+    """
+    last = exact.groupBy(ref(row_id)).agg(F.max("dist").alias("__far"), F.count(F.lit(1)).alias("__n"))
+    hits = found.join(last, row_id).groupBy(ref(row_id)).agg(F.count_if(F.col("dist") <= F.col("__far") * (1 + 1e-12)).alias("__hit"))
+    both = last.join(hits, row_id, "left")
+    return both.agg(F.count(F.lit(1)).alias("rows"), F.sum("__n").alias("neighbours"), (F.sum(F.coalesce(F.least("__hit", "__n"), F.lit(0))) / F.sum("__n")).alias("recall"))
+
+
 def knn(df: DataFrame, columns: list[str] | Column, k: int, row_id: str = "respondent_id", group: str | None = None, relation: str = "any",
-        include_self: bool = False) -> DataFrame:
+        include_self: bool = False, method: str = "exact", lsh: Lsh | None = None) -> DataFrame:
     """The k nearest rows of every row of one table."""
-    return knn_join(df, df, columns, k, row_id, group, relation, exclude_self=not include_self)
+    return knn_join(df, df, columns, k, row_id, group, relation, exclude_self=not include_self, method=method, lsh=lsh)
 
 
 def vote(neighbours: DataFrame, labels: DataFrame, row_id: str, label: str) -> DataFrame:
@@ -275,4 +422,4 @@ def knn_vote_1d(query: DataFrame, base: DataFrame, column: str, label: str, k: i
     near = pairs.withColumn("r", F.row_number().over(Window.partitionBy("q").orderBy("dist", "id"))).filter(F.col("r") <= k)
     counts = near.groupBy("q", "l").agg(F.count(F.lit(1)).alias("n"))
     votes = counts.groupBy(F.col("q").alias("v")).agg(F.min_by("l", F.struct(-F.col("n"), F.col("l"))).alias("predicted"))
-    return lookup_join(asked, votes, "v").select(row_id, "predicted")
+    return asked.join(votes, "v").select(row_id, "predicted")

@@ -12,9 +12,6 @@ from sondage.functions.draws import u
 from sondage.operators.order import class_ranks
 from sondage.operators.schema import ref
 
-# A key is hot from this share of the rows up, so at most 1000 keys are hot.
-HOT_SHARE = 1000
-
 
 def attach(df: DataFrame, labels: DataFrame, on: str = "respondent_id", how: str = "left") -> DataFrame:
     """Labels to rows by row id; rows without a label keep NULL."""
@@ -25,30 +22,6 @@ def append(a: DataFrame, b: DataFrame) -> DataFrame:
     return a.unionByName(b, allowMissingColumns=True)
 
 
-def hot_keys(df: DataFrame, key: str, minimum: int = 10_000) -> DataFrame:
-    """Keys that hold more than a thousandth of the rows (and at least ``minimum``)."""
-    counts = df.groupBy(ref(key).alias("__hot")).agg(F.count(F.lit(1)).alias("__n"))
-    total = df.count()
-    return counts.filter(F.col("__n") > max(minimum, total // HOT_SHARE)).select("__hot")
-
-
-def lookup_join(rows: DataFrame, table: DataFrame, key: str, minimum: int = 10_000) -> DataFrame:
-    """Inner join to a table with unique keys, safe when a few keys hold most rows.
-
-    Rows with hot keys (at most 1000 by construction) take their table rows by
-    broadcast; all other rows meet by shuffle.
-    """
-    hot = hot_keys(rows, key, minimum)
-    names = [r[0] for r in hot.collect()]
-    if not names:
-        return rows.join(table, key)
-    marker = F.broadcast(hot)
-    few = table.join(marker, ref(key) == F.col("__hot"), "left_semi")
-    rest = rows.join(marker, ref(key) == F.col("__hot"), "left_anti")
-    busy = rows.join(marker, ref(key) == F.col("__hot"), "left_semi")
-    return busy.join(F.broadcast(few), key).unionByName(rest.join(table, key))
-
-
 def remove_exact_duplicates(train: DataFrame, test: DataFrame, row_id: str | None = None) -> DataFrame:
     """Train rows whose exact content occurs once in train and test together; gaps are content too.
 

@@ -42,6 +42,53 @@ def test_knn_with_many_blocks_and_copies(spark, monkeypatch, relation):
     assert {i: [got[i][r] for r in sorted(got[i])] for i in got} == want
 
 
+def clustered(spark, n, dims=6):
+    """Rows around n / 50 centres, a few of them copies."""
+    rng = np.random.default_rng(n)
+    x = np.repeat(rng.normal(size=(n // 50, dims)) * 20, 50, axis=0) + rng.normal(size=(n, dims))
+    x[::97] = x[0]
+    return spark.createDataFrame([(i, *map(float, v)) for i, v in enumerate(x)], "respondent_id long, " + ", ".join(f"c{j} double" for j in range(dims))), [f"c{j}" for j in range(dims)]
+
+
+def test_knn_rounds_visit_no_more_than_the_rows_grow(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "BLOCK_ROWS", 40)
+    monkeypatch.setattr(neighbours, "PACK_ROWS", 40)
+    sent, real = [], neighbours._search
+    monkeypatch.setattr(neighbours, "_search", lambda v, r, n: (sent.append(v.count()), real(v, r, n))[1])
+    visits = []
+    for n in (500, 1000):
+        df, columns = clustered(spark, n)
+        neighbours.knn(df, columns, 4).count()
+        visits.append(sum(sent))
+        assert len(sent) > 1
+        sent.clear()
+    assert visits[1] < 2.6 * visits[0]
+
+
+def test_hash_tables_find_nearly_all_neighbours(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "BLOCK_ROWS", 40)
+    df, columns = clustered(spark, 800)
+    exact = neighbours.knn(df, columns, 4).persist()
+    full = neighbours.Lsh(sample=300)
+    found = neighbours.knn(df, columns, 4, method="lsh", lsh=full).persist()
+    r = neighbours.recall(found, exact).first()
+    assert (r["rows"], r["neighbours"]) == (800, 3200) and r["recall"] >= 0.9
+    # what is found has its true distance, no row is its own neighbour, ranks are gapless
+    far = {(a["respondent_id"], a["nbr_id"]): a["dist"] for a in exact.collect()}
+    rows = found.collect()
+    assert all(a["respondent_id"] != a["nbr_id"] and far.get((a["respondent_id"], a["nbr_id"]), a["dist"]) == a["dist"] for a in rows)
+    # crowded buckets are divided, and few tables with single probes find less
+    divided = neighbours.recall(neighbours.knn(df, columns, 4, method="lsh", lsh=neighbours.Lsh(sample=300, crowd=60)), exact).first()["recall"]
+    few = neighbours.recall(neighbours.knn(df, columns, 4, method="lsh", lsh=neighbours.Lsh(sample=300, tables=1, probes=1, scale=0.5)), exact).first()["recall"]
+    assert 0.8 <= divided <= 1 and few < r["recall"]
+    grouped = df.withColumn("y", (F.col("respondent_id") % 2).cast("int"))
+    same = neighbours.knn(grouped, columns, 3, group="y", relation="same", method="lsh", lsh=full).collect()
+    assert same and all((a["respondent_id"] - a["nbr_id"]) % 2 == 0 for a in same)
+    assert neighbours.knn(df.limit(0), columns, 3, method="lsh").count() == 0
+    with pytest.raises(ValueError):
+        neighbours.knn(grouped, columns, 3, group="y", relation="other", method="lsh")
+
+
 def test_knn_fewer_rows_than_k(spark):
     df, _, _ = points(spark, n=3, copies=1)
     assert neighbours.knn(df, ["c0", "c1", "c2"], 5).count() == 6
@@ -118,13 +165,6 @@ def test_sampling_and_sets(spark):
     assert relate.synthetic_only(a, a.limit(1), []).count() == 2
 
 
-def test_hot_key_join(spark):
-    rows = spark.range(300).select(F.when(F.col("id") < 200, 7).otherwise(F.col("id")).alias("k"), "id")
-    table = rows.select("k").distinct().withColumn("v", F.col("k") * 2)
-    got = relate.lookup_join(rows, table, "k", minimum=50)
-    assert got.count() == 300 and got.filter("v <> 2 * k").count() == 0
-
-
 def test_isolation_and_mixture(spark):
     rng = np.random.default_rng(7)
     v = np.concatenate([rng.normal(-3, 0.3, 300), rng.normal(0, 0.3, 300), rng.normal(3, 0.3, 300), [30.0]])
