@@ -16,8 +16,6 @@ from sondage.llm.common import arrow_rows, col, raw_text, small_batches, written
 from sondage.session import cut_lineage
 
 TOP = 10
-# A term is a run of ASCII digits and letters and of anything beyond ASCII.
-TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 # Postings that a task holds while it sorts them into strata, and bytes of a long text whose terms are counted at a time.
 CHUNK = 1_000_000
 PIECE = 1 << 20
@@ -32,26 +30,43 @@ CELLS = 4_000_000
 # Fixed values of the score: full weight of length, its part, and the scale of a term's share.
 LENGTH, LENGTH_PART, SCALE = 100, 75, 1_000_000_000
 
+# A term is a run of ASCII digits and letters and of anything beyond ASCII; A-Z are lower-cased.
 _TERMS = bytes(b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else b + 32 if 65 <= b <= 90 else 32 for b in range(256))
 
 
-def term_counts(raw: bytes) -> Counter:
-    """Occurrences of each term of a text in UTF-8; a long text is taken in pieces cut between terms."""
-    got, at = Counter(), 0
+def pieces(raw: bytes) -> Iterator[list[bytes]]:
+    """The terms of a text in UTF-8; a long text is taken in pieces cut between terms."""
+    at = 0
     while at < len(raw):
         end = min(at + PIECE, len(raw))
         # a term that the cut would divide goes on into this piece
         while end < len(raw) and _TERMS[raw[end]] != 32:
             end += 1
-        got.update(raw[at:end].translate(_TERMS).split())
+        yield raw[at:end].translate(_TERMS).split()
         at = end
+
+
+def term_counts(raw: bytes) -> Counter:
+    """Occurrences of each term of a text in UTF-8."""
+    got = Counter()
+    for terms in pieces(raw):
+        got.update(terms)
     return got
 
 
 def corpus_size(docs: DataFrame, text: str = "text") -> tuple[int, int]:
     """Documents with at least one term, and all terms with repeats."""
-    n = F.regexp_count(col(text), F.lit(TERM)).cast("long")
-    row = docs.select(F.coalesce(n, F.lit(0)).alias("n")).where("n > 0").agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
+
+    def run(batches):
+        documents = words = 0
+        for batch in batches:
+            for t in batch.column(0):
+                n = sum(map(len, pieces(t.as_buffer().to_pybytes())))
+                documents, words = documents + (n > 0), words + n
+        yield pa.RecordBatch.from_arrays([pa.array([documents], pa.int64()), pa.array([words], pa.int64())], names=["documents", "words"])
+
+    sums = arrow_rows(docs.select(raw_text(text).alias("raw")), run, "documents long, words long")
+    row = sums.agg(F.coalesce(F.sum("documents"), F.lit(0)), F.coalesce(F.sum("words"), F.lit(0))).first()
     return int(row[0]), int(row[1])
 
 
@@ -129,7 +144,7 @@ def build_index(docs: DataFrame, size: tuple[int, int], doc_id: str = "doc_id",
         for batch in batches:
             arrow_id = batch.column(0).type
             for key, t in zip(batch.column(0).to_pylist(), batch.column(1)):
-                got = term_counts(t.as_buffer().to_pybytes())
+                got = term_counts(t)
                 if not got:
                     continue
                 ids.append(key)
