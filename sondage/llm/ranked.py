@@ -143,7 +143,7 @@ def build_index(docs: DataFrame, size: tuple[int, int], doc_id: str = "doc_id",
 
         for batch in batches:
             arrow_id = batch.column(0).type
-            for key, t in zip(batch.column(0).to_pylist(), batch.column(1)):
+            for key, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 got = term_counts(t)
                 if not got:
                     continue
