@@ -1,5 +1,7 @@
 """SQL for DuckDB that gives the rows of the queries SQL can express."""
 
+from sondage.llm.licenses import LABEL_OF, TEMPLATES, pattern
+
 MIXING_SQL = r"""
 WITH base AS (
   SELECT d.doc_id, d.source, coalesce(len(regexp_extract_all(d.text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
@@ -26,18 +28,7 @@ SELECT doc_id, size, source_size, round(target, 6) AS target,
 FROM placed
 """
 
-# the templates as patterns over the words joined by single spaces
-_LICENSE_PATTERNS = {
-    "agpl": " licensed under the (terms of the )?gnu affero general public license ",
-    "apache-2.0": " (licensed|released|distributed) under the (terms of the )?apache (software )?license (version )?2 0 ",
-    "bsd": " redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met (1 )?redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer ",
-    "cc-by-nc-4.0": " (licensed|released|available) under (a )?(cc by nc|creative commons attribution noncommercial) 4 0 ",
-    "gpl-3.0": " (this work|this program|this software) is (free software and is )?(licensed|released|distributed) under the (terms of the )?gnu general public license (as published by the free software foundation )?(either )?version 3 ",
-    "isc": " permission to use copy modify and (or )?distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies ",
-    "mit": " (released|licensed|available) under the (terms of the )?mit license | permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software ",
-    "proprietary": " copyright (c )?([^ ]+ ){0,6}all rights reserved ",
-}
-_CASES = ", ".join(f"CASE WHEN regexp_matches(flat, '{p}') THEN '{n}' END" for n, p in _LICENSE_PATTERNS.items())
+_CASES = ", ".join(f"CASE WHEN regexp_matches(flat, '{pattern(t)}') THEN '{LABEL_OF.get(n, n)}' END" for n, t in TEMPLATES.items())
 _PHRASES = {"cc-by": "cc by", "gpl": "general public license", "reserved": "all rights reserved"}
 _PLACES = " || ".join(
     f"CASE WHEN contains(flat, ' {p} ') THEN list_filter(range(1, n_words + 1), lambda i: {' AND '.join(f't[i + {k}] = {w!r}' for k, w in enumerate(p.split()))}) ELSE []::BIGINT[] END" for p in _PHRASES.values()

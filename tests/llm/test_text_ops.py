@@ -7,6 +7,7 @@ from collections import Counter
 
 import duckdb
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from sondage.llm import langid, licenses, lmscore, lzprint, quality
@@ -104,6 +105,75 @@ def test_license_automata():
         assert a.accepts_from([w.encode() for w in words.split()], 0) == bool(want)
 
 
+AS_IS = """THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT.
+IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""
+MIT_START = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the
+rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, """
+MIT = MIT_START + """and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
+The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. """ + AS_IS
+BSD_HEAD = """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.
+"""
+BSD_NAMES = "3. Neither the name of the Example Company nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.\n"
+BSD_TAIL = """THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED.
+IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS;
+OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""
+
+
+def gnu(kind, version):
+    return f"""This program is free software: you can redistribute it and/or modify it under the terms of the GNU {kind} License as published by the Free Software Foundation, either version {version} of the License, or (at your option) any later version.
+This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU {kind} License for more details."""
+
+
+NOTICES = [
+    ("mit", MIT), ("bsd-2-clause", BSD_HEAD + BSD_TAIL), ("bsd-3-clause", BSD_HEAD + BSD_NAMES + BSD_TAIL),
+    ("gpl,gpl-2.0", gnu("General Public", "2")), ("gpl,gpl-3.0", gnu("General Public", "3")), ("agpl,gpl", gnu("Affero General Public", "3")), ("gpl,lgpl-2.1", gnu("Lesser General Public", "2.1")), ("gpl,lgpl-3.0", gnu("Lesser General Public", "3")),
+    ("isc", """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.
+THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES
+OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."""),
+    ("mpl-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."),
+    ("apache-2.0", """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0
+Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License."""),
+    ("cc-by-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."), ("cc-by-sa-4.0", "This work is licensed under the Creative Commons Attribution-ShareAlike 4.0 International License."),
+    ("unlicense", """This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.
+In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software to the public domain. We make this dedication for the benefit of the public at large and to the detriment of our heirs and successors.
+We intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law. """ + AS_IS.replace("AUTHORS OR COPYRIGHT HOLDERS", "AUTHORS")),
+]
+
+
+@pytest.mark.parametrize("label,text", NOTICES, ids=[n for n, _ in NOTICES])
+def test_whole_notices_are_accepted_and_altered_ones_are_not(label, text):
+    automata = {n: licenses.Automaton(t) for n, t in licenses.TEMPLATES.items()}
+
+    def labels(t):
+        return licenses.scan(t.encode(), automata)[5]
+
+    assert labels("Some lead.\n" + text + " Some end.") == label
+    assert all(re.search(licenses.pattern(licenses.TEMPLATES[n]), " " + " ".join(re.findall("[a-z0-9]+", text.lower())) + " ") is not None for n in licenses.TEMPLATES if licenses.LABEL_OF.get(n, n) == label.split(",")[-1] and n.endswith(("-notice", "-text")))
+
+
+def test_altered_wording_is_rejected():
+    automata = {n: licenses.Automaton(licenses.TEMPLATES[n]) for n in ("mit-text", "bsd-2-clause", "bsd-3-clause", "isc", "unlicense", "gpl-3.0-notice", "mpl-2.0")}
+
+    def labels(t):
+        return licenses.scan(t.encode(), automata, {})[5]
+
+    assert labels(MIT_START + "but you shall pay me. " + AS_IS) == ""
+    assert labels(MIT.replace("shall be included", "need not be included")) == "" and labels(MIT.replace("subject to the following conditions", "for money, subject to the following conditions")) == ""
+    assert labels(BSD_HEAD + "3. You shall pay me.\n" + BSD_TAIL) == "" and labels(BSD_HEAD + BSD_NAMES.replace("may be", "must be") + BSD_TAIL) == ""
+    words = MIT.split()
+    kept = {"AUTHORS", "OR", "COPYRIGHT", "HOLDERS", "THE"}
+    for at in range(0, len(words), 7):
+        if words[at] not in kept:  # those may stand in the replaceable part
+            assert labels(" ".join([*words[:at], "altered", *words[at + 1 :]])) == ""
+
+
+def test_many_places_are_counted_on():
+    text = "all rights reserved " * 200_000
+    assert licenses.scan(text.encode(), {})[:4] == (600_000, 200_000, 0, 599_997)
+
+
 def test_license_places_against_a_plain_scan(docs, empty):
     got = licenses.scan_licenses(docs).select("row.text", "n_words", "n_base", "first_word", "last_word").collect()
     for r in got:
