@@ -86,6 +86,11 @@ def u_sql(row_id: str, salt: str) -> str:
     return f"((('0x' || substr(md5(CAST({row_id} AS VARCHAR) || {q(':' + salt)}), 1, 13))::BIGINT)::DOUBLE / 4503599627370496.0::DOUBLE)"
 
 
+def facts_sql(cte: str, facts: dict[str, str]) -> str:
+    """(fact, value) rows of scalar expressions, beside ``certify.facts``."""
+    return cte + " " + " UNION ALL ".join(f"SELECT {q(k)} AS fact, ({v})::DOUBLE AS value" for k, v in facts.items())
+
+
 def list_sql(values) -> str:
     return "[" + ", ".join(q(v) if isinstance(v, str) else str(v) for v in values) + "]"
 

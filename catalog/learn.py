@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
-from catalog.base import ENCODED, ROW_ID, encoded_table, query, read_table, rounded, u_sql
+from catalog.base import ENCODED, ROW_ID, encoded_table, facts_sql, query, read_table, rounded, u_sql
 from catalog.neighbours import VALUES, VECTORS, vectors
 from catalog.prepare import constraint_input
 from sondage import vocab
 from sondage.functions.draws import u
-from sondage.operators import augment, metrics, models, relate, scale
+from sondage.operators import augment, certify, metrics, models, relate, scale
 from sondage.operators.schema import features_of, ref
 
 
@@ -35,34 +37,72 @@ def halves(spark, d):
     return split.filter("is_test = 0").drop("is_test"), split.filter("is_test = 1").drop("is_test")
 
 
-def judge(spark, fitted, test):
+# rows per class, and of them those that train: the test part is a quarter, rounded up
+SPLIT = f"{LEVEL}, z AS (SELECT y, count(*) - ceil(0.25::DOUBLE * count(*)) AS n, ceil(0.25::DOUBLE * count(*)) AS t FROM lv GROUP BY 1)"
+TRAIN_ROWS = {"rows": "(SELECT sum(n) FROM z)", "test_rows": "(SELECT sum(t) FROM z)"}
+
+
+def judge(fitted, train, test) -> dict:
+    """Rows, and whether the model beats the largest class and a coin on rows that it has not seen."""
     out = fitted.predict(test).persist()
-    row = (fitted.name, metrics.accuracy(out, vocab.TARGET, "predicted"), metrics.f1(out, vocab.TARGET, "predicted"), metrics.roc_auc(out, vocab.TARGET, "score"))
-    return rounded(spark.createDataFrame([row], "model string, accuracy double, f1 double, auc double"))
+    n, share = out.agg(F.count(F.lit(1)), F.avg(vocab.TARGET)).first()
+    right, auc = metrics.accuracy(out, vocab.TARGET, "predicted"), metrics.roc_auc(out, vocab.TARGET, "score")
+    return {"rows": train.count(), "test_rows": n, "beats_class": right >= max(share, 1 - share), "beats_coin": auc > 0.5, "scores": out.filter(~F.col("score").between(0, 1)).count() == 0}
 
 
-@query("fit_logistic")
+_GOOD = {"beats_class": "1", "beats_coin": "1", "scores": "1"}
+
+
+@query("fit_logistic", facts_sql(SPLIT, {**TRAIN_ROWS, **_GOOD, "mean_score": "(SELECT sum(n * y * (SELECT sum(n) FROM z) / (2 * n)) / sum(n * (SELECT sum(n) FROM z) / (2 * n)) FROM z)", "flat": "1", "below_nothing": "1"}))
 def fit_logistic(spark, d):
+    """At the minimum every derivative of the ridge loss is 0, so the weighted mean score is the weighted share of class 1."""
     train, test = halves(spark, d)
-    return judge(spark, models.fit_logistic(train, FEATURES), test)
+    fitted = models.fit_logistic(train, FEATURES)
+    found = certify.logistic_facts(train, fitted)
+    return certify.facts(train, {**judge(fitted, train, test), "mean_score": round(found["mean_score"], 4), "flat": found["steepest"] < 1e-4, "below_nothing": found["loss"] < math.log(2)})
 
 
-@query("fit_forest")
+@query("fit_forest", facts_sql(SPLIT, {**TRAIN_ROWS, **_GOOD, "probabilities": "1", "importances": "1", "learned": "1", "trees": "150"}))
 def fit_forest(spark, d):
     train, test = halves(spark, d)
-    return judge(spark, models.fit_forest(train, FEATURES), test)
+    fitted = models.fit_forest(train, FEATURES)
+    found = certify.forest_facts(train, fitted)
+    return certify.facts(train, {**judge(fitted, train, test), "probabilities": found["off"] < 1e-9, "importances": round(found["importances"], 6), "learned": found["right"] > 0.95, "trees": fitted.model.getNumTrees})
 
 
-@query("fit_boosted")
+@query("fit_boosted", facts_sql(SPLIT, {**TRAIN_ROWS, **_GOOD, "probabilities": "1", "importances": "1", "learned": "1", "falling": "1"}))
 def fit_boosted(spark, d):
+    """The weighted loss falls from its first to its last round."""
     train, test = halves(spark, d)
-    return judge(spark, models.fit_boosted(train, FEATURES, rounds=20), test)
+    fitted = models.fit_boosted(train, FEATURES, rounds=20)
+    found = certify.forest_facts(train, fitted)
+    losses = fitted.model.evaluateEachIteration(models.training_rows(train, FEATURES, vocab.TARGET, {1: models.positive_weight(train)}))
+    return certify.facts(train, {**judge(fitted, train, test), "probabilities": found["off"] < 1e-9, "importances": round(found["importances"], 6), "learned": found["beyond"] > 0, "falling": len(losses) == 20 and losses[-1] < losses[0]})
 
 
-@query("fit_svm")
+@query("fit_svm", facts_sql(SPLIT, {**TRAIN_ROWS, **_GOOD, "gap": "1", "below_nothing": "1", "converged": "1"}))
 def fit_svm(spark, d):
+    """The hinge loss lies within a hundredth of a bound from its dual."""
     train, test = halves(spark, d)
-    return judge(spark, models.fit_svm(train, FEATURES), test)
+    fitted = models.fit_svm(train, FEATURES)
+    found = certify.svm_facts(train, fitted)
+    return certify.facts(train, {**judge(fitted, train, test), "gap": found["gap"] < 0.01, "below_nothing": found["loss"] < 1, "converged": fitted.stage.startswith("converged")})
+
+
+IMPORTANT = ["Debt_Level", "Save_Money", "Age"]
+
+
+@query("permutation_importances", f"""{LEVEL}, c AS (SELECT count(*) AS n FROM lv), r AS (SELECT unnest(range(3)) AS r),
+p AS (SELECT r, y, {", ".join(IMPORTANT)}, row_number() OVER (PARTITION BY r ORDER BY CASE r {" ".join(f"WHEN {k} THEN {u_sql('respondent_id', f'permute:42:{k}')}" for k in range(3))} END, respondent_id) - 1 AS at FROM lv, r),
+j AS (SELECT a.r, a.y, {", ".join(f"a.{c}, b.{c} AS o_{c}" for c in IMPORTANT)} FROM p a JOIN c ON true JOIN p b ON a.r = b.r AND b.at = (a.at + 1 + (7919 * (a.r + 1) + 42) % (n - 1)) % n),
+v AS ({" UNION ALL ".join(f"SELECT r, y, {k} AS j, {', '.join(('o_' if i == k else '') + c + ' AS ' + c for i, c in enumerate(IMPORTANT))} FROM j" for k in range(-1, 3))}),
+h AS (SELECT r, j, avg(((Debt_Level / 4.0::DOUBLE - 0.3::DOUBLE * Save_Money > 0.25::DOUBLE)::INT = y)::INT) AS hit FROM v GROUP BY 1, 2)
+SELECT CASE a.j {" ".join(f"WHEN {k} THEN '{c}'" for k, c in enumerate(IMPORTANT))} END AS feature, round(avg(b.hit - a.hit), 6) + 0.0 AS importance, round(stddev_pop(b.hit - a.hit), 6) AS spread FROM h a JOIN h b ON a.r = b.r AND b.j = -1 WHERE a.j >= 0 GROUP BY a.j""")
+def permutation_importances(spark, d):
+    """Of a fixed linear rule, so that SQL can deal the columns anew as well; the rule does not ask for the age."""
+    df = labelled(spark, d).select(ROW_ID, *IMPORTANT, vocab.TARGET)
+    rule = (F.col("Debt_Level") / 4.0 - 0.3 * F.col("Save_Money") > 0.25).cast("int")
+    return rounded(models.permutation_importances(df, lambda rows: rows.withColumn("predicted", rule), IMPORTANT, repeats=3))
 
 
 @query("train_suite")
@@ -73,15 +113,20 @@ def train_suite(spark, d):
     return full.select("model", "roc_auc", "f1_score", "cv_f1_mean", "cv_f1_std", "train_accuracy", "test_accuracy", "overfit_ratio")
 
 
-@query("learning_curve")
+@query("learning_curve", f"""{LEVEL}, z AS (SELECT y, count(*) AS n FROM lv GROUP BY 1), f AS (SELECT fold, sum(n // 5 + (fold BETWEEN 1 AND n % 5)::INT) AS size FROM z, (SELECT unnest(range(5)) AS fold) GROUP BY 1)
+SELECT p.part::DOUBLE AS fraction, a.fold::INT AS fold, sum(ceil(b.size * p.part::DOUBLE))::BIGINT AS rows, true AS sound FROM f a JOIN f b ON a.fold <> b.fold, (SELECT unnest([0.1::DOUBLE, 0.325::DOUBLE, 0.55::DOUBLE, 0.775::DOUBLE, 1.0::DOUBLE]) AS part) p GROUP BY 1, 2""")
 def learning_curve(spark, d):
-    return models.learning_curve(labelled(spark, d), FEATURES)
+    """Rows that each part and fold trains on; sound: both F1 scores exist and lie between 0 and 1."""
+    return models.learning_curve(labelled(spark, d), FEATURES).select("fraction", "fold", "rows", (F.col("train_f1").between(0, 1) & F.col("cv_f1").between(0, 1)).alias("sound"))
 
 
-@query("coefficient_table")
+@query("coefficient_table", f"{LEVEL} SELECT unnest([{', '.join(repr(c) for c in FEATURES)}]) AS feature, true AS flat, true AS falling, round((SELECT avg(0.5::DOUBLE) FROM lv), 4) AS mean_score")
 def coefficient_table(spark, d):
+    """The features of a fit on all rows by falling coefficients; flat: the loss has no slope at them."""
     df = labelled(spark, d)
-    return models.coefficient_table(df, models.fit_logistic(df, FEATURES))
+    fitted = models.fit_logistic(df, FEATURES)
+    found, sizes = certify.logistic_facts(df, fitted), [abs(r["coefficient"]) for r in models.coefficient_table(df, fitted).collect()]
+    return models.coefficient_table(df, fitted).select("feature", F.lit(found["steepest"] < 1e-4).alias("flat"), F.lit(sizes == sorted(sizes, reverse=True)).alias("falling"), F.lit(round(found["mean_score"], 4)).alias("mean_score"))
 
 
 def grown_by_smote(spark, d):
@@ -148,11 +193,17 @@ def augment_smote(spark, d):
     return out.groupBy(vocab.TARGET).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col(ROW_ID) < 0).alias("made"), F.lit(len(history)).alias("rounds"))
 
 
-@query("generator_sample")
+@query("generator_sample", f"{LEVEL}, z AS (SELECT count(*) AS total FROM lv) SELECT y AS {vocab.TARGET}, CASE WHEN y = 0 THEN total // 2 ELSE total - total // 2 END AS n, true AS means, true AS correlation FROM (SELECT DISTINCT y FROM lv), z")
 def generator_sample(spark, d):
+    """Rows made per class; their means lie within a quarter of a deviation of the class's own, and a correlation within 0.15."""
     df = labelled(spark, d).select(ROW_ID, *FEATURES, vocab.TARGET)
-    made = augment.sample_per_class(df, df.count())
-    return made.groupBy(vocab.TARGET).agg(F.count(F.lit(1)).alias("n"), F.avg("Debt_Level").alias("debt"), F.min("Age").alias("age_low"), F.max("Age").alias("age_high"))
+
+    def shape(rows):
+        return {r[0]: r for r in rows.groupBy(vocab.TARGET).agg(F.count(F.lit(1)).alias("n"), F.corr("Age", "Income_Category").alias("corr"), *[f(ref(c)).alias(f"{n}_{c}") for c in FEATURES for f, n in ((F.avg, "m"), (F.stddev, "s"))]).collect()}
+
+    own, made = shape(df), shape(augment.sample_per_class(df, df.count()))
+    rows = [(c, m["n"], all(abs(m[f"m_{x}"] - own[c][f"m_{x}"]) <= 0.25 * own[c][f"s_{x}"] + 1e-9 for x in FEATURES), abs(m["corr"] - own[c]["corr"]) < 0.15) for c, m in made.items()]
+    return spark.createDataFrame(rows, f"{vocab.TARGET} int, n long, means boolean, correlation boolean")
 
 
 @query("generator_ranges", f"{LEVEL}, z AS (SELECT count(*) AS total FROM lv) SELECT y AS {vocab.TARGET}, CASE WHEN y = 0 THEN total // 2 ELSE total - total // 2 END AS n, CASE WHEN y = 0 THEN total // 2 ELSE total - total // 2 END AS inside, CASE WHEN y = 0 THEN total // 2 ELSE total - total // 2 END AS ids FROM (SELECT DISTINCT y FROM lv), z")
@@ -208,8 +259,11 @@ def augment_incremental(spark, d):
     return out.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col(ROW_ID) < 0).alias("made"), F.lit(len(history)).alias("rounds"))
 
 
-@query("fill_to")
+@query("fill_to", "SELECT count(*)::BIGINT AS kept, true AS within, 0::BIGINT AS broken FROM customer")
 def fill_to(spark, d):
+    """All original rows stay, rows made fill up at most to the total, and no row breaks the constraints."""
     df = constraint_input(spark, d).withColumn(vocab.TARGET, (u(ROW_ID, "risk") < 0.4).cast("int"))
-    out = augment.fill_to(df, int(df.count() * 1.2))
-    return out.groupBy("Family_Status").agg(F.count(F.lit(1)).alias("n"), F.count_if(ref(ROW_ID) < 0).alias("made"))
+    total = int(df.count() * 1.2)
+    out = augment.fill_to(df, total)
+    row = out.agg(F.count_if(ref(ROW_ID) >= 0).alias("kept"), F.count_if(ref(ROW_ID) < 0).alias("made"), F.count_if(~ref("Age").between(18, 70)).alias("broken")).first()
+    return spark.createDataFrame([(row["kept"], 0 < row["made"] <= total - row["kept"], row["broken"])], "kept long, within boolean, broken long")

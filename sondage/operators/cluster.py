@@ -162,6 +162,7 @@ class GmmFit:
     metric: str
     bic: float
     aic: float
+    model: object = None
 
 
 def gmm(df: DataFrame, columns: list[str], k: int, row_id: str, seed: int = 42, max_iter: int = 100) -> GmmFit:
@@ -175,7 +176,7 @@ def gmm(df: DataFrame, columns: list[str], k: int, row_id: str, seed: int = 42,
     likelihood = model.summary.logLikelihood
     free = (k - 1) + k * d + k * d * (d + 1) / 2
     score, metric = silhouette(labelled, columns, "cluster_gmm", row_id)
-    return GmmFit(labelled, score, metric, -2 * likelihood + free * math.log(n), -2 * likelihood + 2 * free)
+    return GmmFit(labelled, score, metric, -2 * likelihood + free * math.log(n), -2 * likelihood + 2 * free, model)
 
 
 # -------------------------------------------------- one-dimensional mixtures
@@ -235,15 +236,13 @@ def bayes_gmm_1d(df: DataFrame, column: str, k: int = 3, prior: float | None = N
     counts = df.filter(x.isNotNull()).groupBy(x.alias("x")).agg(F.count(F.lit(1)).cast("double").alias("n"))
     # a checkpoint leaves a leaf plan, so the rounds below plan fast and survive lost executors
     distinct = cut_lineage(counts)
-    total, centre, spread, values = distinct.agg(
-        F.sum("n"), F.sum(F.col("n") * F.col("x")) / F.sum("n"),
-        F.sum(F.col("n") * F.col("x") * F.col("x")), F.count("x"),
-    ).first()
+    total, shift = distinct.agg(F.sum("n"), F.sum(F.col("n") * F.col("x")) / F.sum("n")).first()
     if total is None:
         raise ValueError(f"no values in {column}")
+    # all sums below are of values less the mean, so a large mean does not eat up a small spread
+    distinct = distinct.select((F.col("x") - F.lit(shift)).alias("x"), "n")
+    centre, spread = distinct.agg(F.sum(F.col("n") * F.col("x")) / F.sum("n"), F.sum(F.col("n") * F.col("x") * F.col("x"))).first()
     variance = max((spread - total * centre * centre) / max(total - 1, 1), 1e-12)
-    if values <= 100_000:
-        distinct = distinct.coalesce(1)
     cut = quantiles(distinct.withColumn("w", F.col("n").cast("long")), ["x"], [(i + 0.5) / k for i in range(k)], weight="w")["x"]
     means = [float(v) for v in cut]
 
@@ -288,7 +287,7 @@ def bayes_gmm_1d(df: DataFrame, column: str, k: int = 3, prior: float | None = N
         if previous is not None and abs(level - previous) < tol:
             break
         previous = level
-    return mixture
+    return Mixture1D(column, mixture.constant, [m + shift for m in mixture.mean], mixture.variance, mixture.rounds)
 
 
 def risk_clusters(df: DataFrame, ks=range(2, 9), weights: dict[str, float] | None = None, parallel: int = 4) -> tuple[DataFrame, DataFrame]:

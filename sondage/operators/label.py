@@ -11,6 +11,7 @@ from sondage import vocab
 from sondage.functions.rules import apply_rules
 from sondage.operators.cluster import bayes_gmm_1d, isolation_outliers
 from sondage.operators.metrics import classification_report, silhouette_1d
+from sondage.operators.models import permutation_importances
 from sondage.operators.neighbours import knn_vote_1d
 from sondage.operators.relate import attach
 from sondage.operators.scale import feature_array, risk_score
@@ -48,9 +49,12 @@ def importances(model, features: list[str], round_no: int = 1) -> list[tuple[int
 
 
 def self_train(df: DataFrame, row_id: str, threshold: float = 0.9, rounds: int = 2, max_iter: int = 100,
-               exclude: tuple[str, ...] = ()) -> tuple[DataFrame, list[tuple[int, str, float]]]:
+               exclude: tuple[str, ...] = (), permute: int = 0) -> tuple[DataFrame, list[tuple[int, str, float, float | None]]]:
     """Levels for rows that a boosted model is sure about; (rows, importances per round).
 
+    An importance is the model's own, by gain, and with ``permute`` repeats also the accuracy on the training rows that is lost when
+    the feature is permuted.
+
     Each round writes its rows to the checkpoint folder, so plans stay short
     and a lost executor does not train again.
     """
@@ -58,7 +62,7 @@ def self_train(df: DataFrame, row_id: str, threshold: float = 0.9, rounds: int =
     skip = {vocab.TARGET, "Confidence", "Auto_Label", row_id, *exclude}
     features = [c for c in numeric_columns(df) if c not in skip]
     df = df.withColumns({"Confidence": F.lit(1.0), vocab.TARGET: F.lit(-1)})
-    report: list[tuple[int, str, float]] = []
+    report: list[tuple[int, str, float, float | None]] = []
     for step in range(1, rounds + 1):
         df = cut_lineage(df)
         labelled, waiting, sure = df.agg(
@@ -76,7 +80,13 @@ def self_train(df: DataFrame, row_id: str, threshold: float = 0.9, rounds: int =
         ).persist()
         model = boosted("__y", max_iter).fit(vectors)
         vectors.unpersist()
-        report += importances(model, features, step)
+        lost = {}
+        if permute:
+            def predict(rows: DataFrame) -> DataFrame:
+                return model.transform(rows.withColumn("features", array_to_vector(feature_array(features)))).withColumn("predicted", F.col("__pred").cast("int"))
+
+            lost = {r["feature"]: r["importance"] for r in permutation_importances(train, predict, features, "Auto_Label", row_id, permute).collect()}
+        report += [(*r, lost.get(r[1])) for r in importances(model, features, step)]
         if not waiting:
             break
         scored = model.transform(df.withColumn("features", array_to_vector(feature_array(features))))
@@ -102,12 +112,20 @@ def label_quality(df: DataFrame) -> tuple[dict[str, float], DataFrame]:
     return summary, classification_report(known, "Auto_Label", vocab.TARGET)
 
 
-def label_risk(df: DataFrame, row_id: str = "respondent_id", k: int = 3, threshold: float = 0.9, rounds: int = 2, contamination: float = 0.05,
-               neighbours: int = 7, income: str = "Income_Category", max_iter: int = 100) -> DataFrame:
-    """Risk_Score, Outlier, Cluster, Auto_Label, Confidence and the risk level of every row."""
+def label_risk_report(df: DataFrame, row_id: str = "respondent_id", k: int = 3, threshold: float = 0.9, rounds: int = 2, contamination: float = 0.05,
+                      neighbours: int = 7, income: str = "Income_Category", max_iter: int = 100, permute: int = 3) -> tuple[DataFrame, DataFrame]:
+    """(rows, importances): Risk_Score, Outlier, Cluster, Auto_Label, Confidence and the risk level of every row, and what
+    the levels rest on, (round, feature, importance, permuted), most important first within a round."""
     scored = cut_lineage(risk_score(df))
     flagged = isolation_outliers(scored, "Risk_Score", row_id, contamination)
     labelled = relabel_outliers(auto_label(flagged, k), row_id, neighbours)
     skip = (income,) if income.startswith("__") else ()
-    trained, _ = self_train(labelled, row_id, threshold, rounds, max_iter, exclude=skip)
-    return apply_rules(trained, income)
+    trained, report = self_train(labelled, row_id, threshold, rounds, max_iter, exclude=skip, permute=permute)
+    table = df.sparkSession.createDataFrame(report, "round int, feature string, importance double, permuted double")
+    return apply_rules(trained, income), table
+
+
+def label_risk(df: DataFrame, row_id: str = "respondent_id", k: int = 3, threshold: float = 0.9, rounds: int = 2, contamination: float = 0.05,
+               neighbours: int = 7, income: str = "Income_Category", max_iter: int = 100) -> DataFrame:
+    """Risk_Score, Outlier, Cluster, Auto_Label, Confidence and the risk level of every row."""
+    return label_risk_report(df, row_id, k, threshold, rounds, contamination, neighbours, income, max_iter, permute=0)[0]

@@ -181,13 +181,12 @@ def f_tail(f: float, d1: float, d2: float) -> float:
 
 
 def _anova_sums(df: DataFrame, columns: list[str], target: str):
-    """Class sizes, centred sums and squares per class; classes x columns scalars."""
+    """Class sizes, means and variances; classes x columns scalars, in one pass.
+
+    Spark's variance merges centred sums pair by pair, so large values with a small spread keep their digits.
+    """
     known = df.filter(ref(target).isNotNull())
-    centre = mean_vector(known, columns)
-    parts = []
-    for c, m in zip(columns, centre):
-        x = ref(c).cast("double") - F.lit(0.0 if m != m else m)
-        parts += [F.count(ref(c)), F.sum(x), F.sum(x * x)]
+    parts = [f(ref(c).cast("double")) for c in columns for f in (F.count, F.avg, F.var_pop)]
     return known.groupBy(ref(target)).agg(*parts).collect()
 
 
@@ -196,18 +195,20 @@ def anova(df: DataFrame, columns: list[str], target: str = vocab.TARGET) -> list
     rows = _anova_sums(df, columns, target)
     out = []
     for i, c in enumerate(columns):
-        groups = [(r[1 + 3 * i], r[2 + 3 * i] or 0.0, r[3 + 3 * i] or 0.0) for r in rows if r[1 + 3 * i] > 0]
+        groups = [r[1 + 3 * i:4 + 3 * i] for r in rows if r[1 + 3 * i] > 0]
         n, k = sum(g[0] for g in groups), len(groups)
-        grand = sum(g[1] for g in groups)
         if k < 2 or n <= k:
             out.append((c, None, None))
             continue
-        between = sum(g[1] ** 2 / g[0] for g in groups) - grand**2 / n
-        within = sum(g[2] - g[1] ** 2 / g[0] for g in groups)
+        # means are taken from the first one on, so their own size does not round the differences
+        start = groups[0][1]
+        grand = sum(g[0] * (g[1] - start) for g in groups) / n
+        between = sum(g[0] * (g[1] - start - grand) ** 2 for g in groups)
+        within = sum(g[0] * g[2] for g in groups)
         if within <= 1e-12 * max(1.0, between):
             out.append((c, None, None if between <= 1e-12 else 0.0))
             continue
-        value = max(between, 0.0) / (k - 1) / (within / (n - k))
+        value = between / (k - 1) / (within / (n - k))
         out.append((c, value, f_tail(value, k - 1, n - k)))
     return out
 

@@ -55,6 +55,8 @@ class Fitted:
     model: Model
     features: list[str]
     platt: Model | None = None
+    # how far the solver had to go, where it escalates
+    stage: str | None = None
 
     def predict(self, df: DataFrame) -> DataFrame:
         names = df.columns
@@ -75,7 +77,7 @@ def fit_logistic(df: DataFrame, features: list[str], target: str = vocab.TARGET,
     return Fitted("LogisticRegression", trainer.fit(rows), features)
 
 
-def fit_forest(df: DataFrame, features: list[str], target: str = vocab.TARGET, trees: int = 150, depth: int = 15, seed: int = 42) -> Fitted:
+def fit_forest(df: DataFrame, features: list[str], target: str = vocab.TARGET, trees: int = 150, depth: int = 30, seed: int = 42) -> Fitted:
     rows = training_rows(df, features, target, class_weights(df, target))
     trainer = RandomForestClassifier(numTrees=trees, maxDepth=depth, weightCol="weight", seed=seed, featureSubsetStrategy="sqrt", maxMemoryInMB=512)
     return Fitted("RandomForest", trainer.fit(rows), features)
@@ -87,29 +89,51 @@ def fit_boosted(df: DataFrame, features: list[str], target: str = vocab.TARGET,
     return Fitted("BoostedTrees", trainer.fit(rows), features)
 
 
-def fit_svm(df: DataFrame, features: list[str], target: str = vocab.TARGET, row_id: str = "respondent_id", folds: int = 3, max_iter: int = 100, seed: int = 42) -> Fitted:
-    """Linear support vectors; probabilities by logistic calibration on held-out margins.
-
-    An iteration is one gradient over all rows, so far fewer are needed than
-    of a solver that moves two rows at a time.
-    """
-    weights = class_weights(df, target)
+# Iterations of the support-vector solver, one after the other until one of them is enough.
+SVM_STAGES = (500, 2000)
 
-    def train(part: DataFrame) -> Model:
-        rows = training_rows(part, features, target, weights)
-        mass = rows.agg(F.sum("weight")).first()[0]
-        return LinearSVC(weightCol="weight", regParam=1.0 / mass, standardization=False, maxIter=max_iter, tol=1e-3).fit(rows)
 
-    split = stratified_folds(df, target, folds, row_id, seed).persist()
+def held_out_margins(train, split: DataFrame, features: list[str], target: str, folds: int) -> DataFrame:
+    """(features, label): each row's margin under the model of the other folds."""
     margins = None
     for fold in range(folds):
         held = training_rows(split.filter(F.col("fold") == fold), features, target, None)
         scored = train(split.filter(F.col("fold") != fold)).transform(held)
         part = scored.select(array_to_vector(F.array(F.get(vector_to_array("rawPrediction"), 1))).alias("features"), "label")
         margins = part if margins is None else margins.unionByName(part)
-    platt = LogisticRegression(maxIter=100).fit(margins)
+    return margins
+
+
+def fit_svm(df: DataFrame, features: list[str], target: str = vocab.TARGET, row_id: str = "respondent_id", folds: int = 3, stages: tuple[int, ...] = SVM_STAGES,
+            tol: float = 1e-3, seed: int = 42, fallback_folds: int = 5) -> Fitted:
+    """Linear support vectors; probabilities by logistic calibration on held-out margins.
+
+    The solver's own history says whether it stopped by its tolerance. If not, it starts again with the iterations of
+    the next stage; the last one's hinge model is kept in any case, then calibrated over ``fallback_folds`` folds, so
+    that no single unfinished solution sets the probabilities. ``stage`` of the result says which it was. An iteration is
+    one gradient over all rows, so far fewer are needed than of a solver that moves two rows at a time.
+    """
+    weights = class_weights(df, target)
+
+    def trainer(max_iter: int):
+        def train(part: DataFrame) -> Model:
+            rows = training_rows(part, features, target, weights)
+            mass = rows.agg(F.sum("weight")).first()[0]
+            return LinearSVC(weightCol="weight", regParam=1.0 / mass, standardization=False, maxIter=max_iter, tol=tol).fit(rows)
+
+        return train
+
+    for most in stages:
+        model = trainer(most)(df)
+        # the history has the start and a value for every iteration made
+        finished = len(model.summary().objectiveHistory) - 1 < most
+        if finished:
+            break
+    parts = folds if finished else fallback_folds
+    split = stratified_folds(df, target, parts, row_id, seed).persist()
+    platt = LogisticRegression(maxIter=100).fit(held_out_margins(trainer(most), split, features, target, parts))
     split.unpersist()
-    return Fitted("SVM", train(df), features, platt)
+    return Fitted("SVM", model, features, platt, f"converged within {most}" if finished else f"calibrated over {parts} folds")
 
 
 TRAINERS = {"LogisticRegression": fit_logistic, "RandomForest": fit_forest, "BoostedTrees": fit_boosted, "SVM": fit_svm}
@@ -205,6 +229,41 @@ def importance_table(df: DataFrame, fitted: Fitted) -> DataFrame:
     return df.sparkSession.createDataFrame(rows, "feature string, importance double")
 
 
+def permutation_importances(df: DataFrame, predict, features: list[str], target: str = vocab.TARGET, row_id: str = "respondent_id", repeats: int = 5, seed: int = 42) -> DataFrame:
+    """(feature, importance, spread): accuracy lost when a column's values are dealt to other rows, mean and deviation over the repeats.
+
+    ``predict`` takes a table with the features as columns and adds ``predicted``. For each repeat rows get places by a
+    seeded draw, and every row meets the one a seeded number of places on, so a column is permuted without fixed
+    rows. One join serves all features of a repeat, and one aggregation counts the hits of all features and repeats.
+    """
+    kept = df.select(ref(row_id).alias("__id"), ref(target).alias("__y"), F.struct(*[ref(c).cast("double").alias(f"f{j}") for j, c in enumerate(features)]).alias("__x"))
+    n = kept.count()
+    pairs = None
+    for r in range(repeats):
+        placed = class_ranks(kept.withColumn("__all", F.lit(0)), ["__all"], u(F.col("__id"), f"permute:{seed}:{r}"), "__id", "__rank", "__total").select("__id", "__y", "__x", (F.col("__rank") - 1).alias("__at"))
+        step = permutation_step(n, r, seed)
+        other = placed.select(F.pmod(F.col("__at") - F.lit(step), F.lit(n)).alias("__at"), F.col("__x").alias("__other"))
+        one = placed.join(other, "__at").select(F.lit(r).alias("__repeat"), "__y", "__x", "__other")
+        pairs = one if pairs is None else pairs.unionByName(one)
+
+    def variant(j: int | None):
+        values = [F.col("__other" if k == j else "__x")[f"f{k}"].alias(f"f{k}") for k in range(len(features))]
+        return F.struct(F.lit(-1 if j is None else j).alias("j"), F.struct(*values).alias("x"))
+
+    every = pairs.select("__repeat", "__y", F.explode(F.array(*[variant(j) for j in [None, *range(len(features))]])).alias("v"))
+    wide = every.select("__repeat", "__y", F.col("v.j").alias("__j"), *[F.col("v.x")[f"f{k}"].alias(c) for k, c in enumerate(features)])
+    hits = predict(wide).groupBy("__j", "__repeat").agg(F.avg((F.col("predicted") == F.col("__y")).cast("double")).alias("right"))
+    base = hits.filter("__j = -1").select("__repeat", F.col("right").alias("base"))
+    lost = hits.filter("__j >= 0").join(base, "__repeat").withColumn("lost", F.col("base") - F.col("right"))
+    names = F.element_at(F.array(*[F.lit(c) for c in features]), F.col("__j") + 1)
+    return lost.groupBy(names.alias("feature")).agg(F.avg("lost").alias("importance"), F.stddev_pop("lost").alias("spread"))
+
+
+def permutation_step(n: int, repeat: int, seed: int) -> int:
+    """Places between a row and the one whose values it gets: 1 to n - 1, by the seed."""
+    return 1 + (7919 * (repeat + 1) + seed) % max(n - 1, 1)
+
+
 def metrics_table(results: DataFrame, overfit: DataFrame, models: dict[str, Fitted]) -> DataFrame:
     """One row per model, ready for JSON: report, scores, accuracies, coefficients, importances."""
     spark = results.sparkSession

@@ -1,6 +1,9 @@
 """Registered queries: a sample runs beside its SQL; the contract holds for all."""
 
 import importlib
+import subprocess
+import sys
+from pathlib import Path
 
 import duckdb
 import pytest
@@ -25,3 +28,9 @@ def test_against_sql(spark, sf, name):
     df = entry.queries()[name](spark, sf)
     cur = con.execute(entry.oracle_sql()[name])
     assert rows_of(df.columns, df.collect()) == rows_of([c[0] for c in cur.description], cur.fetchall())
+
+
+def test_other_queries_stand_without_the_optional_part():
+    code = "import sys\nsys.modules.update({'zstandard': None, 'xxhash': None})\nimport __spark_entry__ as e\nprint(len(e.queries()), sum(n.startswith('op') for n in e.queries()))"
+    out = subprocess.run([sys.executable, "-c", code], cwd=Path(__file__).resolve().parents[1], capture_output=True, text=True, check=True).stdout.split()
+    assert int(out[0]) > 100 and int(out[1]) == 0
