@@ -117,16 +117,16 @@ def schema_cleanup(spark, d):
 _GROUP_ROWS = []
 for _g, (_names, _prefixes) in vocab.GROUPS.items():
     _cols = [c for c in encoded_columns() if c in _names or (_prefixes and c.startswith(tuple(_prefixes)))]
-    _GROUP_ROWS.append((_g, len(_cols)))
+    _GROUP_ROWS.append(f"SELECT {q(_g)} AS \"group\", {len(_cols)} AS columns, {' + '.join(f'sum({ident(c)})' for c in _cols) or '0'} AS total FROM encoded")
 
 
-@query("column_groups", "SELECT * FROM (VALUES " + ", ".join(f"('{g}', {n})" for g, n in _GROUP_ROWS) + ") t(\"group\", columns), (SELECT count(*) AS n FROM customer)")
+@query("column_groups", f"{ENCODED} " + " UNION ALL ".join(f"SELECT \"group\", columns::BIGINT AS columns, total::DOUBLE AS total FROM ({r})" for r in _GROUP_ROWS))
 def column_groups(spark, d):
-    df = encoded(spark, d)
+    """Columns of each group, and what all their values add up to."""
+    df = encoded_table(spark, d)
     groups = schema.group_map(df)
-    n = df.select(ROW_ID).agg(F.count(F.lit(1)).alias("n"))
-    sizes = F.array(*[F.struct(F.lit(g).alias("group"), F.lit(len(c)).alias("columns")) for g, c in groups.items()])
-    return n.select(F.inline(sizes), "n")
+    sums = [F.struct(F.lit(g).alias("group"), F.lit(len(c)).cast("long").alias("columns"), F.sum(sum((ref(x).cast("double") for x in c), F.lit(0.0))).alias("total")) for g, c in groups.items()]
+    return df.agg(F.array(*sums).alias("g")).select(F.inline("g"))
 
 
 _NULLABLE = ["Age", "Income_Category", "Essential_Needs_Percentage", "Product_Lifetime_Cars", "Impulse_Buying_Reason", "Debt_Level"]

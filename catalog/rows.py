@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from catalog.base import ENCODED, ROW_ID, SCORED, SURVEY, encoded_table, query, read_table, rounded, survey_translated, u_sql
@@ -9,6 +10,7 @@ from sondage import vocab
 from sondage.functions.draws import u
 from sondage.operators import metrics, order, relate, scale
 from sondage.operators.schema import ref
+from sondage.session import cut_lineage
 
 # ------------------------------------------------------------- set operations
 
@@ -56,10 +58,20 @@ def synthetic_only(spark, d):
 # ------------------------------------------------------------ sorts, samples
 
 
-@query("sort_all", "SELECT n_nationkey, n_name, n_regionkey, row_number() OVER (ORDER BY n_nationkey, n_name, n_regionkey) AS position FROM nation")
+def positions(df):
+    """``position`` from 1 in the order in which the rows stand, read off their partitions and places in them."""
+    placed = cut_lineage(df.withColumn("__id", F.monotonically_increasing_id()))
+    part, at = F.shiftright("__id", 33), F.col("__id").bitwiseAND(F.lit((1 << 33) - 1))
+    sizes = placed.groupBy(part.alias("__part")).agg(F.count(F.lit(1)).alias("__n"))
+    # one row per partition
+    before = F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = sizes.select("__part", before.alias("__before"))
+    return placed.withColumns({"__part": part, "__at": at}).join(starts, "__part").select(*df.columns, (F.col("__before") + F.col("__at") + 1).alias("position"))
+
+
+@query("sort_all", "SELECT o_orderstatus, o_custkey, o_orderkey, row_number() OVER (ORDER BY o_orderstatus, o_custkey, o_orderkey) AS position FROM orders")
 def sort_all(spark, d):
-    df = relate.sort_all(read_table(spark, d, "nation").select("n_nationkey", "n_name", "n_regionkey"))
-    return df.join(order.distinct_ranks(df, "n_nationkey").withColumnRenamed("rank", "position"), "n_nationkey").withColumn("position", F.col("position") + 1)
+    return positions(relate.sort_all(read_table(spark, d, "orders").select("o_orderstatus", "o_custkey", "o_orderkey")))
 
 
 @query("limit_rows", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 25")
@@ -74,9 +86,7 @@ def distinct_ranks(spark, d):
 
 @query("shuffle_rows", f"SELECT c_custkey, row_number() OVER (ORDER BY {u_sql('c_custkey', 'shuffle:42')}, c_custkey) AS position FROM customer")
 def shuffle_rows(spark, d):
-    df = read_table(spark, d, "customer").select("c_custkey", F.lit(1).alias("all"))
-    shuffled = relate.shuffle_rows(df, "c_custkey")
-    return order.class_ranks(shuffled, ["all"], u("c_custkey", "shuffle:42"), "c_custkey", "position", "n", 200).select("c_custkey", F.col("position").cast("long").alias("position"))
+    return positions(relate.shuffle_rows(read_table(spark, d, "customer").select("c_custkey"), "c_custkey"))
 
 
 def ranked_sql(key: str, by: str, salt: str, source: str) -> str:
