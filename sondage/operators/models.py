@@ -236,7 +236,7 @@ def permutation_importances(df: DataFrame, predict, features: list[str], target:
     seeded draw, and every row meets the one a seeded number of places on, so a column is permuted without fixed
     rows. One join serves all features of a repeat, and one aggregation counts the hits of all features and repeats.
     """
-    kept = df.select(ref(row_id).alias("__id"), ref(target).alias("__y"), F.struct(*[ref(c).cast("double").alias(f"f{j}") for j, c in enumerate(features)]).alias("__x"))
+    kept = df.select(ref(row_id).alias("__id"), ref(target).alias("__y"), F.transform(feature_array(features), lambda v: v.cast("double")).alias("__x"))
     n = kept.count()
     pairs = None
     for r in range(repeats):
@@ -246,12 +246,10 @@ def permutation_importances(df: DataFrame, predict, features: list[str], target:
         one = placed.join(other, "__at").select(F.lit(r).alias("__repeat"), "__y", "__x", "__other")
         pairs = one if pairs is None else pairs.unionByName(one)
 
-    def variant(j: int | None):
-        values = [F.col("__other" if k == j else "__x")[f"f{k}"].alias(f"f{k}") for k in range(len(features))]
-        return F.struct(F.lit(-1 if j is None else j).alias("j"), F.struct(*values).alias("x"))
-
-    every = pairs.select("__repeat", "__y", F.explode(F.array(*[variant(j) for j in [None, *range(len(features))]])).alias("v"))
-    wide = every.select("__repeat", "__y", F.col("v.j").alias("__j"), *[F.col("v.x")[f"f{k}"].alias(c) for k, c in enumerate(features)])
+    # -1 leaves the row as it is; one array expression serves all features, so the plan does not grow with their number
+    every = pairs.withColumn("__j", F.explode(F.sequence(F.lit(-1), F.lit(len(features) - 1))))
+    x = F.transform("__x", lambda v, i: F.when(i == F.col("__j"), F.get("__other", i)).otherwise(v))
+    wide = every.select("__repeat", "__y", "__j", x.alias("__v")).select("__repeat", "__y", "__j", *[F.get("__v", k).alias(c) for k, c in enumerate(features)])
     hits = predict(wide).groupBy("__j", "__repeat").agg(F.avg((F.col("predicted") == F.col("__y")).cast("double")).alias("right"))
     base = hits.filter("__j = -1").select("__repeat", F.col("right").alias("base"))
     lost = hits.filter("__j >= 0").join(base, "__repeat").withColumn("lost", F.col("base") - F.col("right"))
