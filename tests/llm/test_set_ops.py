@@ -2,6 +2,7 @@
 
 import random
 import re
+from pathlib import Path
 
 import duckdb
 import numpy as np
@@ -316,7 +317,11 @@ def test_pipeline_stage_by_stage(spark, sf):
         assert after.columns == before.columns and 0 < after.count() <= before.count()
         assert after.exceptAll(before).count() == 0
     sizes = [d.count() for d in held]
-    assert cp.run(spark, sf).count() == sizes[-1]
+    done = cp.run(spark, sf)
+    assert done.count() == sizes[-1]
+    # only the last stage's rows are left in the shared folder
+    top = Path(spark.sparkContext._jsc.sc().getCheckpointDir().get().removeprefix("file:"))
+    assert len(list(top.glob("corpus-*"))) == 1
     # near copies: the smallest id of each component by five-word similarity stays
     texts = {r["doc_id"]: r["text"] for r in held[2].select("doc_id", "text").collect()}
     root = plain_near(texts)
