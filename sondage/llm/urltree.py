@@ -12,8 +12,6 @@ from sondage.session import cut_lineage
 
 # (verdict, host, path): a rule fits its host and all subdomains where the path starts with the rule's.
 Rule = tuple[str, str, str]
-# Path segments that the tree tells apart; what lies deeper is one wildcard.
-DEPTH = 8
 # A segment stays as it is with this many urls and this share of its parent's; others are variable.
 MIN_URLS, MIN_SHARE = 10, 0.01
 # Branches merge while their share of blocked urls is less than this many standard errors from that of their siblings together.
@@ -44,24 +42,40 @@ def templates(rows: DataFrame) -> DataFrame:
 
     ``shape`` is a path with its digits already made wildcards. Per host and template so far, a rare segment becomes ``*``;
     frequent ones that have labels and whose blocked share does not differ from their siblings' merge into ``+``.
+
+    Below a branch of fewer than ``MIN_URLS`` urls every segment is rare, so its rows leave the loop with the wildcards they
+    lack; the loop ends where no crowded branch goes deeper. There is no limit of depth.
     """
-    t = cut_lineage(rows.withColumn("parts", F.filter(F.split("shape", "/"), lambda s: s != "")).withColumn("template", F.lit("")))
-    deepest = t.agg(F.max(F.size("parts"))).first()[0] or 0
-    for d in range(min(deepest, DEPTH)):
-        seg = F.get("parts", F.lit(d)).alias("seg")
-        kids = t.groupBy("host", "template", seg).agg(*[F.sum(c).alias(c) for c in ("n", "allow", "block")]).where("seg IS NOT NULL")
-        known = F.col("allow") + F.col("block")
-        sums = kids.groupBy("host", "template").agg(F.sum("n").alias("all_n"), F.sum("allow").alias("all_allow"), F.sum("block").alias("all_block"))
-        k = kids.join(sums, ["host", "template"])
-        share = F.col("all_block") / (F.col("all_allow") + F.col("all_block"))
-        error = F.sqrt(known * F.greatest(share * (1 - share), F.lit(1e-9)))
-        frequent = (F.col("n") >= MIN_URLS) & (F.col("n") >= MIN_SHARE * F.col("all_n"))
-        alike = (known > 0) & (F.abs(F.col("block") - known * share) <= DIFFERENT * error)
-        made = F.when(~frequent, F.lit("*")).when(alike, F.lit("+")).otherwise(F.col("seg"))
-        k = k.select("host", "template", "seg", made.alias("made"))
-        t = t.withColumn("seg", seg).join(k, ["host", "template", "seg"], "left")
-        t = cut_lineage(t.select("host", "shape", "n", "allow", "block", "parts", F.concat("template", F.coalesce(F.concat(F.lit("/"), "made"), F.lit(""))).alias("template")))
-    return t.withColumn("template", F.when(F.size("parts") > DEPTH, F.concat("template", F.lit("/**"))).otherwise(F.col("template"))).drop("parts")
+    t = cut_lineage(rows.withColumn("parts", F.filter(F.split("shape", "/"), lambda s: s != "")).withColumns({"template": F.lit(""), "crowd": F.lit(MIN_URLS).cast("long")}))
+    ended, d = None, 0
+    while True:
+        left = F.size("parts") - F.lit(d)
+        going = (left > 0) & (F.col("crowd") >= MIN_URLS)
+        done = t.where(~going).select("host", "shape", "n", "allow", "block", F.concat("template", F.repeat(F.lit("/*"), F.greatest(left, F.lit(0)))).alias("template"))
+        ended = done if ended is None else ended.unionByName(done)
+        t = t.where(going)
+        if t.isEmpty():
+            return ended
+        t = cut_lineage(_level(t, d))
+        d += 1
+
+
+def _level(t: DataFrame, d: int) -> DataFrame:
+    """The rows with the template of their segment ``d`` added and the urls that share it as ``crowd``."""
+    t = t.withColumn("seg", F.get("parts", F.lit(d)))
+    kids = t.groupBy("host", "template", "seg").agg(*[F.sum(c).alias(c) for c in ("n", "allow", "block")])
+    sums = kids.groupBy("host", "template").agg(F.sum("n").alias("all_n"), F.sum("allow").alias("all_allow"), F.sum("block").alias("all_block"))
+    known = F.col("allow") + F.col("block")
+    share = F.col("all_block") / (F.col("all_allow") + F.col("all_block"))
+    error = F.sqrt(known * F.greatest(share * (1 - share), F.lit(1e-9)))
+    frequent = (F.col("n") >= MIN_URLS) & (F.col("n") >= MIN_SHARE * F.col("all_n"))
+    alike = (known > 0) & (F.abs(F.col("block") - known * share) <= DIFFERENT * error)
+    made = F.when(~frequent, F.lit("*")).when(alike, F.lit("+")).otherwise(F.col("seg"))
+    k = kids.join(sums, ["host", "template"]).select("host", "template", "seg", "n", made.alias("made"))
+    crowds = k.groupBy("host", "template", "made").agg(F.sum("n").alias("crowd"))
+    k = k.drop("n").join(crowds, ["host", "template", "made"])
+    t = t.drop("crowd").join(k, ["host", "template", "seg"])
+    return t.select("host", "shape", "n", "allow", "block", "parts", F.concat("template", F.lit("/"), "made").alias("template"), "crowd")
 
 
 def judge(pages: DataFrame, rules: list[Rule], page_id: str = "page_id", url: str = "url") -> DataFrame:

@@ -1,5 +1,6 @@
 """SimHash groups, mixing, tiling, URL templates, page text and the pipeline against plain versions and odd rows."""
 
+import math
 import random
 import re
 from pathlib import Path
@@ -217,7 +218,7 @@ def test_rules_and_templates(spark):
         r = got[k]
         assert (r["host"], r["path"], r["rule"]) == (host, path, max(fits)[1] if fits else None)
         assert r["verdict"] == (max(fits)[2] if fits else "allow")
-    assert got[len(urls) - 1]["template"].endswith("/**")
+    assert got[len(urls) - 1]["template"] == "/*" * 13
     assert urltree.judge(pages.where("1 = 0"), RULES).count() == 0
 
 
@@ -231,6 +232,50 @@ def test_templates_reject_by_purity(spark):
     assert {r["verdict"] for r in got if r["path"].startswith("/q/")} == {"allow"}
 
 
+def plain_templates(rows):
+    """Template of each (host, shape): the tree walked in plain Python, level by level to the deepest segment."""
+    at = {(h, s): "" for h, s, *_ in rows}
+    parts = {(h, s): [x for x in s.split("/") if x] for h, s, *_ in rows}
+    for d in range(max(map(len, parts.values()), default=0)):
+        groups = {}
+        for h, s, n, a, b in rows:
+            if len(parts[h, s]) > d:
+                kids = groups.setdefault((h, at[h, s]), {})
+                old = kids.get(parts[h, s][d], (0, 0, 0))
+                kids[parts[h, s][d]] = (old[0] + n, old[1] + a, old[2] + b)
+        step = {}
+        for node, kids in groups.items():
+            n_all, a_all, b_all = (sum(v[k] for v in kids.values()) for k in range(3))
+            for seg, (n, a, b) in kids.items():
+                if n < urltree.MIN_URLS or n < urltree.MIN_SHARE * n_all:
+                    step[node, seg] = "*"
+                    continue
+                share = b_all / (a_all + b_all) if a + b else 0
+                near = a + b and abs(b - (a + b) * share) <= urltree.DIFFERENT * math.sqrt((a + b) * max(share * (1 - share), 1e-9))
+                step[node, seg] = "+" if near else seg
+        at = {(h, s): t + "/" + step[(h, t), parts[h, s][d]] if len(parts[h, s]) > d else t for (h, s), t in at.items()}
+    return at
+
+
+def test_templates_against_a_plain_tree_at_any_depth(spark):
+    rng = np.random.default_rng(5)
+    rows = {}
+    for _ in range(900):
+        host = f"h{rng.integers(3)}"
+        shape = "".join(f"/{'abc'[int(rng.integers(3) * rng.random())]}" for _ in range(rng.integers(0, 5)))
+        if rng.random() < 0.4:
+            shape += "/x" * 11 + ("/p" if rng.random() < 0.5 else "/q") + f"/r{rng.integers(4)}"
+        n, a, b = rows.get((host, shape), (0, 0, 0))
+        blocked = rng.random() < (0.9 if "/p" in shape else 0.1)
+        known = rng.random() < 0.7
+        rows[host, shape] = (n + 1, a + int(known and not blocked), b + int(known and blocked))
+    rows = [(*k, *v) for k, v in rows.items()]
+    got = {(r["host"], r["shape"]): r["template"] for r in urltree.templates(spark.createDataFrame(rows, "host string, shape string, n long, allow long, block long")).collect()}
+    assert got == plain_templates(rows)
+    # branches that differ only at the twelfth segment and deeper are told apart
+    assert any(t.count("/") > 12 and "/p" in t for t in got.values()) and any("/q" in t for t in got.values())
+
+
 PAGE = """<!DOCTYPE html><html><head><title>T &amp; t</title><style>p{}</style><script>var t="</p>";</script></head><body><nav><ul><li><a href="/x">X</a></li></ul></nav>
 <!-- ad --><div class="ad">Buy</div><article><h1>Head &lt;1&gt;</h1><p><b>Bold</b>ly  said.<br><p>Second
  line<ul><li>one<li>two</ul></article><footer>&copy; foot</footer></body></html>"""
