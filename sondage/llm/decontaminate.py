@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from itertools import repeat
 
 import numpy as np
@@ -12,7 +13,7 @@ from pyspark.sql.types import BooleanType, StructField
 
 from sondage.llm.common import arrow_pass, arrow_rows, col, raw_text
 
-# Words of a tile at least, and the share of an item's words that tiles must cover.
+# Words of a tile at least (an item of fewer words is met as a whole), and the share of an item's words that tiles must cover.
 MIN_MATCH = 5
 COVERAGE = 0.4
 # Bytes of benchmark text that one pass over the documents holds: a larger benchmark is dealt in blocks of this size.
@@ -65,69 +66,78 @@ def tiles(seeds_doc: np.ndarray, seeds_item: np.ndarray, size: int) -> list[tupl
 
 
 class Index:
-    """The words and word runs of a block of benchmark items."""
+    """The words and word runs of a block of benchmark items.
+
+    Seeds are runs of ``size`` words; an item of fewer words has one seed, all of it. Runs of each length are looked up by themselves.
+    """
 
     def __init__(self, items: list[tuple[int, bytes]], size: int):
         self.size, self.vocab = size, {}
         self.ids, self.length, self.tokens = [], [], []
-        hashes, owner, place = [], [], []
+        runs: dict[int, list[tuple[np.ndarray, np.ndarray, np.ndarray]]] = {}
         for n, (item, raw) in enumerate(items):
             t = np.array([self.vocab.setdefault(w, len(self.vocab)) for w in words(raw)], dtype=np.int64)
             self.ids.append(item)
             self.length.append(len(t))
             self.tokens.append(t)
-            if len(t) >= size:
-                at = np.arange(len(t) - size + 1)
-                hashes.append(gram_hashes(t, at, size))
-                owner.append(np.full(len(at), n))
-                place.append(at)
-        self.hashes = np.concatenate(hashes) if hashes else np.empty(0, dtype=np.uint64)
-        order = np.argsort(self.hashes, kind="stable")
-        self.hashes = self.hashes[order]
-        self.owner = np.concatenate(owner)[order] if owner else np.empty(0, dtype=np.int64)
-        self.place = np.concatenate(place)[order] if place else np.empty(0, dtype=np.int64)
-
-    def match(self, raw: bytes, coverage: float) -> list[tuple[int, int, int, int]]:
-        """(item, tiles, matched words, words) of the items that a document covers."""
-        w = words(raw)
-        if len(w) < self.size or not len(self.hashes):
+            if len(t):
+                seed = min(size, len(t))
+                at = np.arange(len(t) - seed + 1)
+                runs.setdefault(seed, []).append((gram_hashes(t, at, seed), np.full(len(at), n), at))
+        # seed length -> (hashes in order, item, place)
+        self.runs = {}
+        for seed, found in sorted(runs.items()):
+            hashes, owner, place = (np.concatenate(x) for x in zip(*found))
+            order = np.argsort(hashes, kind="stable")
+            self.runs[seed] = hashes[order], owner[order], place[order]
+
+    def match(self, raw: bytes, coverage: float, alone: bool = False) -> list[tuple[int, int, int, int]]:
+        """(item, tiles, matched words, words) of the items that a document covers; with ``alone`` an item of fewer than ``size`` words must be all of the text."""
+        if not self.runs:
             return []
+        w = words(raw)
         ids = np.fromiter(map(self.vocab.get, w, repeat(-1)), dtype=np.int64, count=len(w))
         known = np.concatenate(([0], np.cumsum(ids >= 0)))
-        at = np.flatnonzero(known[self.size :] - known[: -self.size] == self.size)
+        return [m for size in self.runs if (len(w) == size if alone and size < self.size else len(w) >= size) for m in self._match(ids, known, size, coverage)]
+
+    def _match(self, ids: np.ndarray, known: np.ndarray, size: int, coverage: float) -> list[tuple[int, int, int, int]]:
+        hashes, owner, places = self.runs[size]
+        at = np.flatnonzero(known[size:] - known[:-size] == size)
         if not len(at):
             return []
-        h = gram_hashes(ids, at, self.size)
-        lo, hi = np.searchsorted(self.hashes, h, "left"), np.searchsorted(self.hashes, h, "right")
+        h = gram_hashes(ids, at, size)
+        lo, hi = np.searchsorted(hashes, h, "left"), np.searchsorted(hashes, h, "right")
         hit = hi > lo
         if not hit.any():
             return []
         at, lo, n = at[hit], lo[hit], (hi - lo)[hit]
         post = np.repeat(lo - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())
-        doc, item, place = np.repeat(at, n), self.owner[post], self.place[post]
+        doc, item, place = np.repeat(at, n), owner[post], places[post]
         out = []
         order = np.argsort(item, kind="stable")
         for part in np.split(order, np.flatnonzero(np.diff(item[order])) + 1):
             k, d, p = int(item[part[0]]), doc[part], place[part]
             t = self.tokens[k]
-            same = np.all([ids[d + j] == t[p + j] for j in range(self.size)], axis=0)
-            found = tiles(d[same], p[same], self.size)
+            same = np.all([ids[d + j] == t[p + j] for j in range(size)], axis=0)
+            d, p = d[same], p[same]
+            if len(t) < self.size:
+                # every seed is the whole item: the first place is its tile
+                d, p = d[:1], p[:1]
+            found = tiles(d, p, size)
             matched = sum(x[2] for x in found)
             if found and matched >= coverage * self.length[k]:
                 out.append((self.ids[k], len(found), matched, self.length[k]))
         return out
 
 
-def blocks(benchmark: DataFrame, size: int, item_id: str, text: str, block_bytes: int) -> list[Index]:
-    """The benchmark as indexes of bounded size; repeated items count once, null texts not at all."""
+def blocks(benchmark: DataFrame, size: int, item_id: str, text: str, block_bytes: int) -> Iterator[Index]:
+    """The benchmark as indexes of bounded size, one after the other; repeated items count once, null texts not at all."""
     rows = benchmark.select(col(item_id).cast("long").alias("item"), raw_text(text).alias("raw")).where(F.col("item").isNotNull() & (F.octet_length("raw") > 0)).distinct()
     total = rows.agg(F.sum(F.octet_length("raw"))).first()[0] or 0
     n = total // block_bytes + 1
-    out = []
     for k in range(n):
         part = rows.where(F.pmod(F.xxhash64("item"), F.lit(n)) == k) if n > 1 else rows
-        out.append(Index(sorted((r["item"], bytes(r["raw"])) for r in part.collect()), size))
-    return out
+        yield Index(sorted((r["item"], bytes(r["raw"])) for r in part.collect()), size)
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, size: int = MIN_MATCH, coverage: float = COVERAGE, doc_id: str = "doc_id", item_id: str = "item_id", text: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -135,8 +145,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, size: int = MIN_MATCH, c
 
     The benchmark is the stated query set: it meets all documents in blocks of bounded size, one pass a block. Tiles are
     the longest runs of equal words first, each at least ``size`` words and none overlapping, so moved passages count.
-    Null and empty texts, and items of fewer than ``size`` words, match nothing; repeated rows give repeated results;
-    extra columns are ignored.
+    An item of fewer than ``size`` words matches where all of it stands at one place. Null and empty texts match nothing;
+    repeated rows give repeated results; extra columns are ignored.
     """
     parts = []
     picked = docs.select(col(doc_id).cast("long").alias("doc_id"), raw_text(text).alias("raw"))
@@ -159,13 +169,16 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, size: int = MIN_MATCH, c
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, size: int = MIN_MATCH, coverage: float = COVERAGE, item_id: str = "item_id", text: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """The documents that cover no benchmark item; the columns are those of ``docs``."""
+    """The documents that cover no benchmark item; the columns are those of ``docs``.
+
+    An item of fewer than ``size`` words takes only documents that consist of it: a word or two stand in clean texts as well.
+    """
     for index in blocks(benchmark, size, item_id, text, block_bytes):
         shared = docs.sparkSession.sparkContext.broadcast(index)
 
         def make(shared=shared):
             index = shared.value
-            return lambda arrays: [[bool(index.match(t, coverage)) for t in arrays[0].to_pylist()]]
+            return lambda arrays: [[bool(index.match(t, coverage, alone=True)) for t in arrays[0].to_pylist()]]
 
         docs = arrow_pass(docs, make, {"raw": raw_text(text)}, [StructField("leaked", BooleanType())]).where("NOT leaked").select("row.*")
     return docs

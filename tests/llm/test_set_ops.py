@@ -184,16 +184,16 @@ def test_tiling_against_all_places():
 
 
 def test_moved_passages_are_caught_and_blocks_agree(spark, docs, empty):
-    items = [(k, " ".join(f"w{k}x{j}" for j in range(30))) for k in range(12)] + [(50, "too short"), (51, None), (None, "no id here at all but words"), (3, " ".join(f"w3x{j}" for j in range(30)))]
+    items = [(k, " ".join(f"w{k}x{j}" for j in range(30))) for k in range(12)] + [(50, "Too short"), (51, None), (None, "no id here at all but words"), (3, " ".join(f"w3x{j}" for j in range(30)))]
     bench = spark.createDataFrame(items, "item_id long, text string")
     w = items[4][1].split()
-    more = spark.createDataFrame([(900, "some lead " + " ".join(w[15:] + ["and"] + w[:15]) + " tail"), (901, " ".join(w[:8])), (902, items[5][1].upper() + ", " + items[6][1])], "doc_id long, text string")
+    more = spark.createDataFrame([(900, "some lead " + " ".join(w[15:] + ["and"] + w[:15]) + " tail"), (901, " ".join(w[:8])), (902, items[5][1].upper() + ", " + items[6][1]), (903, "far too short, too short"), (904, "TOO: short"), (905, "too"), (906, "too so short")], "doc_id long, text string")
     every = docs.select("doc_id", "text").unionByName(more)
     for size in (decontaminate.BLOCK_BYTES, 300):
         got = decontaminate.contaminated(every, bench, block_bytes=size).collect()
-        assert sorted((r["doc_id"], r["item_id"], r["n_tiles"], r["coverage"]) for r in got) == [(900, 4, 2, 1.0), (902, 5, 1, 1.0), (902, 6, 1, 1.0)]
+        assert sorted((r["doc_id"], r["item_id"], r["n_tiles"], r["coverage"]) for r in got) == [(900, 4, 2, 1.0), (902, 5, 1, 1.0), (902, 6, 1, 1.0), (903, 50, 1, 1.0), (904, 50, 1, 1.0)]
         kept = decontaminate.drop_contaminated(every, bench, block_bytes=size)
-        assert kept.columns == every.columns and kept.count() == every.count() - 2
+        assert kept.columns == every.columns and sorted(r[0] for r in every.subtract(kept).collect()) == [900, 902, 904] and kept.count() == every.count() - 3
     assert decontaminate.contaminated(empty, bench).count() == 0
     assert decontaminate.drop_contaminated(docs, bench.where("1 = 0")).count() == docs.count()
 
