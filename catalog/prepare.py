@@ -56,6 +56,31 @@ def survey_one_hot_inferred(spark, d):
     return encode.one_hot(df, list(vocab.NOMINALS))
 
 
+HOT = ["o_custkey", "o_orderpriority", "o_orderstatus"]
+_LONG = f"""WITH a AS (SELECT o_orderkey, o_orderdate, unnest([{", ".join(q(c) for c in HOT)}]) AS "column", unnest([{", ".join(f"{c}::VARCHAR" for c in HOT)}]) AS value FROM orders),
+l AS (SELECT "column", value, row_number() OVER (PARTITION BY "column" ORDER BY value) - 1 AS position, row_number() OVER (ORDER BY "column", value) - 1 AS slot FROM (SELECT DISTINCT "column", value FROM a WHERE o_orderdate < TIMESTAMP '1996-01-01' AND value IS NOT NULL))"""
+
+
+def _early_levels(spark, d):
+    """Orders, and the answers of those before 1996: later ones bring answers that these lack."""
+    df = read_table(spark, d, "orders").select("o_orderkey", "o_orderdate", *HOT)
+    return df, encode.answer_levels(df.filter(F.col("o_orderdate") < F.lit("1996-01-01").cast("timestamp")), HOT, "o_orderkey")
+
+
+@query("one_hot_long", _LONG + """ SELECT o_orderkey, a."column", a.value, position, slot FROM a LEFT JOIN l ON a."column" = l."column" AND a.value = l.value WHERE a.value IS NOT NULL""")
+def one_hot_long(spark, d):
+    df, levels = _early_levels(spark, d)
+    return encode.one_hot_long(df, HOT, "o_orderkey", levels)
+
+
+@query("one_hot_sparse", _LONG + """, f AS (SELECT o_orderkey, string_agg(slot, ',' ORDER BY slot) AS slots, count(*) FILTER (WHERE slot IS NULL) AS unseen FROM a LEFT JOIN l ON a."column" = l."column" AND a.value = l.value WHERE a.value IS NOT NULL GROUP BY 1)
+SELECT o.o_orderkey, coalesce(slots, '') AS slots, coalesce(unseen, 0) AS unseen FROM orders o LEFT JOIN f USING (o_orderkey)""")
+def one_hot_sparse(spark, d):
+    df, levels = _early_levels(spark, d)
+    out = encode.one_hot_sparse(df, HOT, "o_orderkey", levels)
+    return out.select("o_orderkey", F.array_join(F.transform("slots", lambda s: s.cast("string")), ",").alias("slots"), "unseen")
+
+
 @query("segment_one_hot", "SELECT c_custkey, " + ", ".join(
     f"(c_mktsegment = '{s}')::INT AS c_mktsegment_{s}" for s in ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]) + " FROM customer")
 def segment_one_hot(spark, d):

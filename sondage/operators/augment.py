@@ -22,7 +22,7 @@ from sondage.operators.order import class_ranks, distinct_ranks, quantiles
 from sondage.operators.relate import append, sample_upto, stratified_folds, trim_balanced
 from sondage.operators.scale import FeatureLayout, assemble, feature_array, inverse_features
 from sondage.operators.schema import class_subset, drop_null_rows, features_of, infer_roles, numeric_columns, ref
-from sondage.session import cut_lineage
+from sondage.session import Rounds, cut_lineage
 
 # New rows of round r get ids -(r * 2^40 + n), so they never meet real ones.
 ROUND_SPAN = 1 << 40
@@ -199,7 +199,7 @@ class GrowState:
     rounds: int = 0
 
 
-def _grow_round(current: DataFrame, grown: DataFrame, before: dict | None, phase: int, number: int, columns: list[str], label: str, row_id: str, state: GrowState):
+def _grow_round(rounds: Rounds, current: DataFrame, grown: DataFrame, before: dict | None, phase: int, number: int, columns: list[str], label: str, row_id: str, state: GrowState):
     grown = cut_lineage(grown)
     figures = augmentation_metrics(grown, current, columns, label, row_id)
     status = accept(figures, before)
@@ -211,7 +211,7 @@ def _grow_round(current: DataFrame, grown: DataFrame, before: dict | None, phase
     state.history.append({
         "phase": phase, "round": number, "class_distribution": _sizes(grown if kept else current, label), "metrics": figures, "status": status, "applied": applied,
     })
-    return (grown, figures) if applied else (current, before)
+    return (rounds.hand_on(grown), figures) if applied else (current, before)
 
 
 def balance_phase(df: DataFrame, columns: list[str], label: str, row_id: str, state: GrowState) -> DataFrame:
@@ -219,12 +219,14 @@ def balance_phase(df: DataFrame, columns: list[str], label: str, row_id: str, st
     sizes = _sizes(df, label)
     minority = int(np.argmin(sizes))
     goal = sizes[1 - minority]
-    current, before, number = cut_lineage(df), None, 0
+    rounds = Rounds(df.sparkSession)
+    current, before, number = rounds.hand_on(df), None, 0
     while sizes[minority] < goal and number < state.max_rounds:
         number, state.rounds = number + 1, state.rounds + 1
         add = max(1, int((goal - sizes[minority]) * state.step_fraction))
-        grown = smote_tomek(current, columns, label, {minority: sizes[minority] + add}, row_id=row_id, seed=state.seed, round_no=state.rounds)
-        current, before = _grow_round(current, grown, before, 1, number, columns, label, row_id, state)
+        with rounds.round():
+            grown = smote_tomek(current, columns, label, {minority: sizes[minority] + add}, row_id=row_id, seed=state.seed, round_no=state.rounds)
+            current, before = _grow_round(rounds, current, grown, before, 1, number, columns, label, row_id, state)
         sizes = _sizes(current, label)
     _told_if_short("balance_phase", sizes[minority], goal)
     return current
@@ -233,13 +235,15 @@ def balance_phase(df: DataFrame, columns: list[str], label: str, row_id: str, st
 def expand_phase(df: DataFrame, columns: list[str], label: str, total: int, row_id: str, state: GrowState) -> DataFrame:
     """Grow both classes by the same number per round until the table has ``total`` rows."""
     state.step_fraction = min(0.2, state.step_fraction * 2)
-    current, before, number = cut_lineage(df), None, 0
+    rounds = Rounds(df.sparkSession)
+    current, before, number = rounds.hand_on(df), None, 0
     sizes = _sizes(current, label)
     while sum(sizes) < total and number < state.max_rounds:
         number, state.rounds = number + 1, state.rounds + 1
         each = max(2, int((total - sum(sizes)) * state.step_fraction)) // 2
-        grown = smote(current, columns, label, {0: sizes[0] + each, 1: sizes[1] + each}, row_id=row_id, seed=state.seed, round_no=state.rounds)
-        current, before = _grow_round(current, grown, before, 2, number, columns, label, row_id, state)
+        with rounds.round():
+            grown = smote(current, columns, label, {0: sizes[0] + each, 1: sizes[1] + each}, row_id=row_id, seed=state.seed, round_no=state.rounds)
+            current, before = _grow_round(rounds, current, grown, before, 2, number, columns, label, row_id, state)
         sizes = _sizes(current, label)
     _told_if_short("expand_phase", sum(sizes), total)
     return current
@@ -487,17 +491,19 @@ def augment_incremental(df: DataFrame, max_size: int = 2000, step_fraction: floa
         def score_batch(batch: DataFrame) -> DataFrame:
             return label_risk(batch, row_id)
 
-    current, history, number = cut_lineage(df), [], 0
+    rounds = Rounds(df.sparkSession)
+    current, history, number = rounds.hand_on(df), [], 0
     size = current.count()
     while size < max_size and number < max_rounds:
         number += 1
         add = min(max(1, int(size * step_fraction)), max_size - size)
-        batch = cut_lineage(sample_per_class(current, add, label, row_id, seed + number, -number * ROUND_SPAN))
-        batch = score_batch(batch)
-        batch = cut_lineage(relabel_confident(current, batch, label, row_id, confidence).select(*[ref(c) for c in current.columns if c in batch.columns]))
-        figures = validate_batch(current, batch, label, row_id, ks=False)
-        history.append({"round": number, "generated": add, "new_total": size + add, "metrics": figures})
-        current = cut_lineage(append(current, batch))
+        with rounds.round():
+            batch = cut_lineage(sample_per_class(current, add, label, row_id, seed + number, -number * ROUND_SPAN))
+            batch = score_batch(batch)
+            batch = cut_lineage(relabel_confident(current, batch, label, row_id, confidence).select(*[ref(c) for c in current.columns if c in batch.columns]))
+            figures = validate_batch(current, batch, label, row_id, ks=False)
+            history.append({"round": number, "generated": add, "new_total": size + add, "metrics": figures})
+            current = rounds.hand_on(append(current, batch))
         size = current.count()
     _told_if_short("augment_incremental", size, max_size)
     return current, history
@@ -530,18 +536,20 @@ def augment_filtered(df: DataFrame, max_size: int = 2000, step_fraction: float =
                      confidence: float = 0.8, buffer: float = 1.5, max_rounds: int = 50, ks: bool = True) -> tuple[DataFrame, list[dict], Funnel]:
     """Grow by generated rows that pass the confidence and consistency filters."""
     keep = [c for c in df.columns if c not in vocab.EXCLUDED]
-    current, history, funnel = cut_lineage(df.select(*[ref(c) for c in keep])), [], Funnel()
+    rounds = Rounds(df.sparkSession)
+    current, history, funnel = rounds.hand_on(df.select(*[ref(c) for c in keep])), [], Funnel()
     size = current.count()
     while size < max_size and funnel.rounds < max_rounds:
         funnel.rounds += 1
         left = max_size - size
         n = min(int(max(1, int(size * step_fraction)) * buffer), left * 3)
-        batch = _filtered_batch(current, current, n, label, row_id, seed + funnel.rounds, -funnel.rounds * ROUND_SPAN, confidence, funnel)
-        batch = cut_lineage(sample_upto(batch, left, row_id, seed))
-        added = batch.count()
-        figures = validate_batch(current, batch, label, row_id, ks) if added else {"cohen_kappa": None, "f1_score": None, "cosine_similarity": None, "ks_distance": {}}
-        history.append({"round": funnel.rounds, "generated": added, "new_total": size + added, "metrics": figures})
-        current = cut_lineage(append(current, batch))
+        with rounds.round():
+            batch = _filtered_batch(current, current, n, label, row_id, seed + funnel.rounds, -funnel.rounds * ROUND_SPAN, confidence, funnel)
+            batch = cut_lineage(sample_upto(batch, left, row_id, seed))
+            added = batch.count()
+            figures = validate_batch(current, batch, label, row_id, ks) if added else {"cohen_kappa": None, "f1_score": None, "cosine_similarity": None, "ks_distance": {}}
+            history.append({"round": funnel.rounds, "generated": added, "new_total": size + added, "metrics": figures})
+            current = rounds.hand_on(append(current, batch))
         size += added
     _told_if_short("augment_filtered", size, max_size)
     return current, history, funnel
@@ -553,7 +561,8 @@ def top_up(df: DataFrame, max_size: int, label: str = vocab.TARGET, row_id: str
 
     Warns where ``max_rounds`` end before a class is full.
     """
-    funnel, half, current, number = funnel or Funnel(), max_size // 2, cut_lineage(df), 0
+    rounds = Rounds(df.sparkSession)
+    funnel, half, current, number = funnel or Funnel(), max_size // 2, rounds.hand_on(df), 0
     for value in (0, 1):
         for _ in range(max_rounds):
             lacking = half - class_subset(current, value, label).count()
@@ -561,9 +570,10 @@ def top_up(df: DataFrame, max_size: int, label: str = vocab.TARGET, row_id: str
                 break
             number += 1
             n = max(1, int(lacking * buffer))
-            batch = _filtered_batch(class_subset(current, value, label), current, n, label, row_id, seed + 1000 + number, -(1000 + number) * ROUND_SPAN, confidence, funnel, one_class=True)
-            batch = sample_upto(class_subset(batch, value, label), lacking, row_id, seed)
-            current = cut_lineage(append(current, batch))
+            with rounds.round():
+                batch = _filtered_batch(class_subset(current, value, label), current, n, label, row_id, seed + 1000 + number, -(1000 + number) * ROUND_SPAN, confidence, funnel, one_class=True)
+                batch = sample_upto(class_subset(batch, value, label), lacking, row_id, seed)
+                current = rounds.hand_on(append(current, batch))
         _told_if_short("top_up", class_subset(current, value, label).count(), half)
     return trim_balanced(current, label, half, row_id, seed)
 

@@ -12,8 +12,9 @@ from sondage.functions.draws import u
 from sondage.functions.smooth import smooth_age, smooth_income, smooth_lifetime, smooth_needs
 from sondage.operators.order import medians
 from sondage.operators.schema import drop_form_timestamp, numeric_columns, ref, rename_questions, trim_names
+from sondage.session import cut_lineage
 
-# Distinct answers that an inferred one-hot vocabulary may have per column.
+# Distinct answers per column that an inferred vocabulary may turn into columns; ``one_hot_long`` takes any number.
 MAX_CATEGORIES = 1000
 
 
@@ -70,21 +71,75 @@ def infer_vocabulary(df: DataFrame, columns: list[str], limit: int = MAX_CATEGOR
     for r in rows:
         found[r["column"]].append(r["value"])
     if any(len(v) > limit for v in found.values()) or len(rows) > limit * len(columns):
-        raise ValueError(f"more than {limit} distinct answers in a nominal column")
+        raise ValueError(f"more than {limit} distinct answers in a nominal column: one column each is too wide, use one_hot_long")
     return {c: sorted(v) for c, v in found.items()}
 
 
-def one_hot(df: DataFrame, columns: list[str], vocabulary: dict[str, list[str]] | None = None) -> DataFrame:
+def one_hot(df: DataFrame, columns: list[str], vocabulary: dict[str, list[str]] | None = None, unseen: bool = False) -> DataFrame:
     """One 0/1 column per answer, named column_answer; the source column goes.
 
-    ``vocabulary=None`` finds the answers that occur, by one bounded job.
+    ``vocabulary=None`` finds the answers that occur, by one bounded job. An
+    answer outside the vocabulary sets no flag; with ``unseen`` it sets one of
+    its own, column_unseen.
     """
     columns = [c for c in columns if c in df.columns]
     vocabulary = infer_vocabulary(df, columns) if vocabulary is None else vocabulary
     flags = {f"{c}_{v}": F.coalesce(ref(c) == F.lit(v), F.lit(False)).cast("int") for c in columns for v in vocabulary[c]}
+    if unseen:
+        flags.update({f"{c}_unseen": (ref(c).isNotNull() & ~F.coalesce(ref(c).isin(vocabulary[c]), F.lit(False))).cast("int") for c in columns})
     return df.withColumns(flags).drop(*columns)
 
 
+def answers_long(df: DataFrame, columns: list[str], row_id: str) -> DataFrame:
+    """(row id, column, value): one row per given answer."""
+    picked = df.select(ref(row_id), *[ref(c).cast("string").alias(c) for c in columns])
+    return picked.unpivot([ref(row_id)], [ref(c) for c in columns], "column", "value").dropna(subset=["value"])
+
+
+def answer_levels(df: DataFrame, columns: list[str], row_id: str) -> DataFrame:
+    """(column, value, position, slot) for every answer that occurs, any number of them.
+
+    ``position`` counts a column's answers from 0 in the order of their bytes,
+    ``slot`` those of all columns, in the order of the columns' names. Answers
+    are sorted in ranges; only the number of answers per range and column
+    reaches the driver.
+    """
+    seen = answers_long(df, columns, row_id).select("column", "value").distinct()
+    within = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    # the written table fixes which range an answer lies in
+    dealt = cut_lineage(seen.repartitionByRange("column", "value").sortWithinPartitions("column", "value").select("column", "value", F.spark_partition_id().alias("part"), within.alias("at")))
+    runs = sorted(((r["part"], r["column"], r["n"]) for r in dealt.groupBy("part", "column").agg(F.count(F.lit(1)).alias("n")).collect()))
+    starts, firsts, before = {}, {}, 0
+    for part, column, n in runs:
+        starts.setdefault(part, before)
+        firsts.setdefault(column, before)
+        before += n
+    schema = "part int, column string, start long, first long"
+    offsets = df.sparkSession.createDataFrame([(part, column, starts[part], firsts[column]) for part, column, _ in runs], schema)
+    slot = F.col("start") + F.col("at")
+    return dealt.join(F.broadcast(offsets), ["part", "column"]).select("column", "value", (slot - F.col("first")).alias("position"), slot.alias("slot"))
+
+
+def one_hot_long(df: DataFrame, columns: list[str], row_id: str, levels: DataFrame | None = None) -> DataFrame:
+    """(row id, column, value, position, slot): the flag that each answer sets, without a column per answer.
+
+    ``levels`` are those of ``answer_levels``, of this table by default. An
+    answer that they lack is kept, with NULL as its position and slot.
+    """
+    levels = answer_levels(df, columns, row_id) if levels is None else levels
+    return answers_long(df, columns, row_id).join(levels, ["column", "value"], "left").select(ref(row_id), "column", "value", "position", "slot")
+
+
+def one_hot_sparse(df: DataFrame, columns: list[str], row_id: str, levels: DataFrame | None = None) -> DataFrame:
+    """Every row with ``slots``, the places of its ones in ascending order, and ``unseen``, how many of its answers have no place; the columns go.
+
+    A row has at most one slot per column, so its array is short however many answers there are.
+    """
+    flags = one_hot_long(df, columns, row_id, levels).groupBy(ref(row_id)).agg(F.sort_array(F.collect_list("slot")).alias("slots"), F.count_if(F.col("slot").isNull()).alias("unseen"))
+    out = df.drop(*columns).join(flags, row_id, "left")
+    return out.withColumns({"slots": F.coalesce("slots", F.array().cast("array<bigint>")), "unseen": F.coalesce("unseen", F.lit(0).cast("long"))})
+
+
 def range_smoothing(df: DataFrame, row_id: str, age: str = "Age", income: str = "Income_Category",
                     lifetimes: list[str] | None = None, needs: str = "Essential_Needs_Percentage",
                     lifetime_fn=None) -> DataFrame:

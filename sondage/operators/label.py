@@ -16,7 +16,7 @@ from sondage.operators.neighbours import knn_vote_1d
 from sondage.operators.relate import attach
 from sondage.operators.scale import feature_array, risk_score
 from sondage.operators.schema import numeric_columns, ref, split_labelled
-from sondage.session import cut_lineage, ensure_checkpoint_dir
+from sondage.session import Rounds, cut_lineage, ensure_checkpoint_dir
 
 MIN_TRAIN = 10
 
@@ -56,50 +56,52 @@ def self_train(df: DataFrame, row_id: str, threshold: float = 0.9, rounds: int =
     the feature is permuted.
 
     Each round writes its rows to the checkpoint folder, so plans stay short
-    and a lost executor does not train again.
+    and a lost executor does not train again; the rows of the last two rounds stay there.
     """
     ensure_checkpoint_dir(df.sparkSession)
     skip = {vocab.TARGET, "Confidence", "Auto_Label", row_id, *exclude}
     features = [c for c in numeric_columns(df) if c not in skip]
     df = df.withColumns({"Confidence": F.lit(1.0), vocab.TARGET: F.lit(-1)})
     report: list[tuple[int, str, float, float | None]] = []
+    loop = Rounds(df.sparkSession)
+    df = loop.hand_on(df)
     for step in range(1, rounds + 1):
-        df = cut_lineage(df)
-        labelled, waiting, sure = df.agg(
-            F.count_if(F.col(vocab.TARGET) != -1), F.count_if(F.col(vocab.TARGET) == -1), F.count_if(F.col("Confidence") > threshold)
-        ).first()
-        if labelled >= MIN_TRAIN:
-            train = df.filter(F.col(vocab.TARGET) != -1)
-        elif sure >= MIN_TRAIN:
-            train = df.filter(F.col("Confidence") > threshold)
-        else:
-            break
-        vectors = train.select(
-            array_to_vector(feature_array(features)).alias("features"), F.col("Auto_Label").cast("double").alias("__y"),
-            F.when(F.col("Auto_Label") == 1, F.lit(1.5)).otherwise(F.lit(1.0)).alias("__w"),
-        ).persist()
-        model = boosted("__y", max_iter).fit(vectors)
-        vectors.unpersist()
-        lost = {}
-        if permute:
-            def predict(rows: DataFrame) -> DataFrame:
-                return model.transform(rows.withColumn("features", array_to_vector(feature_array(features)))).withColumn("predicted", F.col("__pred").cast("int"))
-
-            lost = {r["feature"]: r["importance"] for r in permutation_importances(train, predict, features, "Auto_Label", row_id, permute).collect()}
-        report += [(*r, lost.get(r[1])) for r in importances(model, features, step)]
-        if not waiting:
-            break
-        scored = model.transform(df.withColumn("features", array_to_vector(feature_array(features))))
-        top = F.array_max(vector_to_array("probability"))
-        take = (F.col(vocab.TARGET) == -1) & (top >= threshold)
-        marked = scored.withColumn("__take", take)
-        df = marked.withColumns({
-            vocab.TARGET: F.when(F.col("__take"), F.col("__pred").cast("int")).otherwise(F.col(vocab.TARGET)),
-            "Confidence": F.when(F.col("__take"), top).otherwise(F.col("Confidence")),
-        }).drop("features", "rawPrediction", "probability", "__pred", "__take")
-        df = cut_lineage(df)
-        if df.filter(F.col(vocab.TARGET) != -1).count() == labelled:
-            break
+        with loop.round():
+            labelled, waiting, sure = df.agg(
+                F.count_if(F.col(vocab.TARGET) != -1), F.count_if(F.col(vocab.TARGET) == -1), F.count_if(F.col("Confidence") > threshold)
+            ).first()
+            if labelled >= MIN_TRAIN:
+                train = df.filter(F.col(vocab.TARGET) != -1)
+            elif sure >= MIN_TRAIN:
+                train = df.filter(F.col("Confidence") > threshold)
+            else:
+                break
+            vectors = train.select(
+                array_to_vector(feature_array(features)).alias("features"), F.col("Auto_Label").cast("double").alias("__y"),
+                F.when(F.col("Auto_Label") == 1, F.lit(1.5)).otherwise(F.lit(1.0)).alias("__w"),
+            ).persist()
+            model = boosted("__y", max_iter).fit(vectors)
+            vectors.unpersist()
+            lost = {}
+            if permute:
+                def predict(rows: DataFrame) -> DataFrame:
+                    return model.transform(rows.withColumn("features", array_to_vector(feature_array(features)))).withColumn("predicted", F.col("__pred").cast("int"))
+
+                lost = {r["feature"]: r["importance"] for r in permutation_importances(train, predict, features, "Auto_Label", row_id, permute).collect()}
+            report += [(*r, lost.get(r[1])) for r in importances(model, features, step)]
+            if not waiting:
+                break
+            scored = model.transform(df.withColumn("features", array_to_vector(feature_array(features))))
+            top = F.array_max(vector_to_array("probability"))
+            take = (F.col(vocab.TARGET) == -1) & (top >= threshold)
+            marked = scored.withColumn("__take", take)
+            df = marked.withColumns({
+                vocab.TARGET: F.when(F.col("__take"), F.col("__pred").cast("int")).otherwise(F.col(vocab.TARGET)),
+                "Confidence": F.when(F.col("__take"), top).otherwise(F.col("Confidence")),
+            }).drop("features", "rawPrediction", "probability", "__pred", "__take")
+            df = loop.hand_on(df)
+            if df.filter(F.col(vocab.TARGET) != -1).count() == labelled:
+                break
     return df, report
 
 

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from sondage.operators.order import ranked_values
 from sondage.operators.scale import feature_array
 from sondage.operators.schema import ref
-from sondage.session import BLOCK_ROWS, cut_lineage
+from sondage.session import BLOCK_ROWS, Rounds, cut_lineage
 
 MAX_PIVOTS = 512
 MAX_RINGS = 64
@@ -189,14 +189,15 @@ def _by_rings(searches: DataFrame, reps: DataFrame, n: int, need: int, relation:
     rows = cut_lineage(rows)
     visit = "key string, x array<double>, block long"
     open_ = searches.withColumn("ub", F.lit(float("inf")))
-    found, start, stop = None, 0, FIRST_RINGS
+    found, start, stop, rounds = None, 0, FIRST_RINGS, Rounds(reps.sparkSession)
     while start < len(rings.group):
         got = _search(open_.mapInPandas(_visits(rings, relation, start, stop), visit), rows, need)
         best = _ranked(got if found is None else found.unionByName(got), need)
         found = best.select("key", "nbr", "dist")
         start, stop = stop, stop * MORE_RINGS
         if start < len(rings.group):
-            found = cut_lineage(found)
+            with rounds.round():
+                found = rounds.hand_on(found)
             bound = found.groupBy("key").agg(F.count(F.lit(1)).alias("held"), F.max("dist").alias("far")).filter(F.col("held") == need).select("key", F.col("far").alias("ub"))
             open_ = searches.join(bound, "key", "left").withColumn("ub", F.coalesce("ub", F.lit(float("inf"))))
     return found

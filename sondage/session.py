@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -45,10 +48,61 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
         raise RuntimeError("set spark.checkpoint.dir to a folder that every executor can reach")
 
 
+# Folders of the checkpoints made since the round of a loop began; None outside of loops.
+_MADE: ContextVar[list[str] | None] = ContextVar("made", default=None)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """The same rows, read back from reliable storage, so loops keep short plans."""
     ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    out, made = df.checkpoint(eager=True), _MADE.get()
+    if made is not None:
+        made += _folder(out)
+    return out
+
+
+def _folder(df: DataFrame) -> list[str]:
+    """Where a table lies that is a checkpoint and nothing more."""
+    plan = df._jdf.queryExecution().logical()
+    if plan.getClass().getSimpleName() != "LogicalRDD":
+        return []
+    found = plan.rdd().getCheckpointFile()
+    return [found.get()] if found.isDefined() else []
+
+
+class Rounds:
+    """Checkpoints of a loop: what a round leaves behind goes at its end; of the tables that rounds hand on the last two stay.
+
+    The newest table is complete before an older one goes, and the one before it stays for readers that still hold it.
+    A loop within a round leaves its last two tables to that round.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.tables = spark, []
+
+    @contextmanager
+    def round(self) -> Iterator[None]:
+        made: list[str] = []
+        token = _MADE.set(made)
+        try:
+            yield
+        finally:
+            _MADE.reset(token)
+            old, self.tables = self.tables[:-2], self.tables[-2:]
+            outer = _MADE.get()
+            if outer is not None:
+                outer += [f for f in self.tables if f not in outer]
+            for folder in dict.fromkeys([*made, *old]):
+                if folder not in self.tables:
+                    path = self.spark._jvm.org.apache.hadoop.fs.Path(folder)
+                    path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+    def hand_on(self, df: DataFrame) -> DataFrame:
+        """The rows as the table that the next round starts from; a checkpoint of this round is not written again."""
+        made = _MADE.get() or []
+        out = df if any(f in made for f in _folder(df)) else cut_lineage(df)
+        self.tables += _folder(out)
+        return out
 
 
 def fits_broadcast(rows: int, row_bytes: int) -> bool:
