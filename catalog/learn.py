@@ -6,9 +6,10 @@ import math
 
 from pyspark.sql import functions as F
 
-from catalog.base import ENCODED, ROW_ID, encoded_table, facts_sql, query, read_table, rounded, u_sql
+from catalog.base import ENCODED, ROW_ID, encoded_table, facts_sql, query, read_table, rounded, survey_translated, u_sql
 from catalog.neighbours import VALUES, VECTORS, vectors
 from catalog.prepare import constraint_input
+from catalog.rows import ranked_sql
 from sondage import vocab
 from sondage.functions.draws import u
 from sondage.operators import augment, certify, metrics, models, relate, scale
@@ -178,11 +179,79 @@ def adasyn(spark, d):
     return rounded(augment.adasyn(df, VALUES, "rare", 5, "vec_id"), 5)
 
 
-@query("augmentation_metrics")
+_TAIL = """CASE WHEN nu % 2 = 0 THEN 1 - sin(o) * list_sum([exp(lgamma(k + 0.5::DOUBLE) - lgamma(0.5::DOUBLE) - lgamma(k + 1) + 2 * k * ln(cos(o))) FOR k IN range(0, nu // 2)])
+ELSE 1 - 2 / pi() * (o + sin(o) * cos(o) * coalesce(list_sum([exp(lgamma(k + 1) + lgamma(1.5::DOUBLE) - lgamma(k + 1.5::DOUBLE) + 2 * k * ln(cos(o))) FOR k IN range(0, (nu - 1) // 2)]), 0)) END"""
+
+
+@query("augmentation_metrics", f"""{VECTORS}, f AS ({ranked_sql('vec_id', 'y', 'fold:42', 'v')}), d AS (SELECT v.*, (f.r % 5)::INT AS fold, v.vec_id % 5 <> 0 AS old FROM v JOIN f USING (vec_id)),
+p AS (SELECT a.vec_id, b.vec_id AS nbr, list_distance(a.e, b.e) AS dist, a.y AS ya, b.y AS yb, a.fold AS fold, a.fold <> b.fold AS other, b.old AS old FROM d a, d b),
+q AS (SELECT vec_id, ya, fold, (avg(yb) > 0.5)::INT AS yp FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY dist, nbr) AS r FROM p WHERE other) WHERE r <= 5 GROUP BY ALL),
+g AS (SELECT fold, c, count(*) FILTER (WHERE ya = c) AS real, 2.0::DOUBLE * count(*) FILTER (WHERE ya = c AND yp = c) / (count(*) FILTER (WHERE ya = c) + count(*) FILTER (WHERE yp = c)) AS f1 FROM q, (SELECT unnest([0, 1]) AS c) GROUP BY ALL),
+k AS (SELECT vec_id, ya, (avg(yb) > 0.5)::INT AS yp FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY dist, nbr) AS r FROM p WHERE old) WHERE r <= 5 GROUP BY ALL),
+o AS (SELECT avg((ya = yp)::INT) AS po, avg(ya) * avg(yp) + (1 - avg(ya)) * (1 - avg(yp)) AS pe FROM k),
+m AS (SELECT [{', '.join(f'avg(e[{i}])' for i in range(1, 65))}] AS now, [{', '.join(f'avg(e[{i}]) FILTER (WHERE old)' for i in range(1, 65))}] AS before FROM d),
+c AS (SELECT y, count(*) AS n, [{', '.join(f'avg(e[{i}])' for i in range(1, 65))}] AS c, avg(list_inner_product(e, e)) AS q FROM d GROUP BY 1),
+s AS (SELECT vec_id, d.y = c.y AS own, n, list_inner_product(e, e) - 2 * list_inner_product(e, c) + q AS m FROM d, c),
+t AS (SELECT vec_id, max(m * n / greatest(n - 1, 1)) FILTER (own) AS a, min(m) FILTER (NOT own) AS b FROM s GROUP BY 1),
+h AS (SELECT i, e[i] AS x, y FROM d, (SELECT unnest(range(1, 65)) AS i)), h1 AS (SELECT i, y, count(*) AS n, avg(x) AS mean, var_pop(x) AS v FROM h GROUP BY ALL), h2 AS (SELECT i, avg(x) AS g FROM h GROUP BY 1),
+w AS (SELECT i, (sum(n) - 2)::BIGINT AS nu, atan(sqrt(sum(n * (mean - g) * (mean - g)) / sum(n * v))) AS o FROM h1 JOIN h2 USING (i) GROUP BY 1)
+SELECT 'f1_weighted' AS metric, round(avg(f), 5) AS value FROM (SELECT fold, sum(real * f1) / sum(real) AS f FROM g GROUP BY 1)
+UNION ALL SELECT 'kappa', round((po - pe) / (1 - pe), 5) FROM o UNION ALL SELECT 'silhouette', round(avg((b - a) / greatest(a, b)), 5) FROM t
+UNION ALL SELECT 'cosine_similarity', round(list_cosine_similarity(now, before), 5) FROM m
+UNION ALL SELECT 'avg_knn_distance', round(sum(dist) / (5.0 * (SELECT count(*) FROM v)), 5) FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY dist, nbr) AS r FROM p WHERE vec_id <> nbr) WHERE r <= 4
+UNION ALL SELECT 'anova_p_value', round(avg({_TAIL}), 5) FROM w""")
 def augmentation_metrics(spark, d):
     df = vectors(spark, d).select("vec_id", *VALUES, "y")
     figures = augment.augmentation_metrics(df, df.filter("vec_id % 5 <> 0"), VALUES, "y", "vec_id")
-    return rounded(spark.createDataFrame([(k, float(v), augment.accept(figures, figures)) for k, v in figures.items()], "metric string, value double, status string"))
+    return rounded(spark.createDataFrame([(k, float(v)) for k, v in figures.items()], "metric string, value double"), 5)
+
+
+# a day of shipments as a round: six averages in the places of the six figures
+_DAILY = {
+    "f1_weighted": "10 * avg(l_discount)", "silhouette": "12 * avg(l_tax)", "kappa": "avg(CASE WHEN l_returnflag = 'A' THEN 1.0 ELSE 0.0 END)",
+    "cosine_similarity": "avg(l_quantity) / 50", "avg_knn_distance": "avg(l_extendedprice)", "anova_p_value": "avg(CASE WHEN l_linestatus = 'F' THEN 1.0 ELSE 0.0 END)",
+}
+_BROKEN = " + ".join(f"(round({f'a.{m} / b.{m} - 1' if m == 'avg_knn_distance' else f'b.{m} - a.{m}'}, 9) > {x}::DOUBLE)::INT" for m, x in augment.ALLOWED_DROP.items())
+
+
+@query("accept_rule", f"""WITH f AS (SELECT l_shipdate::DATE AS day, {', '.join(f'round({x}, 9) AS {m}' for m, x in _DAILY.items())} FROM lineitem GROUP BY 1),
+s AS (SELECT a.day, coalesce({_BROKEN}, 0) AS broken FROM f a LEFT JOIN f b ON a.day = b.day + 1)
+SELECT day::VARCHAR AS day, CASE WHEN broken = 0 THEN 'good' WHEN broken <= 2 THEN 'tolerated' ELSE 'repeated' END AS status FROM s""")
+def accept_rule(spark, d):
+    """Every day of shipments judged against the day before by the rule of the growth loops."""
+    days = read_table(spark, d, "lineitem").groupBy(F.col("l_shipdate").cast("date").alias("day")).agg(*[F.round(F.expr(x), 9).alias(m) for m, x in _DAILY.items()])
+    before = days.select(F.date_add("day", 1).alias("day"), *[F.col(m).alias(f"old_{m}") for m in _DAILY])
+    status = augment.accept_status({m: F.col(m) for m in _DAILY}, {m: F.col(f"old_{m}") for m in _DAILY})
+    return days.join(before, "day", "left").select(F.col("day").cast("string").alias("day"), status.alias("status"))
+
+
+@query("validate_batch", f"{LEVEL} SELECT unnest(['same', 'moved']) AS batch, (SELECT count(*) FROM lv) AS rows, {len(vocab.SCALED)} AS columns, unnest([0.0::DOUBLE, 1.0::DOUBLE]) AS least_ks, unnest([0.0::DOUBLE, 1.0::DOUBLE]) AS most_ks, unnest([true, false]) AS same_means, true AS sound")
+def validate_batch(spark, d):
+    """A batch equal to the table has no distance from it in any column and the same means; one moved beyond its range has the largest distance."""
+    df = labelled(spark, d).select(ROW_ID, *FEATURES, vocab.TARGET)
+    out = []
+    for name, shift in (("same", 0.0), ("moved", 1000.0)):
+        batch = df.withColumns({c: ref(c) + F.lit(shift) for c in vocab.SCALED})
+        got = augment.validate_batch(df, batch)
+        ks = [got["ks_distance"][c] for c in vocab.SCALED]
+        sound = -1 <= got["cohen_kappa"] <= 1 and 0 <= got["f1_score"] <= 1 and (got["cohen_kappa"] > 0) == (name == "same")
+        out.append((name, batch.count(), len(ks), round(min(ks), 6), round(max(ks), 6), got["cosine_similarity"] > 1 - 1e-9, sound))
+    return spark.createDataFrame(out, "batch string, rows long, columns int, least_ks double, most_ks double, same_means boolean, sound boolean")
+
+
+@query("expand_decoded", f"""{LEVEL}, z AS (SELECT y, count(*) AS n FROM lv GROUP BY 1), m AS (SELECT max(n) AS most FROM z)
+SELECT y AS {vocab.TARGET}, most + floor(most * 5.5)::BIGINT AS n, z.n AS kept, 0 AS off_step, 0 AS unknown FROM z, m""")
+def expand_decoded(spark, d):
+    """Rows per class after balancing and multiplying; the given ones stay, amounts lie on their steps, answers are known ones."""
+    answers = ["Impulse_Buying_Frequency", "Budget_Planning", "Savings_Goal_Vacation"]
+    known = vocab.ORDINALS["Impulse_Buying_Frequency"]
+    level = labelled(spark, d).select(ROW_ID, vocab.TARGET)
+    df = survey_translated(spark, d).select(ROW_ID, *answers).join(encoded_table(spark, d).select(ROW_ID, "Age", "Income_Category"), ROW_ID).join(level, ROW_ID)
+    layout = scale.fit_layout(df, ["Age", "Income_Category"], {answers[0]: list(known)}, [answers[1]], [answers[2]])
+    out = augment.expand_decoded(df, layout)
+    off = (ref("Age") != F.round("Age")) | (ref("Income_Category") % 100 != 0)
+    strange = ~ref(answers[0]).isin(list(known)) | ~ref(answers[1]).isin(layout.nominal[answers[1]])
+    return out.groupBy(vocab.TARGET).agg(F.count(F.lit(1)).alias("n"), F.count_if(ref(ROW_ID) >= 0).alias("kept"), F.count_if(off).alias("off_step"), F.count_if(strange).alias("unknown"))
 
 
 @query("augment_smote")

@@ -176,6 +176,21 @@ def accept(figures: dict[str, float], previous: dict[str, float] | None) -> str:
     return "good" if broken == 0 else "tolerated" if broken <= len(shared) // 3 else "repeated"
 
 
+def accept_status(figures: dict[str, Column], previous: dict[str, Column]) -> Column:
+    """The rule of ``accept`` over the columns of a history: a row without any earlier figure is 'good', a figure that either side lacks does not count."""
+    shared = {m: figures[m].isNotNull() & previous[m].isNotNull() for m in ALLOWED_DROP if m in figures and m in previous}
+
+    def worse(m: str) -> Column:
+        now, before = figures[m], previous[m]
+        if m == "avg_knn_distance":
+            return F.when(before != 0, now / before - F.lit(1.0)).when(now != 0, F.lit(math.inf)).otherwise(F.lit(0.0))
+        return before - now
+
+    held = sum((has.cast("int") for has in shared.values()), F.lit(0))
+    broken = sum(((has & (worse(m) > F.lit(ALLOWED_DROP[m]))).cast("int") for m, has in shared.items()), F.lit(0))
+    return F.when(broken == 0, F.lit("good")).when(broken <= F.floor(held / F.lit(3)), F.lit("tolerated")).otherwise(F.lit("repeated"))
+
+
 def _sizes(df: DataFrame, label: str) -> list[int]:
     found = {int(r[0]): r[1] for r in df.groupBy(ref(label)).count().collect()}
     return [found.get(i, 0) for i in range(max(2, max(found, default=0) + 1))]
