@@ -305,12 +305,20 @@ def relabel_confident(spark, d):
     return kept.agg(F.count(F.lit(1)).alias("kept"), F.lit(changed).alias("changed"))
 
 
-@query("augment_filtered")
+@query("augment_filtered", f"{LEVEL} SELECT floor(count(*) * 1.3::DOUBLE)::BIGINT AS size, count(*) AS kept, true AS adds_up, true AS funnel, {len(FEATURES)} AS ks_columns, true AS ks_within FROM lv")
 def augment_filtered(spark, d):
+    """All rounds, with the distribution test: the goal is reached, given rows stay, rounds add up to the size, no filter adds rows, and each round tests every column."""
     df = labelled(spark, d).select(ROW_ID, *FEATURES, vocab.TARGET)
-    total = int(df.count() * 1.3)
-    grown, _, funnel = augment.augment_filtered(df, total, max_rounds=1, ks=False)
-    return augment.augmentation_summary(grown, funnel)
+    given = df.count()
+    grown, history, funnel = augment.augment_filtered(df, int(given * 1.3))
+    row = augment.augmentation_summary(grown, funnel).first()
+    kept = grown.filter(ref(ROW_ID) >= 0).count()
+    totals = [given, *[h["new_total"] for h in history]]
+    adds_up = all(b - a == h["generated"] for a, b, h in zip(totals, totals[1:], history)) and totals[-1] == row["size"] == row["class_0"] + row["class_1"] and row["rounds"] == len(history)
+    falling = row["generated"] >= row["kept_confident"] >= row["kept_consistent"] >= row["size"] - given
+    tests = [h["metrics"]["ks_distance"] for h in history if h["generated"]]
+    within = all(0 <= v <= 1 for t in tests for v in t.values())
+    return spark.createDataFrame([(row["size"], kept, adds_up, falling, min(map(len, tests)), within)], "size long, kept long, adds_up boolean, funnel boolean, ks_columns int, ks_within boolean")
 
 
 @query("top_up", f"{LEVEL}, z AS (SELECT y, count(*) AS n FROM lv GROUP BY 1) SELECT y AS {vocab.TARGET}, (SELECT min(n) + 30 FROM z) AS n FROM z")
