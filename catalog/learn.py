@@ -13,6 +13,7 @@ from catalog.rows import ranked_sql
 from sondage import vocab
 from sondage.functions.draws import u
 from sondage.operators import augment, certify, metrics, models, relate, scale
+from sondage.operators.label import label_risk
 from sondage.operators.schema import features_of, ref
 
 
@@ -329,11 +330,16 @@ def top_up(spark, d):
     return out.groupBy(vocab.TARGET).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("augment_incremental", "SELECT floor(count(*) * 1.2)::BIGINT AS n, (floor(count(*) * 1.2) - count(*))::BIGINT AS made, 1 AS rounds FROM customer")
+@query("augment_incremental", f"{LEVEL} SELECT floor(count(*) * 1.2::DOUBLE)::BIGINT AS n, (floor(count(*) * 1.2::DOUBLE) - count(*))::BIGINT AS made, 1 AS rounds, true AS adds_up, count(*) AS unchanged FROM lv")
 def augment_incremental(spark, d):
-    df = labelled(spark, d).select(ROW_ID, *FEATURES, vocab.TARGET)
-    out, history = augment.augment_incremental(df, int(df.count() * 1.2), max_rounds=1, score_batch=lambda b: b)
-    return out.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col(ROW_ID) < 0).alias("made"), F.lit(len(history)).alias("rounds"))
+    """Rounds to the goal (a fifth more rows: one), each batch scored by the labelling run (with 20 boosting rounds); given rows keep their labels."""
+    df = labelled(spark, d)
+    given = df.count()
+    out, history = augment.augment_incremental(df, int(given * 1.2), score_batch=lambda batch: label_risk(batch, ROW_ID, max_iter=20))
+    totals = [given, *[h["new_total"] for h in history]]
+    adds_up = all(b - a == h["generated"] for a, b, h in zip(totals, totals[1:], history))
+    same = out.join(df.select(ROW_ID, ref(vocab.TARGET).alias("given")), ROW_ID).filter(ref(vocab.TARGET) == F.col("given")).count()
+    return out.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col(ROW_ID) < 0).alias("made"), F.lit(len(history)).alias("rounds"), F.lit(adds_up).alias("adds_up"), F.lit(same).alias("unchanged"))
 
 
 @query("fill_to", "SELECT count(*)::BIGINT AS kept, true AS within, 0::BIGINT AS broken FROM customer")
