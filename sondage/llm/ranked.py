@@ -19,6 +19,8 @@ TOP = 10
 # Postings that a task holds while it sorts them into strata, and bytes of a long text whose terms are counted at a time.
 CHUNK = 1_000_000
 PIECE = 1 << 20
+# Bytes of the index that a task writes or reads at a time: a task's part of a large corpus has thousands of pieces.
+GROUP_BYTES = 8 * 1024 * 1024
 # Strata that each query visits first, to learn a score that the others have to reach.
 FIRST = 8
 # Open strata that are sent to every task; beyond them the bounds of the pieces, which are as strict, decide alone.
@@ -26,7 +28,7 @@ STRATA = 100_000
 # Bytes of query text that one pass over the index holds: more queries are dealt in blocks of this size.
 BLOCK_BYTES = 4_000_000
 # Scores that a task adds up at a time.
-CELLS = 4_000_000
+CELLS = 1_000_000
 # Fixed values of the score: full weight of length, its part, and the scale of a term's share.
 LENGTH, LENGTH_PART, SCALE = 100, 75, 1_000_000_000
 
@@ -326,7 +328,7 @@ def search(docs: DataFrame, queries: DataFrame, top: int = TOP, doc_id: str = "d
     """
     size = size or corpus_size(docs, text)
     if index is None:
-        index = written(build_index(docs, size, doc_id, text), "index")
+        index = written(build_index(docs, size, doc_id, text), "index", GROUP_BYTES)
     named = cut_lineage(queries.select(F.monotonically_increasing_id().alias("item"), col(item_id).alias("item_id"), col(item_text).alias("text")))
     total = named.agg(F.coalesce(F.sum(F.octet_length("text") + 64), F.lit(0))).first()[0]
     blocks = max(1, -(-int(total) // block_bytes))
