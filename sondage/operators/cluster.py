@@ -8,13 +8,15 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import inheritable_thread_target
-from pyspark.ml.clustering import GaussianMixture, KMeans
+from pyspark.ml.clustering import GaussianMixture
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import PCA, Bucketizer
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from sondage import vocab
 from sondage.functions.draws import u, u_hash
@@ -24,7 +26,7 @@ from sondage.operators.order import quantiles
 from sondage.operators.profile import argmin_group
 from sondage.operators.scale import ScalerParams, apply_scaler, feature_array, fit_standard, risk_score
 from sondage.operators.schema import drop_null_rows, numeric_columns, ref
-from sondage.session import cut_lineage
+from sondage.session import BLOCK_ROWS, cut_lineage
 
 # ------------------------------------------------------------------------ PCA
 
@@ -92,9 +94,19 @@ def scree_rows(df: DataFrame, fit: PcaFit) -> DataFrame:
 # -------------------------------------------------------------------- k-means
 
 
+@dataclass
+class Centres:
+    """The centres of a clustering; rows belong to the nearest one."""
+
+    values: np.ndarray
+
+    def clusterCenters(self) -> list[np.ndarray]:  # noqa: N802  (as MLlib's models name it)
+        return list(self.values)
+
+
 @dataclass
 class KMeansRange:
-    models: dict[int, object]
+    models: dict[int, Centres]
     labelled: DataFrame
     table: DataFrame
     best: int
@@ -104,29 +116,171 @@ def _with_features(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.withColumn("features", array_to_vector(feature_array(columns)))
 
 
-def kmeans_range(df: DataFrame, columns: list[str], row_id: str, ks=range(2, 11), n_init: int = 10, seed: int = 42, parallel: int = 4, mode: str = "fast") -> KMeansRange:
+def _packed(df: DataFrame, columns: list[str], row_id: str) -> DataFrame:
+    """(ids, x): up to ``BLOCK_ROWS`` rows as the bytes of their ids' hashes and of their values, so a pass costs little more than its arithmetic."""
+
+    def run(batches):
+        for t in batches:
+            for at in range(0, t.num_rows, BLOCK_ROWS):
+                b = t.slice(at, BLOCK_ROWS)
+                x = b.column(1).flatten().to_numpy(zero_copy_only=False).astype(float)
+                yield pa.RecordBatch.from_pydict({"ids": pa.array([b.column(0).to_numpy().tobytes()], pa.binary()), "x": pa.array([x.tobytes()], pa.binary())})
+
+    values = F.transform(feature_array(columns), lambda v: v.cast("double"))
+    return df.select(F.xxhash64(ref(row_id)).alias("id"), values.alias("x")).mapInArrow(run, "ids binary, x binary")
+
+
+def _squares(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    """Squared distances of rows to centres."""
+    far = x @ (centres.T * -2.0)
+    far += (x * x).sum(axis=1)[:, None]
+    far += (centres * centres).sum(axis=1)
+    return np.maximum(far, 0.0, out=far)
+
+
+def _pass(packed: DataFrame, d: int, fn, schema: str) -> DataFrame:
+    """What ``fn`` gives for the blocks of a part, (hashes of the ids, rows) one after the other."""
+
+    def run(batches):
+        def blocks():
+            for b in batches:
+                for ids, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                    yield np.frombuffer(ids, dtype=np.int64).view(np.uint64), np.frombuffer(x).reshape(-1, d)
+
+        yield from fn(blocks())
+
+    return packed.mapInArrow(run, schema)
+
+
+def _summed(packed: DataFrame, d: int, sets: dict[int, np.ndarray]) -> dict[int, tuple[np.ndarray, np.ndarray, float]]:
+    """Of each set of centres the rows that are nearest to each centre, their sums, and the squares around the centres, in one pass."""
+
+    def fn(blocks):
+        n = {f: np.zeros(len(c)) for f, c in sets.items()}
+        sums = {f: np.zeros((len(c), d)) for f, c in sets.items()}
+        cost = dict.fromkeys(sets, 0.0)
+        for _, x in blocks:
+            every = _squares(x, np.concatenate(list(sets.values())))
+            at = 0
+            for f, c in sets.items():
+                far, at = every[:, at:at + len(c)], at + len(c)
+                near = far.argmin(axis=1)
+                cost[f] += float(far[np.arange(len(x)), near].sum())
+                hot = (near == np.arange(len(c))[:, None]).astype(float)
+                n[f] += hot.sum(axis=1)
+                sums[f] += hot @ x
+        rows = [(f, i, np.concatenate((sums[f][i], [n[f][i], cost[f]]))) for f in sets for i in range(len(sets[f]))]
+        fit, centre, v = zip(*rows)
+        yield pa.RecordBatch.from_pydict({"fit": pa.array(fit, pa.int32()), "centre": pa.array(centre, pa.int32()), "v": pa.array(list(v), pa.list_(pa.float64()))})
+
+    # the sums of parts meet in a shuffle; only those of the centres reach the driver
+    parts = _pass(packed, d, fn, "fit int, centre int, v array<double>").select("fit", "centre", F.posexplode("v").alias("j", "v"))
+    out = {f: np.zeros((len(c), d + 2)) for f, c in sets.items()}
+    got = parts.groupBy("fit", "centre", "j").agg(F.sum("v").alias("v")).toArrow()
+    fit, centre, j, v = (got[c].to_numpy() for c in ("fit", "centre", "j", "v"))
+    for f in out:
+        mine = fit == f
+        out[f][centre[mine], j[mine]] = v[mine]
+    return {f: (v[:, d], v[:, :d], float(v[0, d + 1])) for f, v in out.items()}
+
+
+def _draw(ids: np.ndarray, salt: int) -> np.ndarray:
+    """Numbers from 0 to 1 that follow from the hash of an id and a salt."""
+    h = ids ^ (np.uint64(salt % 2**31 + 1) * np.uint64(0x9E3779B97F4A7C15))
+    for _ in range(2):
+        h = (h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+    return ((h ^ (h >> np.uint64(29))) >> np.uint64(11)) / float(1 << 53)
+
+
+def _starts(packed: DataFrame, d: int, tasks: list[tuple[int, int]], seed: int, steps: int = 2) -> dict[int, np.ndarray]:
+    """First centres of all fits, by k-means||: per step about 2k rows drawn by their squared distance to the candidates so far, which are then
+    weighed by the rows nearest to them and drawn from by k-means++. All fits share the passes."""
+
+    def drawn(chances: dict[int, np.ndarray | None], scale: dict[int, float]):
+        def fn(blocks):
+            fits, rows, first = [], [], {}
+            for ids, x in blocks:
+                for f, c in chances.items():
+                    u_ = _draw(ids, seed + 1000 * f + 17 * (0 if c is None else len(c)))
+                    if c is None:
+                        # the row of the smallest draw
+                        i = int(u_.argmin())
+                        if f not in first or (u_[i], x[i].tobytes()) < first[f][:2]:
+                            first[f] = (float(u_[i]), x[i].tobytes(), x[i])
+                    else:
+                        for i in np.flatnonzero(u_ < scale[f] * _squares(x, c).min(axis=1)):
+                            fits.append(f)
+                            rows.append((float(u_[i]), x[i]))
+            fits, rows = fits + list(first), rows + [(v[0], v[2]) for v in first.values()]
+            yield pa.RecordBatch.from_pydict({"fit": pa.array(fits, pa.int32()), "u": pa.array([r[0] for r in rows], pa.float64()), "x": pa.array([r[1] for r in rows], pa.list_(pa.float64()))})
+
+        return _pass(packed, d, fn, "fit int, u double, x array<double>")
+
+    # bounded: one row, then about 2k rows, for each fit
+    held = {r["fit"]: np.array([r["x"]]) for r in drawn(dict.fromkeys(range(len(tasks))), {}).groupBy("fit").agg(F.min_by("x", F.struct("u", "x")).alias("x")).collect()}
+    for _ in range(steps):
+        cost = {f: v[2] for f, v in _summed(packed, d, held).items()}
+        scale = {f: 2.0 * tasks[f][0] / v for f, v in cost.items() if v > 0}
+        for r in drawn({f: held[f] for f in scale}, scale).groupBy("fit").agg(F.sort_array(F.collect_list("x")).alias("x")).collect():
+            held[r["fit"]] = np.unique(np.concatenate((held[r["fit"]], np.array(r["x"]))), axis=0)
+    weights = {f: v[0] for f, v in _summed(packed, d, held).items()}
+    out = {}
+    for f, c in held.items():
+        k, rng = tasks[f][0], np.random.default_rng([seed, f])
+        if len(c) <= k:
+            out[f] = c
+            continue
+        picked = [int(rng.choice(len(c), p=weights[f] / weights[f].sum()))]
+        for _ in range(k - 1):
+            share = weights[f] * _squares(c, c[picked]).min(axis=1)
+            share[picked] = 0.0
+            picked.append(int(rng.choice(len(c), p=share / share.sum())) if share.sum() > 0 else int(np.setdiff1d(np.arange(len(c)), picked)[0]))
+        out[f] = c[picked]
+    return out
+
+
+def kmeans_range(df: DataFrame, columns: list[str], row_id: str, ks=range(2, 11), n_init: int = 10, seed: int = 42, max_iter: int = 300, tol: float = 1e-4, mode: str = "fast") -> KMeansRange:
     """k-means per k, the best of ``n_init`` starts; labels k2, k3, ... side by side.
 
-    The starts are independent Spark jobs and run side by side. ``mode`` names
+    All starts of all k take their rounds together: one pass over the rows and one small table of sums serve every fit
+    that still moves. ``mode`` names
     the silhouette as in ``metrics.silhouette``; the exact ones of all k share one
     pass over the distances.
     """
+    ks, d = list(ks), len(columns)
     known = drop_null_rows(df, columns)
-    data = _with_features(known.select(ref(row_id), *[ref(c) for c in columns]), columns).persist()
-
-    def fit(task):
-        k, start = task
-        model = KMeans(k=k, seed=seed + start, maxIter=300, tol=1e-4, predictionCol=f"k{k}").fit(data)
-        return k, start, model.summary.trainingCost, model
-
+    data = known.select(ref(row_id), *[ref(c) for c in columns]).persist()
+    packed = _packed(data, columns, row_id).persist()
     tasks = [(k, s) for k in ks for s in range(n_init)]
-    with ThreadPoolExecutor(parallel) as pool:
-        fits = list(pool.map(inheritable_thread_target(fit), tasks))
-    best = {k: min((f for f in fits if f[0] == k), key=lambda f: (f[2], f[1])) for k in ks}
-    labelled = data
-    for k in ks:
-        labelled = best[k][3].transform(labelled)
-    labelled = labelled.persist()
+    centres = _starts(packed, d, tasks, seed)
+    if not centres:
+        raise ValueError("no rows to cluster")
+    moving = dict(centres)
+    for _ in range(max_iter):
+        for f, (n, sums, _) in _summed(packed, d, moving).items():
+            # a centre without rows stays where it is
+            moved = np.where(n[:, None] > 0, sums / np.maximum(n, 1.0)[:, None], centres[f])
+            if (((moved - centres[f]) ** 2).sum(axis=1) <= tol * tol).all():
+                del moving[f]
+            else:
+                moving[f] = moved
+            centres[f] = moved
+        if not moving:
+            break
+    cost = {f: v[2] for f, v in _summed(packed, d, centres).items()}
+    packed.unpersist()
+    best = {k: min((f for f in centres if tasks[f][0] == k), key=lambda f: (cost[f], f)) for k in ks}
+    models = {k: Centres(centres[best[k]]) for k in ks}
+
+    def labels(batches):
+        for b in batches:
+            x = b.column(b.num_columns - 1).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(b.num_rows, d)
+            near = [pa.array(_squares(x, models[k].values).argmin(axis=1).astype(np.int32)) for k in ks]
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], *near], names=[*b.schema.names[:-1], *[f"k{k}" for k in ks]])
+
+    schema = StructType([*data.schema.fields, *[StructField(f"k{k}", IntegerType()) for k in ks]])
+    values = F.transform(feature_array(columns), lambda v: v.cast("double"))
+    labelled = _with_features(data.withColumn("__x", values).mapInArrow(labels, schema), columns).persist()
     if mode == "exact":
         scores, metric = silhouettes_exact(labelled, columns, [f"k{k}" for k in ks], row_id), "euclidean"
         scores = {k: scores[f"k{k}"] for k in ks}
@@ -134,9 +288,8 @@ def kmeans_range(df: DataFrame, columns: list[str], row_id: str, ks=range(2, 11)
         metric = "squared_euclidean"
         scores = {k: ClusteringEvaluator(predictionCol=f"k{k}").evaluate(labelled) for k in ks}
     table = df.sparkSession.createDataFrame(
-        [(k, float(best[k][2]), None if scores[k] is None else float(scores[k]), metric) for k in ks], "k int, inertia double, silhouette double, metric string"
+        [(k, float(cost[best[k]]), None if scores[k] is None else float(scores[k]), metric) for k in ks], "k int, inertia double, silhouette double, metric string"
     )
-    models = {k: best[k][3] for k in ks}
     return KMeansRange(models, labelled.drop("features"), table, best_k(table, "silhouette"))
 
 
