@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sondage.llm import decontaminate, langid, mixing, nearcopies, quality
+from sondage.llm import decontaminate, langid, mixing, nearcopies, quality, simhash
 from sondage.llm.common import drop_path, shared_path, table
 
 
@@ -22,12 +22,13 @@ def good_text(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: five-word similarity of 0.8 or more on whole texts.
+    """One document of each group of near copies: SimHash fingerprints that differ in 3 bits or fewer, or a five-word similarity of 0.8 or more on whole texts.
 
-    An inverted index over positional bytes with tallies of shared bytes, as in ``simhash``, but the bytes are those of
-    min-hashes: at a similarity of 0.8 a bit of a SimHash differs with probability 0.15, which no list of its bytes survives.
+    SimHash links come from the inverted index over positional bytes of ``op5_simhash``. At a similarity of 0.8 a bit of a
+    SimHash differs with probability 0.15, which no list of its bytes survives, so min-hashes find the pairs that it lacks.
+    Components are formed over the links of both.
     """
-    return nearcopies.keep_one(docs)
+    return nearcopies.keep_one(docs, further=simhash.hubs)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from itertools import accumulate
 
 import numpy as np
@@ -217,16 +218,18 @@ def links(docs: DataFrame) -> DataFrame:
     return found.unionByName(_verified(more, docs))
 
 
-def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", further: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """The documents without near copies: of each component the row with the smallest id stays (ids of null last, then by
     the digest of the text); of rows with the same id and text one stays. All columns are kept.
+    ``further`` gives more links (a, b) between the texts of (node, text).
 
     Repeated rows and texts are one text, null and blank texts are alike among themselves, texts of up to five words are
     alike when equal but for case and white space. Whole texts are compared, however long: a text is held by one task at a
     time as its shingle hashes, 8 bytes a word. Extra columns may have any name; an empty table gives an empty result.
     """
     light = docs.select(identity(text).alias("node"), col(text).alias("text"))
-    roots = connected(links(light)).select(F.col("node").alias("hash"), "root")
+    found = links(light) if further is None else further(light).unionByName(links(light))
+    roots = connected(found).select(F.col("node").alias("hash"), "root")
     ids = docs.select(col(doc_id).alias("id"), identity(text).alias("hash"))
     best = ids.join(roots, "hash", "left").groupBy(F.coalesce("root", "hash").alias("r")).agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "hash")).alias("k"))
     best = best.select("k.id", "k.hash")

@@ -180,6 +180,18 @@ def groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataF
     return light.join(named, "fp").select("doc_id", "text_hash", "fp", "component_id", "root")
 
 
+def hubs(docs: DataFrame) -> DataFrame:
+    """(a, b): of each text of (node, text) that has near copies by its fingerprint a link to the smallest node of its component."""
+    light = with_fingerprint(docs.select("node", "text"))
+    light = cut_lineage(light.select("row.node", "fp").distinct())
+    prints = cut_lineage(light.groupBy("fp").agg(F.min("node").alias("first")))
+    roots = connected(links(prints)).withColumnRenamed("node", "fp")
+    rooted = prints.join(roots, "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+    lowest = rooted.groupBy("root").agg(F.min("first").alias("hub"))
+    named = light.join(rooted.join(lowest, "root").select("fp", "hub"), "fp").where("node <> hub")
+    return named.select(F.col("hub").alias("a"), F.col("node").alias("b"))
+
+
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The documents without near copies: of each component the row with the smallest id stays (ids of null last, then
     by the hash of the text); of rows with the same id and text one stays. All columns are kept."""
