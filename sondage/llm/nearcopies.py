@@ -14,7 +14,7 @@ from pyspark.sql.types import ArrayType, BinaryType, LongType, StructField
 
 from sondage.llm.common import arrow_pass, arrow_rows, col, raw_text
 from sondage.llm.components import connected
-from sondage.session import cut_lineage
+from sondage.session import Rounds, cut_lineage
 
 SHINGLE = 5
 SEED = 42
@@ -228,11 +228,14 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", furthe
     time as its shingle hashes, 8 bytes a word. Extra columns may have any name; an empty table gives an empty result.
     """
     light = docs.select(identity(text).alias("node"), col(text).alias("text"))
-    found = links(light) if further is None else further(light).unionByName(links(light))
-    roots = connected(found).select(F.col("node").alias("hash"), "root")
+    rounds = Rounds(docs.sparkSession)
+    with rounds.round():  # of the tables that are written for the links only the components stay
+        found = links(light) if further is None else further(light).unionByName(links(light))
+        roots = rounds.hand_on(connected(found)).withColumnRenamed("node", "hash")
     ids = docs.select(col(doc_id).alias("id"), identity(text).alias("hash"))
-    best = ids.join(roots, "hash", "left").groupBy(F.coalesce("root", "hash").alias("r")).agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "hash")).alias("k"))
-    best = best.select("k.id", "k.hash")
+    # one key for both, the join and the rows that come twice, so whole rows are shuffled once; a null within it equals a null
+    key = F.struct(F.col("id").isNull().alias("none"), "id", "hash")
+    best = ids.join(roots, "hash", "left").groupBy(F.coalesce("root", "hash").alias("r")).agg(F.min(key).alias("key")).select("key")
     packed = docs.select(F.struct(*[col(c) for c in docs.columns]).alias("row"), col(doc_id).alias("id"), identity(text).alias("hash"))
-    kept = packed.alias("d").join(best.alias("k"), F.col("d.id").eqNullSafe(F.col("k.id")) & (F.col("d.hash") == F.col("k.hash")), "left_semi")
-    return kept.dropDuplicates(["id", "hash"]).select("row.*")
+    kept = packed.select("row", key.alias("key")).join(best, "key", "left_semi")
+    return kept.dropDuplicates(["key"]).select("row.*")

@@ -1,10 +1,14 @@
 """What keeps a larger corpus within memory, and links that only one of two methods finds; rows are made here."""
 
+import os
+import time
+
 import pyarrow.parquet as pq
 from pyspark.sql import functions as F
 
-from sondage.llm import ranked
+from sondage.llm import nearcopies, ranked, simhash
 from sondage.llm.common import written
+from sondage.session import SHUFFLES_GO, cut_lineage, ensure_checkpoint_dir
 
 
 def test_index_has_small_row_groups(spark, monkeypatch):
@@ -27,3 +31,31 @@ def test_near_copies_of_the_pipeline_are_linked_by_fingerprint_too(spark, sf):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     # one fingerprint, but few shingles in common
     assert sorted(r["doc_id"] for r in cp.one_of_each(spark, docs, sf).collect()) == [0, 2]
+
+
+def test_shuffle_files_go_once_their_rows_are_written(spark):
+    tops = [str(d) for d in spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager().localDirs()]
+
+    def files():
+        return {f for top in tops for _, _, names in os.walk(top) for f in names if f.startswith("shuffle_")}
+
+    before, setting = files(), spark.conf.get(SHUFFLES_GO)
+    dealt = spark.range(5_000).repartition(7, "id")  # held here, so no garbage collection takes its files
+    kept = cut_lineage(dealt)
+    until = time.time() + 20
+    while files() - before and time.time() < until:
+        time.sleep(0.1)
+    assert not files() - before and spark.conf.get(SHUFFLES_GO) == setting
+    assert kept.count() == dealt.count() == 5_000
+
+
+def test_near_copies_leave_only_their_components_behind(spark):
+    ensure_checkpoint_dir(spark)
+    top = spark.sparkContext.getCheckpointDir().removeprefix("file:")
+    before = set(os.listdir(top))
+    long = " ".join(f"w{k}" for k in range(200))
+    rows = [(None, "a text without an id"), (None, "a text without an id"), (3, long), (3, long), (5, long + " more"), (None, long), (7, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    kept = nearcopies.keep_one(docs, further=simhash.hubs)
+    assert {tuple(r) for r in kept.collect()} == {(3, long), (7, None), (None, "a text without an id")} and kept.count() == 3
+    assert sum(n.startswith("rdd-") for n in set(os.listdir(top)) - before) == 1
