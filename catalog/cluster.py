@@ -149,7 +149,7 @@ def isolation(spark, d):
 def label_risk(spark, d):
     """The whole labelling with what its levels rest on: per round the model's importances add up to 1, and permuting a feature it uses costs accuracy."""
     df = scale.standardise(encoded_table(spark, d), vocab.SCALED)[0]
-    out, report = label.label_risk_report(df, ROW_ID, max_iter=20)
+    out, report = label.label_risk_report(df, ROW_ID)
     row = out.agg(F.count(F.lit(1)), F.avg("Risk_Score"), F.min(vocab.TARGET), F.max(vocab.TARGET), F.min("Confidence"), F.max("Confidence")).first()
     told = report.collect()
     sums = {}

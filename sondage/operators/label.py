@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -16,6 +15,7 @@ from sondage.operators.neighbours import knn_vote_1d
 from sondage.operators.relate import attach
 from sondage.operators.scale import feature_array, risk_score
 from sondage.operators.schema import numeric_columns, ref, split_labelled
+from sondage.operators.trees import Ensemble, fit_boosted
 from sondage.session import Rounds, cut_lineage, ensure_checkpoint_dir
 
 MIN_TRAIN = 10
@@ -35,11 +35,9 @@ def relabel_outliers(df: DataFrame, row_id: str, k: int = 7, column: str = "Risk
     return joined.withColumn("Auto_Label", F.coalesce("predicted", "Auto_Label")).drop("predicted")
 
 
-def boosted(label: str, max_iter: int = 100, seed: int = 42) -> GBTClassifier:
-    return GBTClassifier(
-        featuresCol="features", labelCol=label, weightCol="__w", maxDepth=3, stepSize=0.05, maxIter=max_iter, subsamplingRate=0.7,
-        featureSubsetStrategy="0.7", minInstancesPerNode=3, seed=seed, predictionCol="__pred",
-    )
+def boosted(rows: DataFrame, max_iter: int = 100, seed: int = 42) -> Ensemble:
+    """Shallow trees at a small rate over features, label and weight."""
+    return fit_boosted(rows, max_iter, depth=3, rate=0.05, seed=seed, sampling=0.7, features=0.7, least=3)
 
 
 def importances(model, features: list[str], round_no: int = 1) -> list[tuple[int, str, float]]:
@@ -76,18 +74,13 @@ def self_train(df: DataFrame, row_id: str, threshold: float = 0.9, rounds: int =
                 train = df.filter(F.col("Confidence") > threshold)
             else:
                 break
-            vectors = train.select(
-                array_to_vector(feature_array(features)).alias("features"), F.col("Auto_Label").cast("double").alias("__y"),
-                F.when(F.col("Auto_Label") == 1, F.lit(1.5)).otherwise(F.lit(1.0)).alias("__w"),
-            ).persist()
-            model = boosted("__y", max_iter).fit(vectors)
-            vectors.unpersist()
+            model = boosted(train.select(
+                array_to_vector(feature_array(features)).alias("features"), F.col("Auto_Label").cast("double").alias("label"),
+                F.when(F.col("Auto_Label") == 1, F.lit(1.5)).otherwise(F.lit(1.0)).alias("weight"),
+            ), max_iter)
             lost = {}
             if permute:
-                def predict(rows: DataFrame) -> DataFrame:
-                    return model.transform(rows.withColumn("features", array_to_vector(feature_array(features)))).withColumn("predicted", F.col("__pred").cast("int"))
-
-                lost = {r["feature"]: r["importance"] for r in permutation_importances(train, predict, features, "Auto_Label", row_id, permute).collect()}
+                lost = {r["feature"]: r["importance"] for r in permutation_importances(train, model, features, "Auto_Label", row_id, permute).collect()}
             report += [(*r, lost.get(r[1])) for r in importances(model, features, step)]
             if not waiting:
                 break
@@ -96,9 +89,9 @@ def self_train(df: DataFrame, row_id: str, threshold: float = 0.9, rounds: int =
             take = (F.col(vocab.TARGET) == -1) & (top >= threshold)
             marked = scored.withColumn("__take", take)
             df = marked.withColumns({
-                vocab.TARGET: F.when(F.col("__take"), F.col("__pred").cast("int")).otherwise(F.col(vocab.TARGET)),
+                vocab.TARGET: F.when(F.col("__take"), F.col("prediction").cast("int")).otherwise(F.col(vocab.TARGET)),
                 "Confidence": F.when(F.col("__take"), top).otherwise(F.col("Confidence")),
-            }).drop("features", "rawPrediction", "probability", "__pred", "__take")
+            }).drop("features", "probability", "prediction", "__take")
             df = loop.hand_on(df)
             if df.filter(F.col(vocab.TARGET) != -1).count() == labelled:
                 break
